@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +43,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what an Arrow batch of whole texts holds, so that very long texts don't fill a Python worker."""
+def python_tasks(spark: SparkSession) -> None:
+    """To call before Python tasks are planned: bounds what an Arrow batch of whole texts holds, so that very long texts
+    don't fill a worker, and lets workers import this package from where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    known, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if here not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), here]))
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:

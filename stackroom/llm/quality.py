@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.llm.common import small_batches, table
+from stackroom.llm.common import python_tasks, table
 
 #: Most labelled rows that a fit takes.
 SAMPLE_ROWS = 20_000
@@ -159,7 +159,7 @@ def _with_statistics(batches, keep: list[str]):
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Forest:
     """A forest from at most `rows` labelled documents that are not held out. Only their statistics reach the driver."""
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
@@ -179,7 +179,7 @@ def _scored(batches, forest: Forest, keep: list[str]):
 
 def score_documents(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, and score."""
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     columns = list(dict.fromkeys([*keep, "text"]))
     schema = T.StructType([docs.schema[c] for c in keep]).add("score", "double")
     return docs.select(columns).mapInArrow(partial(_scored, forest=forest, keep=keep), schema)

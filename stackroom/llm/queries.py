@@ -1,9 +1,10 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from stackroom.llm import chat, mixing, quality, sharding, url_filter
+from stackroom.llm import chat, mixing, near_dedup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op7_url_filter": url_filter.op7_url_filter,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from stackroom.llm.common import running_sum, table, text_of
+from stackroom.llm.common import python_tasks, running_sum, table, text_of
 
 SHARDS = 8
 
@@ -52,6 +52,7 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 def add_shards(df: DataFrame, key: str, shards: int = SHARDS, shard: str = "shard") -> DataFrame:
+    python_tasks(df.sparkSession)
     return df.withColumn(shard, shard_of(F.col(key), shards))
 
 
