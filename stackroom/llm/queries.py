@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from stackroom.llm import chat, decontamination, exact_dedup, licenses, mixing, near_dedup, quality, sharding, url_filter
+from stackroom.llm import chat, decontamination, exact_dedup, licenses, line_dedup, mixing, near_dedup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_mixing": mixing.op10_mixing,
 }
