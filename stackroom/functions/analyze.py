@@ -37,7 +37,11 @@ def stem(word: Column) -> Column:
 
 def postings(docs: DataFrame, fields: list[tuple[str, str]], keys: list[str], stop_words: tuple[str, ...] = (), stemmed: bool = False) -> DataFrame:
     """keys, term, pos (from 0, over all fields in order), label. fields: (column, label)."""
-    made = [F.transform(tokens(F.coalesce(F.col(c), F.lit("")), stop_words), lambda w, label=label: F.struct(w.alias("term"), F.lit(label).alias("label"))) for c, label in fields]
+
+    def labelled(column: str, label: str) -> Column:
+        return F.transform(tokens(F.coalesce(F.col(column), F.lit("")), stop_words), lambda w: F.struct(w.alias("term"), F.lit(label).alias("label")))
+
+    made = [labelled(*field) for field in fields]
     rows = docs.select(*keys, F.posexplode(F.concat(*made)).alias("pos", "p"))
     term = stem(F.col("p.term")) if stemmed else F.col("p.term")
     return rows.where(F.col("p.term").isNotNull()).select(*keys, term.alias("term"), F.col("pos").cast("long").alias("pos"), F.col("p.label").alias("label"))

@@ -72,7 +72,7 @@ def phrase_matches(postings: DataFrame, phrase: list[str], key: str) -> DataFram
     return rows.groupBy(key, shift.alias("start")).agg(F.countDistinct("s.i").alias("n")).where(F.col("n") == len(phrase)).select(key, "start")
 
 
-def _cut_with_ties(rows: DataFrame, by: str, most: int, ascending: bool) -> DataFrame:
+def cut_with_ties(rows: DataFrame, by: str, most: int, ascending: bool) -> DataFrame:
     """Rows whose rank by `by` is at most `most`, ties included, with `rank`; only candidates pass the global window."""
     order = F.col(by).asc() if ascending else F.col(by).desc()
     edge = rows.select(by).orderBy(order).limit(most).agg((F.max if ascending else F.min)(by).alias("edge"))
@@ -83,8 +83,8 @@ def _cut_with_ties(rows: DataFrame, by: str, most: int, ascending: bool) -> Data
 def hybrid_search(semantic: DataFrame, textual: DataFrame, k: int = 10, w_sem: float | Column = 0.6, w_txt: float | Column = 0.4, key: str = "id") -> DataFrame:
     """Weighted reciprocal-rank fusion of (key, distance) and (key, text_rank): each side gives ranks up to 2k, a rank r
     scores 1 / (k + r), a missing side 0."""
-    sem = _cut_with_ties(semantic, "distance", 2 * k, True).select(key, (1 / (F.lit(k) + F.col("rank"))).alias("score_sem"))
-    txt = _cut_with_ties(textual, "text_rank", 2 * k, False).select(key, (1 / (F.lit(k) + F.col("rank"))).alias("score_txt"))
+    sem = cut_with_ties(semantic, "distance", 2 * k, True).select(key, (1 / (F.lit(k) + F.col("rank"))).alias("score_sem"))
+    txt = cut_with_ties(textual, "text_rank", 2 * k, False).select(key, (1 / (F.lit(k) + F.col("rank"))).alias("score_txt"))
     both = sem.join(txt, key, "full").na.fill(0.0, ["score_sem", "score_txt"])
     weight = lambda w: w if isinstance(w, Column) else F.lit(float(w))
     scored = both.withColumn("score", F.round(F.col("score_sem") * weight(w_sem) + F.col("score_txt") * weight(w_txt), DIGITS))

@@ -253,7 +253,7 @@ def _(t):
 @query(
     "j10_project_chats",
     """SELECT p.project_id, c.id AS chat_id, c.titulo FROM (SELECT user_id AS project_id, unnest(list_append(list_filter(list(id), lambda x: x % 4 <> 0), CAST(1 AS BIGINT))) AS chat_id
-         FROM chat GROUP BY user_id) p JOIN chat c ON c.id = p.chat_id WHERE p.chat_id <> 1 OR true""",
+         FROM chat GROUP BY user_id) p JOIN chat c ON c.id = p.chat_id""",
 )
 def _(t):
     projects = t.chat.groupBy(F.col("user_id").alias("project_id")).agg(F.collect_list("id").alias("ids"))
