@@ -210,7 +210,7 @@ def text_sha256(text: Column) -> Column:
 def detect_format(content: Column) -> Column:
     """MIME type by the first bytes of a binary column."""
     head = F.hex(F.substring(content, 1, 8))
-    text = F.lower(F.trim(F.decode(F.substring(content, 1, 256), "UTF-8")))
+    text = F.lower(F.trim(F.decode(F.substring(content, 1, 256), "ISO-8859-1")))
     return (
         F.when(head.startswith("25504446"), "application/pdf")
         .when(head.startswith("D0CF11E0"), "application/msword")

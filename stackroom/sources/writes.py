@@ -36,7 +36,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files as documents: text, name, format and size; other formats than text keep a null text."""
     files = spark.read.format("binaryFile").load(path)
     mime = detect_format(F.col("content"))
-    text = F.when(mime.startswith("text/") | mime.isin("application/json", "application/xml"), F.decode("content", "UTF-8"))
+    text = F.when(mime.startswith("text/") | mime.isin("application/json", "application/xml"), F.make_valid_utf8(F.col("content").cast("string")))
     return files.select("path", title_from_name(F.col("path")).alias("titulo"), F.substring_index("path", "/", -1).alias("file_name"), mime.alias("detected_format"), F.col("length").alias("file_size_bytes"), text.alias("texto"))
 
 
