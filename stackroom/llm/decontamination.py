@@ -10,7 +10,7 @@ that length. Sketches miss a contained item with a probability below 1e-7.
 
 Defined cases: null and wordless texts neither contain nor are contained; repeated documents each count; items that
 repeat an id are one item of their joint shingles; an empty table on either side gives an empty result; further columns
-are not read. Rows of documents are told apart by id and text.
+are not read, and pass through the pipeline stage. Rows of documents are told apart by id and text.
 """
 
 from __future__ import annotations
@@ -98,10 +98,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that contain no benchmark item."""
     leaks = contained_items(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "_text").distinct()
-    keyed = docs.withColumn("_text", F.xxhash64(text_of()))
-    same = [F.col("k.doc_id").eqNullSafe(F.col("l.doc_id")), F.col("k._text") == F.col("l._text")]
     leaks = written(leaks, "leaks")
-    return keyed.alias("k").join(maybe_broadcast(leaks, leaks.count()).alias("l"), same, "left_anti").select(docs.columns)
+    same = [F.col("k.doc_id").eqNullSafe(F.col("l.doc_id")), F.xxhash64(F.coalesce("k.text", F.lit(""))) == F.col("l._text")]
+    return docs.alias("k").join(maybe_broadcast(leaks, leaks.count()).alias("l"), same, "left_anti")
 
 
 OP6_SQL = r"""

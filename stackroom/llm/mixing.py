@@ -7,7 +7,7 @@ range-sorted by position.
 
 Defined cases: a null text has no words; a null source is a source of its own, after all others; documents without
 words are taken once, with no words; repeated rows are separate documents; an empty table gives an empty mix; further
-columns pass through, those with names added here are replaced.
+columns pass through, and plan_mix replaces those with names that it adds.
 """
 
 from __future__ import annotations
@@ -75,10 +75,12 @@ def position_at(share_of_target: Column, knots: tuple[tuple[float, float], ...])
 
 def plan_mix(docs: DataFrame, key: str = "doc_id", schedules=SCHEDULES, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """docs (key, source, size, ...) with source_size, target, copies, and positions (one a copy, ascending)."""
-    named = docs.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_hash", F.xxhash64(key, "size"))
+    rest = [c for c in docs.columns if c not in ("source_size", "target", "copies", "positions")]
+    named = docs.select(F.col(key).alias("_key"), "source", "size", F.struct(*rest).alias("_row"))
+    named = named.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_hash", F.xxhash64("_key", "size"))
     sizes = named.groupBy("_source", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes.drop("_source"), weights, share, cap).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    laid = running_sum(named, ["_source"], "_hash", F.col("size"), "_from", [key])
+    laid = running_sum(named, ["_source"], "_hash", F.col("size"), "_from", ["_key"])
     rows = laid.join(targets.drop("source"), "_source")
     middle = lambda turn: F.col("_from") + F.col("source_size") * turn + F.col("size") / 2
     taken = F.filter(F.sequence(F.lit(0), F.lit(cap - 1)), lambda turn: (middle(turn) <= F.col("target")) | ((turn == 0) & (F.col("size") == 0)))
@@ -90,14 +92,14 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", schedules=SCHEDULES, weights=
             out = F.when(F.col("turn") == i, position_at(asked, schedules[i])).otherwise(out)
         return out
 
-    return rows.withColumn("positions", F.transform(taken, position)).withColumn("copies", F.size("positions")).drop("_source", "_hash", "_from", "turn")
+    return rows.withColumn("positions", F.transform(taken, position)).select("_row.*", "source_size", "target", F.size("positions").alias("copies"), "positions")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row a copy that the mix takes, with its position, range-sorted by it."""
-    columns = [c for c in docs.columns if c not in ("size", "position")]
-    plan = plan_mix(docs.select(columns).withColumn("size", word_count(text_of())), key, **options)
-    return plan.select(*columns, F.explode("positions").alias("position")).orderBy("position", key)
+    """row (a struct of docs' columns) and position for every copy that the mix takes, range-sorted by position."""
+    sized = docs.select(F.col(key).alias("key"), "source", word_count(text_of()).alias("size"), F.struct(*docs.columns).alias("row"))
+    plan = plan_mix(sized, "key", **options)
+    return plan.select("key", "row", F.explode("positions").alias("position")).orderBy("position", "key").select("row", "position")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +113,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix's documents in training order, repeats as repeated rows."""
-    return mix(docs).select(docs.columns)
+    return mix(docs).select("row.*")

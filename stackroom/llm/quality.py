@@ -6,7 +6,7 @@ hash of the id); scoring covers every whole text.
 
 Defined cases: null and empty texts score from the statistics of an empty text; labels that are null or of no document
 are left out; with labels of one class or none, the score is that class's rate (0.5 without labels); repeated rows score
-alike; an empty table gives an empty result; labels, lang, source and doc_id are never features.
+alike; an empty table gives an empty result; further columns pass through the pipeline stage; labels, lang, source and doc_id are never features.
 """
 
 from __future__ import annotations
@@ -171,18 +171,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Forest
     return fit(x, got["quality"].to_numpy(float))
 
 
-def _scored(batches, forest: Forest, keep: list[str]):
+def _scored(batches, forest: Forest, keep: list[str], score: str):
     for batch in batches:
-        score = forest.score(statistics_of(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, "score"])
+        scores = forest.score(statistics_of(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, score])
 
 
-def score_documents(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, and score."""
+def score_documents(docs: DataFrame, forest: Forest, keep: list[str], score: str = "score") -> DataFrame:
+    """The columns `keep` of docs, and the score."""
     python_tasks(docs.sparkSession)
     columns = list(dict.fromkeys([*keep, "text"]))
-    schema = T.StructType([docs.schema[c] for c in keep]).add("score", "double")
-    return docs.select(columns).mapInArrow(partial(_scored, forest=forest, keep=keep), schema)
+    schema = T.StructType([docs.schema[c] for c in keep]).add(score, "double")
+    return docs.select(columns).mapInArrow(partial(_scored, forest=forest, keep=keep, score=score), schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +195,5 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier doesn't reject."""
-    columns = [c for c in docs.columns if c != "score"]
     forest = train(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs.select(columns), forest, columns).where(F.col("score") >= KEEP_SCORE).select(columns)
+    return score_documents(docs, forest, docs.columns, "_sr_score").where(F.col("_sr_score") >= KEEP_SCORE).select(docs.columns)
