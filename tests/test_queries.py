@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import same_rows
+from checks import same_rows
 from stackroom.plans.registry import ORACLES, QUERIES
 
 import __spark_entry__  # noqa: F401  registers the queries
