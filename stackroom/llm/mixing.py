@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stackroom.llm.common import running_sum, table, text_of
+from stackroom.llm.common import running_sum, table, text_of, written
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -103,8 +103,8 @@ def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(text_of()).alias("size"))
-    plan = plan_mix(docs)
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(text_of()).alias("size"))
+    plan = plan_mix(written(sized, "sizes"))
     first = F.try_element_at("positions", F.lit(1))
     return plan.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), first.alias("position")
