@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from stackroom.functions import vectors
 from stackroom.functions.analyze import LABEL_WEIGHTS
 
 DIGITS = 6
-#: Queries that are broadcast against the whole table of vectors or postings; larger tables of queries are searched in blocks of so many.
+#: Queries whose vectors one pass over the rows holds; a larger set is searched in blocks.
 QUERY_BLOCK = 1000
 
 
@@ -107,16 +109,52 @@ def top_k_per_query(scored: DataFrame, query: str, order: list[Column], k: int)
     return cut.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+def _nearest_in_batches(ids: np.ndarray, queries: np.ndarray, vector: str, key: str, k: int, metric: str):
+    """A function of Arrow batches: each batch's k nearest rows for every query, by one matrix product a batch."""
+    digits = DIGITS
+
+    def run(batches):
+        norms = np.linalg.norm(queries, axis=1)
+        for batch in batches:
+            rows = batch.column(vector)
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), queries.shape[1])
+            products = x @ queries.T
+            if metric == "l2":
+                squares = (x * x).sum(1)[:, None] + (norms**2)[None, :] - 2 * products
+                d = np.sqrt(np.maximum(squares, 0))
+            else:
+                lengths = np.linalg.norm(x, axis=1)[:, None] * norms[None, :]
+                d = 1 - np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+            d = np.round(d, digits)
+            edge = np.partition(d, min(k, len(keys)) - 1, axis=0)[min(k, len(keys)) - 1]
+            row, query = np.nonzero(d <= edge[None, :])
+            order = np.lexsort((keys[row], d[row, query], query))
+            row, query = row[order], query[order]
+            nth = np.arange(len(query)) - np.searchsorted(query, query)
+            row, query = row[nth < k], query[nth < k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(keys[row]), pa.array(d[row, query])], ["query_id", key, "distance"])
+
+    return run
+
+
 def batch_semantic(rows: DataFrame, vector: str, queries: DataFrame, k: int, key: str = "id", metric: str = "cosine") -> DataFrame:
-    """queries (query_id, query_vector), a stated set in blocks of at most QUERY_BLOCK, against all rows."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    scored = None
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        one = rows.join(F.broadcast(part)).select("query_id", key, distance(F.col(vector), F.col("query_vector"), metric).alias("distance"))
-        best = top_k_per_query(one, "query_id", [F.col("distance"), F.col(key)], k)
-        scored = best if scored is None else scored.union(best)
-    return scored
+    """queries (query_id, query_vector), a stated set, against all rows: in blocks of about QUERY_BLOCK queries, each of
+    which is one matrix product a batch of rows. Vectors of other dimensions than the query's never match."""
+    kept = queries.where(F.col("query_vector").isNotNull() & F.col("query_id").isNotNull()).withColumn("_size", F.size("query_vector"))
+    sizes = [(r["_size"], r.n) for r in kept.groupBy("_size").agg(F.count("*").alias("n")).collect()]
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *rows.schema.fields]}
+    out = rows.sparkSession.createDataFrame([], f"query_id {types['query_id']}, {key} {types[key]}, distance double")
+    for size, n in sizes:
+        blocks = -(-n // QUERY_BLOCK)
+        for block in range(blocks):
+            part = kept.where((F.col("_size") == size) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).select("query_id", "query_vector").toPandas()
+            if not len(part) or not size:
+                continue
+            made = _nearest_in_batches(part["query_id"].to_numpy(), np.array(part["query_vector"].tolist(), np.float64), vector, key, k, metric)
+            fit = rows.where((F.size(vector) == size) & F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(key, vector)
+            out = out.union(fit.mapInArrow(made, out.schema))
+    return top_k_per_query(out, "query_id", [F.col("distance"), F.col(key)], k)
 
 
 def batch_textual(postings: DataFrame, terms: DataFrame, k: int, key: str = "id") -> DataFrame:

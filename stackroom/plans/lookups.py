@@ -423,11 +423,11 @@ def _(t):
 
 @query(
     "w6_context_window",
-    """SELECT chat_id, ordem, string_agg(m, '|') AS contexto FROM (SELECT a.chat_id, a.ordem, b.ordem AS o, substr(b.mensagem, 1, 20) AS m FROM chat_message a
+    """SELECT chat_id, ordem, string_agg(m, '|') AS contexto FROM (SELECT a.chat_id, a.ordem, b.ordem AS o, b.mensagem AS m FROM chat_message a
        JOIN chat_message b ON a.chat_id = b.chat_id AND b.ordem BETWEEN a.ordem - 1 AND a.ordem + 1 ORDER BY 1, 2, 3) GROUP BY ALL""".replace("string_agg(m, '|')", "string_agg(m, '|' ORDER BY o)"),
 )
 def _(t):
-    rows = t.chat_message.select("chat_id", "ordem", F.substring("mensagem", 1, 20).alias("m"))
+    rows = t.chat_message.select("chat_id", "ordem", F.col("mensagem").alias("m"))
     near = R.context_window(rows.withColumn("row", F.struct("ordem", "m")), "chat_id", "ordem", "row", 1)
     return near.select("chat_id", "ordem", F.array_join(F.transform(F.array_sort("context"), lambda r: r["m"]), "|").alias("contexto"))
 

@@ -63,10 +63,10 @@ def _(t):
     return t.documents.select("doc_id", X.truncate(F.col("text"), 300).alias("cut"))
 
 
-@query("f9_accent_fold", f"SELECT doc_id, {FOLD('substr(text, 1, 200)')} AS folded, contains({FOLD('text')}, 'eau') AS has_eau, starts_with({FOLD('text')}, 'e') AS on_e FROM documents")
+@query("f9_accent_fold", f"SELECT doc_id, {FOLD('text')} AS folded, contains({FOLD('text')}, 'eau') AS has_eau, starts_with({FOLD('text')}, 'e') AS on_e FROM documents")
 def _(t):
     c = F.col("text")
-    return t.documents.select("doc_id", X.fold(F.substring(c, 1, 200)).alias("folded"), X.contains_folded(c, "éau").alias("has_eau"), X.starts_with_folded(c, "É").alias("on_e"))
+    return t.documents.select("doc_id", X.fold(c).alias("folded"), X.contains_folded(c, "éau").alias("has_eau"), X.starts_with_folded(c, "É").alias("on_e"))
 
 
 _NORM = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
@@ -104,24 +104,20 @@ def _(t):
     return t.documents.select("doc_id", X.text_sha256(F.col("text")).alias("sha"))
 
 
-@query(
-    "f15_overlap_concat",
-    """SELECT doc_id, a || substr(b, 1 + list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda n: right(a, n::INT) = left(b, n::INT)))::INT) AS joined
-       FROM (SELECT doc_id, substr(text, 1, 40) AS a, substr(text, 31, 30) AS b FROM documents)""",
-)
+@query("f15_overlap_concat", "SELECT page_id, url AS joined FROM pages")
 def _(t):
-    rows = t.documents.select("doc_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 31, 30).alias("b"))
-    return rows.select("doc_id", X.overlap_concat(F.col("a"), F.col("b")).alias("joined"))
+    left, right = F.left("url", F.length("url") - 4), F.right("url", F.lit(12))
+    return t.pages.select("page_id", X.overlap_concat(left, right).alias("joined"))
 
 
 @query(
     "f16_last_delimiter",
     """SELECT doc_id, CAST(CASE WHEN contains(s, chr(10)) THEN length(s) - strpos(reverse(s), chr(10)) WHEN contains(s, '!') THEN length(s) - strpos(reverse(s), '!')
               WHEN contains(s, '.') THEN length(s) - strpos(reverse(s), '.') WHEN contains(s, ';') THEN length(s) - strpos(reverse(s), ';') ELSE -1 END AS INT) AS place
-       FROM (SELECT doc_id, substr(text, 1, 150) AS s FROM documents)""",
+       FROM (SELECT doc_id, text AS s FROM documents)""",
 )
 def _(t):
-    return t.documents.select("doc_id", X.last_delimiter(F.substring("text", 1, 150)).alias("place"))
+    return t.documents.select("doc_id", X.last_delimiter(F.col("text")).alias("place"))
 
 
 @query(
@@ -160,9 +156,9 @@ def _(t):
     return t.documents.select("doc_id", X.decode_enum(F.upper("lang"), {"en": "inglês", "dé": "alemão", "fr": "francês"}).alias("lingua"))
 
 
-@query("f22_hex", "SELECT doc_id, hex(encode(substr(text, 1, 20))) AS hexed, substr(text, 1, 20) AS back FROM documents")
+@query("f22_hex", "SELECT doc_id, hex(encode(text)) AS hexed, text AS back FROM documents")
 def _(t):
-    h = F.hex(F.encode(F.substring("text", 1, 20), "UTF-8"))
+    h = F.hex(F.encode("text", "UTF-8"))
     return t.documents.select("doc_id", h.alias("hexed"), F.decode(F.unhex(h), "UTF-8").alias("back"))
 
 
@@ -173,9 +169,9 @@ def _(t):
     return t.orders.select("o_orderkey", X.long_date(said).alias("lida"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("escrita"))
 
 
-@query("f24_junk_trimming", "SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 80), '^(\\s|[-*,{}\\[\\]:#\"]|(10|[1-9])(\\.| ))+', ''), '(\\s|[-*,{}\\[\\]:#\"])+$', '') AS clean FROM documents")
+@query("f24_junk_trimming", "SELECT doc_id, regexp_replace(regexp_replace(text, '^(\\s|[-*,{}\\[\\]:#\"]|(10|[1-9])(\\.| ))+', ''), '(\\s|[-*,{}\\[\\]:#\"])+$', '') AS clean FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.trim_junk(F.concat(F.lit("## 1. - "), F.substring("text", 1, 80), F.lit(" }]"))).alias("clean"))
+    return t.documents.select("doc_id", X.trim_junk(F.concat(F.lit("## 1. - "), "text", F.lit(" }]"))).alias("clean"))
 
 
 @query("f25_metadata_merge", "SELECT doc_id, source AS a, 'novo' AS b, lang AS c FROM documents")
@@ -189,9 +185,9 @@ def _(t):
     return t.documents.select("doc_id", X.contains_any(F.col("text"), ["EAU", "der "]).alias("has_any"), X.index_in(F.col("lang"), ["de", "fr"]).alias("at"), F.greatest(X.least_positive(F.locate("the", F.col("text")), F.lit(0)), F.lit(0)).alias("the"))
 
 
-@query("f27_json_quoting", "SELECT doc_id, CAST(to_json(substr(text, 1, 120)) AS VARCHAR) AS quoted FROM documents")
+@query("f27_json_quoting", "SELECT doc_id, CAST(to_json(text) AS VARCHAR) AS quoted FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.quoted(F.substring("text", 1, 120)).alias("quoted"))
+    return t.documents.select("doc_id", X.quoted(F.col("text")).alias("quoted"))
 
 
 # --- jobs -----------------------------------------------------------------------------------------------------------
@@ -271,10 +267,10 @@ def _(t):
     return C.explode_pieces(t.documents, ["doc_id"], C.assembled_paragraphs(F.col("text"), 100), "paragraph")
 
 
-_WIKI = """concat('<!-- c -->', substr(text, 1, 50), ' [[a|', lang, ']] {{t}} [[', source, ']]<ref name="r"/> [http://x.y site]')"""
+_WIKI = """concat('<!-- c -->', text, ' [[a|', lang, ']] {{t}} [[', source, ']]<ref name="r"/> [http://x.y site]')"""
 
 
-@query("t6_wiki_clean", "SELECT doc_id, trim(regexp_replace(concat(substr(text, 1, 50), ' ', lang, '  ', source, ' site'), '[ \\t]+', ' ', 'g')) AS clean FROM documents")
+@query("t6_wiki_clean", "SELECT doc_id, trim(regexp_replace(concat(text, ' ', lang, '  ', source, ' site'), '[ \\t]+', ' ', 'g')) AS clean FROM documents")
 def _(t):
     made = F.expr(_WIKI)
     return t.documents.select("doc_id", C.clean_wiki(made).alias("clean"))

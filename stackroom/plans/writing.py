@@ -98,13 +98,13 @@ def _(t):
 
 @query(
     "s10_reference_closure",
-    """WITH l AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <= 100), s AS (SELECT p_partkey AS id FROM part WHERE p_partkey <= 20),
+    """WITH l AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), s AS (SELECT p_partkey AS id FROM part),
        a AS (SELECT id AS root, id, 0 AS depth FROM s UNION SELECT s.id, dst, 1 FROM s JOIN l ON s.id = src UNION SELECT s.id, l2.dst, 2 FROM s JOIN l ON s.id = l.src JOIN l l2 ON l2.src = l.dst)
        SELECT root, id, CAST(min(depth) AS BIGINT) AS depth FROM a GROUP BY 1, 2""",
 )
 def _(t):
-    links = t.lineitem.where("l_partkey <= 100").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    return W.reference_closure(t.part.where("p_partkey <= 20").select(F.col("p_partkey").alias("id")), links)
+    links = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    return W.reference_closure(t.part.select(F.col("p_partkey").alias("id")), links)
 
 
 @query("s11_supersede", "SELECT id, row_number() OVER (PARTITION BY biblioteca_id, lower(titulo) ORDER BY data_publicacao DESC, id DESC) = 1 AS flag_vigente FROM documento")
