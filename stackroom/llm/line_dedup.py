@@ -17,11 +17,13 @@ with a class's first line count as first, too; lines are told apart by a 64-bit
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stackroom.llm.common import table, written
+from stackroom.llm.common import BROADCAST_ROWS, table, written
 from stackroom.llm.components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -34,19 +36,33 @@ TIERS = (8, 64, 512)
 def lines_of(docs: DataFrame, key: str) -> DataFrame:
     """key, line_no (from 0), words, one row a line."""
     lines = docs.where(F.col("text").isNotNull()).select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select(key, "line_no", F.filter(F.split(F.lower("line"), "[^\\p{L}\\p{N}]+"), lambda w: w != "").alias("w"))
+    return lines.select(key, "line_no", F.filter(F.split(F.lower("line"), "[^a-z0-9\\p{L}\\p{N}]+"), lambda w: w != "").alias("w"))
+
 
+def hashed_lines(docs: DataFrame, key: str) -> DataFrame:
+    """key, line_no, line (its words' hash; null without words), tokens: words are hashed once, runs of hashes again."""
+    rows = lines_of(docs, key).select(key, "line_no", F.when(F.size("w") > 0, F.xxhash64("w")).alias("line"), F.transform("w", lambda w: F.hash(w)).alias("h"))
+    n = F.size("h")
+    shingles = F.transform(F.sequence(F.lit(0), n - SHINGLE_WORDS), lambda i: F.hash(*[F.get("h", i + k) for k in range(SHINGLE_WORDS)]))
+    tokens = F.when(n >= SHINGLE_WORDS, F.array_distinct(shingles)).when(n > 0, F.array(F.hash("h"))).otherwise(F.array().cast("array<int>"))
+    return rows.select(key, "line_no", "line", tokens.alias("tokens"))
 
-def tokens_of(words: Column) -> Column:
-    n = F.size(words)
-    shingles = F.transform(F.sequence(F.lit(1), n - (SHINGLE_WORDS - 1)), lambda i: F.hash(F.slice(words, i, SHINGLE_WORDS)))
-    return F.when(n >= SHINGLE_WORDS, F.array_distinct(shingles)).when(n > 0, F.array(F.hash(words))).otherwise(F.array().cast("array<int>"))
 
+def distinct_lines(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, first). lines: line, copies, tokens, one row a line; first: line, copies, first (key, line_no).
 
-def distinct_lines(occurrences: DataFrame, key: str) -> DataFrame:
-    """line (its identity), copies, first (key, line_no), tokens."""
-    rows = occurrences.where(F.size("w") > 0).select("line", F.struct(key, "line_no").alias("at"), "tokens")
-    return rows.groupBy("line").agg(F.count("*").alias("copies"), F.min("at").alias("first"), F.first("tokens").alias("tokens"))
+    Only ids and places are shuffled to find what repeats. The repeating lines are looked up in the rows, so that tokens
+    stay where they are as long as those lines can be broadcast.
+    """
+    at = F.struct(key, "line_no")
+    first = written(rows.where("line IS NOT NULL").groupBy("line").agg(F.count("*").alias("copies"), F.min(at).alias("first")), "first")
+    twice = first.where("copies > 1")
+    few = twice.count() <= BROADCAST_ROWS
+    placed = rows.where("line IS NOT NULL").join(F.broadcast(twice) if few else twice, "line", "left")
+    # Rows that repeat their place, too, would stay several times: the least of them would need another shuffle, and
+    # every later step allows for repeated lines.
+    single = placed.where(F.col("first").isNull() | F.col("first").eqNullSafe(at)).select("line", F.coalesce("copies", F.lit(1)).alias("copies"), "tokens")
+    return (single if few else written(single, "lines")), first
 
 
 def bucket_of(token: Column) -> Column:
@@ -62,17 +78,22 @@ def rarity_tiers(lines: DataFrame) -> list[list[int]]:
 
 
 def postings(lines: DataFrame, tiers: list[list[int]], similarity: float) -> DataFrame:
-    """token, line, place (from 1), n, copies for the prefix of every line."""
-    def ranked(t: Column) -> Column:
-        tier = F.lit(0)
-        for level, buckets in enumerate(tiers, 1):
-            if buckets:
-                tier = F.when(bucket_of(t).isin(buckets), F.lit(level)).otherwise(tier)
-        return F.shiftleft(tier.cast("long"), 33) + t.cast("long")
+    """token, line, place (from 1), n, copies for the prefix of every line that can have a similar one.
+
+    A set is similar enough to a different one only if it has at least `few` tokens, as m / (m + 1) is the most there is.
+    """
 
+    def tier(t: Column, level: int = 0) -> Column:
+        """Tiers hold each other: few tokens are looked up in more than the first."""
+        if level == len(tiers) or not tiers[level]:
+            return F.lit(level)
+        return F.when(bucket_of(t).isin(tiers[level]), tier(t, level + 1)).otherwise(F.lit(level))
+
+    few = math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30
     n = F.size("tokens")
     prefix = n - F.ceil(n * similarity - 1e-9).cast("int") + 1
-    rare = lines.select("line", "copies", n.alias("n"), F.slice(F.array_sort(F.transform("tokens", ranked)), F.lit(1), prefix).alias("rare"))
+    order = F.transform("tokens", lambda t: F.shiftleft(tier(t).cast("long"), 33) + t.cast("long")) if tiers[0] else F.col("tokens")
+    rare = lines.where(n >= few).select("line", "copies", n.alias("n"), F.slice(F.sort_array(order), F.lit(1), prefix).alias("rare"))
     return rare.select("line", "copies", "n", F.posexplode("rare").alias("place", "token"))
 
 
@@ -85,44 +106,50 @@ def may_match(similarity: float) -> Column:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    sides = pairs.join(lines.select(F.col("line").alias("a"), F.col("tokens").alias("at")), "a").join(lines.select(F.col("line").alias("b"), F.col("tokens").alias("bt")), "b")
+    """(a, b) -> a, b, similarity of the pairs that are similar enough. Only lines in a pair are looked up."""
+    pairs = written(pairs, "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = written(lines.join(wanted, "line", "left_semi").select("line", "tokens"), "line-sets").dropDuplicates(["line"])
+    sides = pairs.join(sets.select(F.col("line").alias("a"), F.col("tokens").alias("at")), "a").join(sets.select(F.col("line").alias("b"), F.col("tokens").alias("bt")), "b")
     shared = F.size(F.array_intersect("at", "bt"))
     jaccard = sides.select("a", "b", (shared / (F.size("at") + F.size("bt") - shared)).alias("similarity"))
-    return jaccard.where(F.col("similarity") >= similarity - 1e-9)
+    return written(jaccard.where(F.col("similarity") >= similarity - 1e-9), "links")
 
 
 def similar_lines(docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, links). rows: key, line_no, class_at (key, line_no of the class's first line; null without words), removed;
     links: a, b, similarity of distinct lines, enough of them to connect every class."""
-    words = lines_of(docs, key)
-    occurrences = words.select(key, "line_no", "w", F.xxhash64("w").alias("line"), tokens_of(F.col("w")).alias("tokens"))
-    lines = written(distinct_lines(occurrences, key), "lines")
+    rows = written(hashed_lines(docs, key), "line-tokens")
+    lines, first = distinct_lines(rows, key)
     by_token = Window.partitionBy("token")
-    shared = postings(lines, rarity_tiers(lines), similarity).withColumn("held", F.count("*").over(by_token)).where("held > 1")
-    lists = written(shared.withColumn("lead", F.max(F.struct("copies", "line", "n", "place")).over(by_token)).drop("held"), "lists")
-    involved = written(lines.join(lists.select("line").distinct(), "line", "left_semi").select("line", "tokens"), "involved")
+    held = postings(lines, rarity_tiers(lines), similarity).withColumns({"lo": F.min("line").over(by_token), "hi": F.max("line").over(by_token)})
+    lead = F.max(F.struct("copies", "line", "n", "place")).over(by_token)
+    lists = written(held.where("lo != hi").withColumn("lead", lead).select("token", "line", "n", "place", F.struct("lead.line", "lead.n", "lead.place").alias("lead")), "lists")
 
-    lead = lists.select("token", F.col("line").alias("l"), F.struct("n", "place").alias("x"), F.col("lead").alias("y"))
-    first = lead.where(F.col("l") != F.col("y.line")).where(may_match(similarity))
-    links = written(_verified(first.select(F.least("l", "y.line").alias("a"), F.greatest("l", "y.line").alias("b")).distinct(), involved, similarity), "links")
+    sides = lists.where(F.col("line") != F.col("lead.line")).select("line", F.struct("n", "place").alias("x"), F.col("lead").alias("y")).where(may_match(similarity))
+    links = _verified(sides.select(F.least("line", "y.line").alias("a"), F.greatest("line", "y.line").alias("b")).distinct(), lines, similarity)
 
     roots = written(components(links, "line-classes"), "roots")
-    classed = lists.drop("lead", "copies").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    # Only tokens whose lines are in more than one class can still link classes.
+    classed = lists.drop("lead").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     classed = written(classed, "classed")
+    # Only tokens whose lines are in more than one class can still link classes.
     mixed = classed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    rest = classed.join(mixed, "token", "left_semi")
+    rest = classed.join(mixed, "token", "left_semi").distinct()
     across = [F.col("x.token") == F.col("y.token"), F.col("x.line") < F.col("y.line"), F.col("x.root") != F.col("y.root"), may_match(similarity)]
     pairs = rest.alias("x").join(rest.alias("y"), across).select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).distinct()
-    links = links.union(written(_verified(pairs, involved, similarity), "links"))
+    links = links.union(_verified(pairs, lines, similarity))
 
+    # A line of no link is its own class: only linked lines are looked up by their class.
     roots = components(links, "line-classes")
-    rooted = lines.select("line", "first").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    classes = rooted.groupBy("root").agg(F.min("first").alias("class_at"))
-    named = written(rooted.join(classes, "root").select("line", "class_at"), "named")
-    placed = words.select(key, "line_no", F.when(F.size("w") > 0, F.xxhash64("w")).alias("line")).join(named, "line", "left")
-    first_one = F.col("class_at").eqNullSafe(F.struct(key, "line_no"))
-    return placed.select(key, "line_no", "class_at", (F.col("class_at").isNotNull() & ~first_one).alias("removed")), links
+    linked = roots.withColumnRenamed("node", "line").join(first, "line")
+    classes = linked.groupBy("root").agg(F.min("first").alias("class_at"))
+    moved = written(linked.join(classes, "root").select("line", "class_at"), "moved")
+    named = written(first.join(moved, "line", "left").where("copies > 1 OR class_at IS NOT NULL").select("line", F.coalesce("class_at", "first").alias("class_at")), "named")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    at = F.struct(key, "line_no")
+    placed = rows.select(key, "line_no", "line").join(named, "line", "left").withColumn("class_at", F.when(F.col("line").isNotNull(), F.coalesce("class_at", at)))
+    return placed.select(key, "line_no", "class_at", (F.col("line").isNotNull() & ~F.col("class_at").eqNullSafe(at)).alias("removed")), links
 
 
 def kept_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
