@@ -136,3 +136,30 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         named(base).alias("base_labels"), named(F.col("places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+def _sql_list(text: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+
+
+#: Every place of every key phrase, without an index.
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), t(label, base, words, key_place, key) AS (
+  VALUES {", ".join(f"('{t.label}', {str(t.base).lower()}, {_sql_list(t.text)}, {_key_place(t)}, {_sql_list(t.key)})" for t in BASE + NOTICES)}
+), c AS (
+  SELECT doc_id, label, base, words, w,
+         unnest(list_filter(range(len(w)), lambda i: w[i + 1] = key[1] AND w[i + 1:i + len(key)] = key)) - key_place AS start FROM d, t
+), s AS (
+  SELECT doc_id, label, base, start, len(list_filter(range(len(words)), lambda k: start + k >= 0 AND w[start + k + 1] = words[k + 1])) / len(words) AS score FROM c
+), g AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM s WHERE score >= {LEAST_SCORE} GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""

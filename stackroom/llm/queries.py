@@ -20,4 +20,5 @@ ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op9_license_scan": licenses.OP9_SQL,
 }
