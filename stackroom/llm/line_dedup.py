@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stackroom.llm.common import BROADCAST_ROWS, table, written
+from stackroom.llm.common import BROADCAST_KEYS, BROADCAST_ROWS, table, written
 from stackroom.llm.components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -40,11 +40,11 @@ def lines_of(docs: DataFrame, key: str) -> DataFrame:
 
 
 def hashed_lines(docs: DataFrame, key: str) -> DataFrame:
-    """key, line_no, line (its words' hash; null without words), tokens: words are hashed once, runs of hashes again."""
+    """key, line_no, line (its words' hash; null without words), tokens (sorted): words are hashed once, their runs again."""
     rows = lines_of(docs, key).select(key, "line_no", F.when(F.size("w") > 0, F.xxhash64("w")).alias("line"), F.transform("w", lambda w: F.hash(w)).alias("h"))
     n = F.size("h")
     shingles = F.transform(F.sequence(F.lit(0), n - SHINGLE_WORDS), lambda i: F.hash(*[F.get("h", i + k) for k in range(SHINGLE_WORDS)]))
-    tokens = F.when(n >= SHINGLE_WORDS, F.array_distinct(shingles)).when(n > 0, F.array(F.hash("h"))).otherwise(F.array().cast("array<int>"))
+    tokens = F.when(n >= SHINGLE_WORDS, F.sort_array(F.array_distinct(shingles))).when(n > 0, F.array(F.hash("h"))).otherwise(F.array().cast("array<int>"))
     return rows.select(key, "line_no", "line", tokens.alias("tokens"))
 
 
@@ -92,17 +92,32 @@ def postings(lines: DataFrame, tiers: list[list[int]], similarity: float) -> Dat
     few = math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30
     n = F.size("tokens")
     prefix = n - F.ceil(n * similarity - 1e-9).cast("int") + 1
-    order = F.transform("tokens", lambda t: F.shiftleft(tier(t).cast("long"), 33) + t.cast("long")) if tiers[0] else F.col("tokens")
-    rare = lines.where(n >= few).select("line", "copies", n.alias("n"), F.slice(F.sort_array(order), F.lit(1), prefix).alias("rare"))
+    ranked = F.transform("tokens", lambda t: F.shiftleft(tier(t).cast("long"), 33) + t.cast("long"))
+    order = F.sort_array(ranked) if tiers[0] else F.col("tokens")
+    rare = lines.where(n >= few).select("line", "copies", n.alias("n"), F.slice(order, F.lit(1), prefix).alias("rare"))
     return rare.select("line", "copies", "n", F.posexplode("rare").alias("place", "token"))
 
 
+def token_bits(tokens: str) -> list[Column]:
+    """Two longs with a bit for each token, by its hash: sets differ in at least as many tokens as bits."""
+    place = lambda t: F.pmod(F.shiftright(t, 8), F.lit(128))
+    one = F.lit(1).cast("long")
+    low = F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: F.when(place(t) < 64, acc.bitwiseOR(F.call_function("shiftleft", one, place(t)))).otherwise(acc))
+    high = F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: F.when(place(t) >= 64, acc.bitwiseOR(F.call_function("shiftleft", one, place(t) - 64))).otherwise(acc))
+    return [low.alias("low"), high.alias("high")]
+
+
 def may_match(similarity: float) -> Column:
-    """Length and positional filters for postings x and y of one token, which they hold as their first common one."""
+    """Length, positional and bit filters for postings x and y of one token, which they hold as their first common one.
+
+    Sets of the similarity share at least `shared` tokens, so that at most n + n - 2 shared tokens differ.
+    """
     share = similarity / (1 + similarity)
     long_enough = (F.col("x.n") >= F.col("y.n") * similarity - 1e-9) & (F.col("y.n") >= F.col("x.n") * similarity - 1e-9)
+    shared = F.ceil((F.col("x.n") + F.col("y.n")) * share - 1e-9)
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    return long_enough & (left >= F.ceil((F.col("x.n") + F.col("y.n")) * share - 1e-9))
+    differ = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
+    return long_enough & (left >= shared) & (differ <= F.col("x.n") + F.col("y.n") - 2 * shared)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -124,14 +139,19 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", similarity: float = SIMI
     lines, first = distinct_lines(rows, key)
     by_token = Window.partitionBy("token")
     held = postings(lines, rarity_tiers(lines), similarity).withColumns({"lo": F.min("line").over(by_token), "hi": F.max("line").over(by_token)})
-    lead = F.max(F.struct("copies", "line", "n", "place")).over(by_token)
-    lists = written(held.where("lo != hi").withColumn("lead", lead).select("token", "line", "n", "place", F.struct("lead.line", "lead.n", "lead.place").alias("lead")), "lists")
+    shared = written(held.where("lo != hi").select("token", "line", "n", "place", "copies"), "lists")
+    ids = written(shared.select("line").distinct(), "line-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+    bits = lines.join(ids, "line", "left_semi").select("line", *token_bits("tokens")).dropDuplicates(["line"])
+    lists = written(shared.join(bits, "line"), "lists")
 
-    sides = lists.where(F.col("line") != F.col("lead.line")).select("line", F.struct("n", "place").alias("x"), F.col("lead").alias("y")).where(may_match(similarity))
-    links = _verified(sides.select(F.least("line", "y.line").alias("a"), F.greatest("line", "y.line").alias("b")).distinct(), lines, similarity)
+    sides = ["line", "n", "place", "low", "high"]
+    lead = lists.groupBy("token").agg(F.max(F.struct("copies", *sides)).alias("y"))
+    led = lists.select("token", F.struct(*sides).alias("x")).join(lead, "token").where(F.col("x.line") != F.col("y.line")).where(may_match(similarity))
+    links = _verified(led.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct(), lines, similarity)
 
     roots = written(components(links, "line-classes"), "roots")
-    classed = lists.drop("lead").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    classed = lists.drop("copies").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     classed = written(classed, "classed")
     # Only tokens whose lines are in more than one class can still link classes.
     mixed = classed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
