@@ -3,7 +3,7 @@
 
 def same_rows(duck, spark_df, sql: str) -> None:
     """Equal columns, types and rows, in any order."""
-    left, right = spark_df.toArrow(), duck.execute(sql).to_arrow_table()
+    left, right = spark_df.toArrow(), duck.sql(sql).to_arrow_table()
     assert sorted(left.column_names) == sorted(right.column_names)
     names = ",".join(f'"{c}"' for c in left.column_names)
     duck.register("left_", left)
