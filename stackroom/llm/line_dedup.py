@@ -108,16 +108,20 @@ def token_bits(tokens: str) -> list[Column]:
 
 
 def may_match(similarity: float) -> Column:
-    """Length, positional and bit filters for postings x and y of one token, which they hold as their first common one.
-
-    Sets of the similarity share at least `shared` tokens, so that at most n + n - 2 shared tokens differ.
-    """
-    share = similarity / (1 + similarity)
+    """Length and positional filters for postings x and y of one token, which they hold as their first common one."""
     long_enough = (F.col("x.n") >= F.col("y.n") * similarity - 1e-9) & (F.col("y.n") >= F.col("x.n") * similarity - 1e-9)
-    shared = F.ceil((F.col("x.n") + F.col("y.n")) * share - 1e-9)
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return long_enough & (left >= least_shared(similarity))
+
+
+def least_shared(similarity: float) -> Column:
+    return F.ceil((F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def bits_may_match(similarity: float) -> Column:
+    """Of sets of the similarity, at most n + n - 2 shared tokens differ."""
     differ = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
-    return long_enough & (left >= shared) & (differ <= F.col("x.n") + F.col("y.n") - 2 * shared)
+    return differ <= F.col("x.n") + F.col("y.n") - 2 * least_shared(similarity)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -139,24 +143,23 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", similarity: float = SIMI
     lines, first = distinct_lines(rows, key)
     by_token = Window.partitionBy("token")
     held = postings(lines, rarity_tiers(lines), similarity).withColumns({"lo": F.min("line").over(by_token), "hi": F.max("line").over(by_token)})
-    shared = written(held.where("lo != hi").select("token", "line", "n", "place", "copies"), "lists")
-    ids = written(shared.select("line").distinct(), "line-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
-    bits = lines.join(ids, "line", "left_semi").select("line", *token_bits("tokens")).dropDuplicates(["line"])
-    lists = written(shared.join(bits, "line"), "lists")
+    lead = F.max(F.struct("copies", "line", "n", "place")).over(by_token)
+    lists = written(held.where("lo != hi").select("token", "line", "n", "place", F.struct(lead["line"].alias("line"), lead["n"].alias("n"), lead["place"].alias("place")).alias("y")), "lists")
 
-    sides = ["line", "n", "place", "low", "high"]
-    lead = lists.groupBy("token").agg(F.max(F.struct("copies", *sides)).alias("y"))
-    led = lists.select("token", F.struct(*sides).alias("x")).join(lead, "token").where(F.col("x.line") != F.col("y.line")).where(may_match(similarity))
+    led = lists.select(F.struct("line", "n", "place").alias("x"), "y").where(F.col("x.line") != F.col("y.line")).where(may_match(similarity))
     links = _verified(led.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct(), lines, similarity)
 
+    # Only tokens whose lines are in more than one class can still link classes. Their postings get the lines' bits.
     roots = written(components(links, "line-classes"), "roots")
-    classed = lists.drop("copies").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    classed = written(classed, "classed")
-    # Only tokens whose lines are in more than one class can still link classes.
-    mixed = classed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    rest = classed.join(mixed, "token", "left_semi").distinct()
-    across = [F.col("x.token") == F.col("y.token"), F.col("x.line") < F.col("y.line"), F.col("x.root") != F.col("y.root"), may_match(similarity)]
+    known = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+    classed = lists.drop("y").join(known.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    open_lists = classed.withColumns({"lo": F.min("root").over(by_token), "hi": F.max("root").over(by_token)}).where("lo != hi").drop("lo", "hi")
+    open_lists = written(open_lists, "open-lists")
+    ids = written(open_lists.select("line").distinct(), "line-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+    bits = lines.join(ids, "line", "left_semi").select("line", *token_bits("tokens")).dropDuplicates(["line"])
+    rest = open_lists.join(bits, "line")
+    across = [F.col("x.token") == F.col("y.token"), F.col("x.line") < F.col("y.line"), F.col("x.root") != F.col("y.root"), may_match(similarity), bits_may_match(similarity)]
     pairs = rest.alias("x").join(rest.alias("y"), across).select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).distinct()
     links = links.union(_verified(pairs, lines, similarity))
 
