@@ -89,3 +89,13 @@ def test_query_parsing(one):
 def test_stems(one):
     stem = lambda w: one(analyze.stem(F.lit(w)))
     assert stem("documentos") == "documento" and stem("rapidamente") == "rapid" and stem("normais") == "normal" and stem("homens") == "homem"
+
+
+def test_sql_functions(spark):
+    from stackroom.functions import sql
+
+    sql.register(spark)
+    row = spark.sql(
+        "SELECT cosine_similarity_of(array(3, 4), array(4, 3)) AS c, cosine_similarity_of(array(0), array(1)) AS z, euclidean_distance(array(0, 0), array(3, 4)) AS e, token_estimate('a b  c d') AS t, fold_accents('AÇÃO') AS f"
+    ).first()
+    assert (round(row.c, 6), row.z, row.e, row.t, row.f) == (0.96, 0, 5, 6, "acao")
