@@ -1,9 +1,9 @@
 """Mixing sources to target weights along a training run.
 
 Every source has a schedule, a weight over the run's time 0 to 1. Its integral, scaled to the source's target, is the
-source's cumulative demand for words. Documents lie along that demand in the order of a hash, pass after pass over the
-source; inverting the demand at the middle of a document's stretch gives its training position, and the mix is
-range-sorted by position.
+source's cumulative demand for words. Documents lie along that demand in the order of a hash, but for the largest, which
+lead, pass after pass over the source; inverting the demand at the middle of a document's stretch gives its training
+position, and the mix is range-sorted by position.
 
 Defined cases: a null text has no words; a null source is a source of its own, after all others; documents without
 words are taken once, with no words; repeated rows are separate documents; an empty table gives an empty mix; further
@@ -22,6 +22,8 @@ from stackroom.llm.common import running_sum, table, text_of, written
 WEIGHTS = (5, 2, 1)
 #: Words of the mix as a multiple of all words, and the most passes over one source.
 SHARE, CAP = 1.5, 2
+#: A document of more than 1 / LARGEST of its source's words is one of its largest: there are fewer than LARGEST.
+LARGEST = 100
 #: Weight over time as knots (time, weight), by position in WEIGHTS: the first fades, the last one grows.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.6, 1.0), (1.0, 1.75)))
 
@@ -80,8 +82,10 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", schedules=SCHEDULES, weights=
     named = named.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_hash", F.xxhash64("_key", "size"))
     sizes = named.groupBy("_source", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes.drop("_source"), weights, share, cap).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    laid = running_sum(named, ["_source"], "_hash", F.col("size"), "_from", ["_key"])
-    rows = laid.join(targets.drop("source"), "_source")
+    # A source's few largest documents come first, by size, so that the cut at its target falls between small ones.
+    sized = named.join(targets.drop("source"), "_source")
+    first = F.when(F.col("size") * LARGEST > F.col("source_size"), ((1 - F.col("size") / F.col("source_size")) * (1 << 51)).cast("long")).otherwise(F.col("_hash"))
+    rows = running_sum(sized.withColumn("_hash", first), ["_source"], "_hash", F.col("size"), "_from", ["_key"])
     middle = lambda turn: F.col("_from") + F.col("source_size") * turn + F.col("size") / 2
     taken = F.filter(F.sequence(F.lit(0), F.lit(cap - 1)), lambda turn: (middle(turn) <= F.col("target")) | ((turn == 0) & (F.col("size") == 0)))
 
