@@ -16,7 +16,7 @@ ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 #: A lookup side is broadcast up to this many rows, which its builder counts first; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
-#: The same for a single column of 64-bit keys, some 25 MB.
+#: The same for a single column of 64-bit keys: at most some 90 MB as a hashed relation.
 BROADCAST_KEYS = 1_000_000
 
 

@@ -36,7 +36,7 @@ TIERS = (8, 64, 512)
 def lines_of(docs: DataFrame, key: str) -> DataFrame:
     """key, line_no (from 0), words, one row a line."""
     lines = docs.where(F.col("text").isNotNull()).select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select(key, "line_no", F.filter(F.split(F.lower("line"), "[^a-z0-9\\p{L}\\p{N}]+"), lambda w: w != "").alias("w"))
+    return lines.select(key, "line_no", F.array_remove(F.split(F.lower("line"), "[^a-z0-9\\p{L}\\p{N}]+"), "").alias("w"))
 
 
 def hashed_lines(docs: DataFrame, key: str) -> DataFrame:
@@ -100,10 +100,10 @@ def postings(lines: DataFrame, tiers: list[list[int]], similarity: float) -> Dat
 
 def token_bits(tokens: str) -> list[Column]:
     """Two longs with a bit for each token, by its hash: sets differ in at least as many tokens as bits."""
-    place = lambda t: F.pmod(F.shiftright(t, 8), F.lit(128))
-    one = F.lit(1).cast("long")
-    low = F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: F.when(place(t) < 64, acc.bitwiseOR(F.call_function("shiftleft", one, place(t)))).otherwise(acc))
-    high = F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: F.when(place(t) >= 64, acc.bitwiseOR(F.call_function("shiftleft", one, place(t) - 64))).otherwise(acc))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t)  # noqa: E731  by t's lowest six bits
+    side = lambda t: F.lit(64).bitwiseAND(t)
+    low = F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: F.when(side(t) == 0, acc.bitwiseOR(bit(t))).otherwise(acc))
+    high = F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: F.when(side(t) == 0, acc).otherwise(acc.bitwiseOR(bit(t))))
     return [low.alias("low"), high.alias("high")]
 
 
@@ -128,7 +128,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     """(a, b) -> a, b, similarity of the pairs that are similar enough. Only lines in a pair are looked up."""
     pairs = written(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     sets = written(lines.join(wanted, "line", "left_semi").select("line", "tokens"), "line-sets").dropDuplicates(["line"])
     sides = pairs.join(sets.select(F.col("line").alias("a"), F.col("tokens").alias("at")), "a").join(sets.select(F.col("line").alias("b"), F.col("tokens").alias("bt")), "b")
     shared = F.size(F.array_intersect("at", "bt"))
