@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stackroom.llm.common import running_sum, table, text_of, written
+from stackroom.llm.common import maybe_broadcast, running_sum, table, text_of, written
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -83,7 +83,9 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", schedules=SCHEDULES, weights=
     sizes = named.groupBy("_source", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes.drop("_source"), weights, share, cap).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     # A source's few largest documents come first, by size, so that the cut at its target falls between small ones.
-    sized = named.join(targets.drop("source"), "_source")
+    # The targets are one row a source; broadcast, they leave a hot source's rows where they are.
+    targets = written(targets, "targets")
+    sized = named.join(maybe_broadcast(targets.drop("source"), targets.count()), "_source")
     first = F.when(F.col("size") * LARGEST > F.col("source_size"), ((1 - F.col("size") / F.col("source_size")) * (1 << 51)).cast("long")).otherwise(F.col("_hash"))
     rows = running_sum(sized.withColumn("_hash", first), ["_source"], "_hash", F.col("size"), "_from", ["_key"])
     middle = lambda turn: F.col("_from") + F.col("source_size") * turn + F.col("size") / 2
