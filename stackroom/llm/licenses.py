@@ -1,7 +1,8 @@
 """License scanning with a positional index of rare tokens, by DataFrame functions only.
 
-Templates are short license notices. Each is indexed under its ANCHORS words of highest IDF, counted over the documents
-that are scanned, with their positions in it. A document's anchor words look up the postings; what they say about where a
+Templates are short license notices. Each is indexed under the ANCHORS words of highest IDF of its key phrase, counted over
+the documents that are scanned, with their positions in it. The whole phrase must stand for a match, so that its words
+miss none. A document's anchor words look up the postings; what they say about where a
 template would start is intersected, and starts that enough anchors agree on are verified: the template's mandatory key
 phrase must stand at its place, and the share of the template's words found at theirs is the score.
 
@@ -76,12 +77,12 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, in
 
 
 def anchor_postings(templates: list[Template], df: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """word -> (template, place) for the words of highest IDF of each template."""
+    """word -> (template, place) for the words of highest IDF of each template's key phrase."""
     out: dict[str, list[tuple[int, int]]] = {}
     for number, t in enumerate(templates):
-        words = t.text.split()
+        words = t.key.split()
         rarest = sorted(dict.fromkeys(words), key=lambda w: (df.get(w, 0), w))[:ANCHORS]
-        for place, word in enumerate(words):
+        for place, word in enumerate(words, _key_place(t)):
             if word in rarest:
                 out.setdefault(word, []).append((number, place))
     return out
@@ -98,7 +99,7 @@ def scan(docs: DataFrame, keys: list[str], templates: list[Template] = BASE + NO
         F.struct(
             F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.array(*map(F.lit, t.text.split())).alias("words"),
             F.lit(_key_place(t)).alias("key_place"), F.array(*map(F.lit, t.key.split())).alias("key"),
-            F.lit(min(AGREE, len(set(t.text.split())))).alias("agree"),
+            F.lit(min(AGREE, len(set(t.key.split())))).alias("agree"),
         ) for t in templates
     ])
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(list(postings)))

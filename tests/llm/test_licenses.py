@@ -36,6 +36,25 @@ def test_key_phrase_is_mandatory(spark, docs_of):
     assert rows == {1: [], 2: [("mit", 0.8)]}
 
 
+def test_abbreviated_notices_are_found(spark, docs_of):
+    """Words that notices leave out are the rarest of their templates."""
+    texts = ["CC BY-NC 4.0", "cc by sa 4 0", "x CC BY-ND 4.0", "xx xx xx mit license", "released and the mit license"]
+    rows = {r.doc_id: {p.label for p in r.places} for r in L.scan(docs_of(list(enumerate(texts))), ["doc_id"]).collect()}
+    assert rows == {0: {"cc-by", "cc-by-nc"}, 1: {"cc-by", "cc-by-sa"}, 2: {"cc-by", "cc-by-nd"}, 3: set(), 4: {"mit"}}
+
+
+def test_abbreviated_notices_equal_sql(spark, docs_of):
+    import duckdb
+
+    con = duckdb.connect()
+    texts = ["CC BY-NC 4.0", "CC BY-SA 4.0, twice: CC BY-SA 4.0", "and the MIT license", "GNU General Public License version 3", "no license"]
+    docs = docs_of(list(enumerate(texts)))
+    con.register("documents", docs.toArrow())
+    wanted = con.sql(f"SELECT doc_id, labels FROM ({L.OP9_SQL.strip()})").fetchall()
+    got = L.scan(docs, ["doc_id"]).collect()
+    assert {r.doc_id: ",".join(sorted({p.label for p in r.places})) for r in got} == dict(wanted)
+
+
 def test_query_equals_brute_force(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in L.op9_license_scan(spark, small).collect():
