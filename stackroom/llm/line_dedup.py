@@ -27,6 +27,8 @@ from stackroom.llm.common import BROADCAST_KEYS, BROADCAST_ROWS, table, written
 from stackroom.llm.components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Lines of at most so many tokens are also told by a 64-bit hash of them: different lines can have equal tokens.
+FEW_TOKENS = 3
 TIER_BUCKETS = 1 << 16
 #: A bucket belongs to a higher tier for each of these multiples of the mean load that it exceeds. At most
 #: TIER_BUCKETS / 8 buckets exceed the first, whatever the corpus: the list that tells tiers apart is bounded.
@@ -40,12 +42,15 @@ def lines_of(docs: DataFrame, key: str) -> DataFrame:
 
 
 def hashed_lines(docs: DataFrame, key: str) -> DataFrame:
-    """key, line_no, line (its words' hash; null without words), tokens (sorted): words are hashed once, their runs again."""
+    """key, line_no, line (its words' hash; null without words), tokens (sorted), same (hash of few tokens): words are hashed once, their runs again."""
     rows = lines_of(docs, key).select(key, "line_no", F.when(F.size("w") > 0, F.xxhash64("w")).alias("line"), F.transform("w", lambda w: F.hash(w)).alias("h"))
     n = F.size("h")
     shingles = F.transform(F.sequence(F.lit(0), n - SHINGLE_WORDS), lambda i: F.hash(*[F.get("h", i + k) for k in range(SHINGLE_WORDS)]))
     tokens = F.when(n >= SHINGLE_WORDS, F.sort_array(F.array_distinct(shingles))).when(n > 0, F.array(F.hash("h"))).otherwise(F.array().cast("array<int>"))
-    return rows.select(key, "line_no", "line", tokens.alias("tokens"))
+    whole = rows.select(key, "line_no", "line", tokens.alias("tokens"), "h")
+    runs = F.transform(F.sequence(F.lit(0), n - SHINGLE_WORDS), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(SHINGLE_WORDS)]))
+    same = F.when((n >= SHINGLE_WORDS) & (F.size("tokens") <= FEW_TOKENS), F.xxhash64(F.sort_array(F.array_distinct(runs))))
+    return whole.select(key, "line_no", "line", "tokens", same.alias("same"))
 
 
 def distinct_lines(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +66,7 @@ def distinct_lines(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     placed = rows.where("line IS NOT NULL").join(F.broadcast(twice) if few else twice, "line", "left")
     # Rows that repeat their place, too, would stay several times: the least of them would need another shuffle, and
     # every later step allows for repeated lines.
-    single = placed.where(F.col("first").isNull() | F.col("first").eqNullSafe(at)).select("line", F.coalesce("copies", F.lit(1)).alias("copies"), "tokens")
+    single = placed.where(F.col("first").isNull() | F.col("first").eqNullSafe(at)).select("line", F.coalesce("copies", F.lit(1)).alias("copies"), "tokens", "same")
     return (single if few else written(single, "lines")), first
 
 
@@ -136,6 +141,13 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     return written(jaccard.where(F.col("similarity") >= similarity - 1e-9), "links")
 
 
+def equal_sets(lines: DataFrame) -> DataFrame:
+    """a, b, similarity: different lines of the same few tokens, each linked with the least of them."""
+    held = lines.where("same IS NOT NULL").select("same", "line")
+    least = held.groupBy("same").agg(F.min("line").alias("a"), F.max("line").alias("z")).where("a != z").drop("z")
+    return held.join(least, "same").where("line != a").select("a", F.col("line").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+
+
 def similar_lines(docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, links). rows: key, line_no, class_at (key, line_no of the class's first line; null without words), removed;
     links: a, b, similarity of distinct lines, enough of them to connect every class."""
@@ -148,6 +160,7 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", similarity: float = SIMI
 
     led = lists.select(F.struct("line", "n", "place").alias("x"), "y").where(F.col("x.line") != F.col("y.line")).where(may_match(similarity))
     links = _verified(led.select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct(), lines, similarity)
+    links = links.union(written(equal_sets(lines), "equal-sets"))
 
     # Only tokens whose lines are in more than one class can still link classes. Their postings get the lines' bits.
     roots = written(components(links, "line-classes"), "roots")

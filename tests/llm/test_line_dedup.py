@@ -68,6 +68,12 @@ def test_many_near_copies_of_one_line(spark, docs_of, words):
     check(L.similar_lines(docs_of(docs))[0])(docs)
 
 
+def test_repeated_words(spark, docs_of):
+    texts = ["ha ha ha ha ha", "ha ha ha ha ha ha", "a b a b a b", "0 0 0 0 0 0", "b a b a b a b", "a b a b a b a", "ha ha ha", "0 0 0 0 0", "a b c a b c a b", "a b c a b c a", "one two three four five"]
+    docs = list(enumerate(texts))
+    check(L.similar_lines(docs_of(docs))[0])(docs)
+
+
 def test_edges(spark, docs_of, words):
     docs = [(1, None), (2, ""), (3, "\n\n"), (4, "One. two"), (5, "one TWO"), (6, words(0, 30_000)), (7, words(0, 30_000) + " more"), (8, "é\nÉ")]
     check(L.similar_lines(docs_of(docs))[0])(docs)
