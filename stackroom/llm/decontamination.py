@@ -1,15 +1,14 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, by DataFrame functions only.
+"""Benchmark decontamination: MinHash containment search, by DataFrame functions only.
 
-Items are partitioned by their number of shingles (powers of two). An item of at most HASHES shingles is sketched by all
-of them, a larger one by its least shingle under each of HASHES hash functions. A document is searched with every shingle
-it has: the sketch slots it hits estimate how much of the item it contains, however long it is itself. What reaches a
-partition's number of hits is verified by exact shingle containment on the words.
+An item of at most HASHES shingles is sketched by all of them, a larger one by its least shingle under each of HASHES hash functions. A document is searched with every shingle
+it has: the sketch slots it hits estimate how much of the item it contains, however long it is itself. What reaches the
+item's number of hits is verified by exact shingle containment on the words.
 
 A shingle is five words; an item of fewer words is one shingle of all its words, looked up among the document's runs of
 that length. Sketches miss a contained item with a probability below 1e-7.
 
 Defined cases: null and wordless texts neither contain nor are contained; repeated documents each count; items that
-repeat an id are one item of their joint shingles; an empty table on either side gives an empty result; further columns
+repeat an id are one item of their joint shingles, and so are those without an id; an empty table on either side gives an empty result; further columns
 are not read, and pass through the pipeline stage. Rows of documents are told apart by id and text.
 """
 
@@ -53,7 +52,8 @@ def sketch_index(shingles: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = shingles.groupBy("item").agg(F.countDistinct("shingle").alias("n")).withColumn("partition", F.floor(F.log2("n")).cast("int"))
     small = F.col("n") <= HASHES
     sizes = sizes.withColumn("need", F.when(small, F.ceil(F.col("n") * CONTAINMENT - 1e-9)).otherwise(F.lit(LEAST_HITS)))
-    own = shingles.select("item", "shingle").distinct().join(sizes, "item")
+    one = shingles.select("item", "shingle").distinct()
+    own = one.join(sizes.withColumnRenamed("item", "_item"), one["item"].eqNullSafe(F.col("_item"))).drop("_item")
     whole = own.where(small).select("shingle", "item", F.lit(1).cast("long").alias("slots"))
     hashed = own.where(~small).select("partition", "item", "shingle", F.explode(F.array(*map(F.lit, range(HASHES)))).alias("slot"))
     least = hashed.groupBy("partition", "item", "slot").agg(F.min_by("shingle", F.xxhash64("shingle", "slot")).alias("shingle"))
@@ -72,7 +72,8 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item
     hashed = F.concat(*[runs(F.col("w"), size, F.xxhash64) for size in lengths]) if lengths else F.array().cast("array<bigint>")
     probes = rows.select(key, "_text", F.explode(hashed).alias("shingle"))
     hits = probes.join(maybe_broadcast(slots, n_slots), "shingle").groupBy(key, "_text", "item", "shingle").agg(F.first("slots").alias("slots"))
-    counted = hits.groupBy(key, "_text", "item").agg(F.sum("slots").alias("hit")).join(maybe_broadcast(sizes, n_slots), "item")
+    summed = hits.groupBy(key, "_text", "item").agg(F.sum("slots").alias("hit"))
+    counted = summed.join(maybe_broadcast(sizes.withColumnRenamed("item", "_item"), n_slots), summed["item"].eqNullSafe(F.col("_item"))).drop("_item")
     candidates = written(counted.where("hit >= need").select(key, "_text", "item", "n"), "candidates")
 
     wanted = candidates.select(key, "_text").distinct()

@@ -31,6 +31,13 @@ def test_equals_brute_force(spark, docs_of, words):
     assert got == expected and (3, 1, round(contains(docs[2][1], items[0][1]), 6)) in got
 
 
+def test_item_without_id(spark, docs_of, words):
+    table = spark.createDataFrame([(1, words(0, 40)), (None, words(100, 120)), (None, words(200, 260))], "item_id long, text string")
+    docs = docs_of([(1, words(100, 120) + " " + words(200, 260)), (2, words(0, 40)), (3, words(300, 340))])
+    got = D.contained_items(docs, table).collect()
+    assert sorted((r.doc_id, r.item_id or 0, r.shared, r.n_shingles) for r in got) == [(1, 0, 72, 72), (2, 1, 36, 36)]
+
+
 def test_empty_sides(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contained_items(docs_of([(1, "a b c d e f")]), none).isEmpty()
