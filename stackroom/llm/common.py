@@ -87,6 +87,20 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Bits of the filter below: 16 MB, whatever it is made of.
+FILTER_BITS = 1 << 27
+
+
+def possible(df: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """Rows of df whose key may be among known's (of the same name): all that are, and few others as long as known has
+    fewer keys than FILTER_BITS. The filter has a fixed size and is broadcast, so that df's rows don't move for it."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = known.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    placed = df.withColumn("_at", F.bitmap_bit_position(place)).withColumn("_bucket", F.bitmap_bucket_number(place))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.join(F.broadcast(bits), "_bucket").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).drop("_at", "_bucket", "_bits")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

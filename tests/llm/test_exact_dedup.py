@@ -4,6 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from stackroom.llm import exact_dedup as E
+from stackroom.llm.common import possible
 
 
 def located(docs):
@@ -30,6 +31,29 @@ def test_groups(spark, docs_of):
     assert all(r.kept == (r.id == r.keep_id) for r in out)
 
 
+def test_groups_beyond_the_broadcast(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(E, "BROADCAST_ROWS", 0)
+    out = E.exact_duplicates(located(docs_of(ROWS))).collect()
+    assert {r.id: (r.keep_id, r.group_size, r.digest) for r in out} == brute(ROWS)
+
+
+def test_ids_of_another_type(spark):
+    rows = spark.createDataFrame([("a", "x", "1"), ("b", "X", "2"), (None, "x", "3")], "doc_id string, text string, locator string")
+    assert {(r.id, r.keep_id, r.group_size, r.kept) for r in E.exact_duplicates(rows).collect()} == {("a", "b", 3, False), ("b", "b", 3, True), (None, "b", 3, False)}
+
+
+def test_possible_keeps_all_known_keys_and_few_others(spark):
+    every = spark.range(20_000).selectExpr("concat('k', id) AS k", "id AS _bucket2")
+    kept = {r.k for r in possible(every, "k", every.where("_bucket2 % 7 = 0").select("k")).collect()}
+    assert {f"k{i}" for i in range(0, 20_000, 7)} <= kept and len(kept) < 3200
+
+
+def test_the_session_keeps_its_settings(spark, docs_of):
+    before = dict(spark.conf.getAll)
+    E.exact_duplicates(located(docs_of(ROWS[:4]))).collect()
+    assert dict(spark.conf.getAll) == before
+
+
 def test_equal_digests_of_different_texts(spark, docs_of, monkeypatch):
     """With a digest that collides for everything, the comparison of full bytes still finds the true groups."""
     monkeypatch.setattr(E.F, "sha2", lambda *_: F.lit("same"))
@@ -50,8 +74,6 @@ def test_empty(spark, docs_of):
 def test_state_goes_on_from_its_checkpoint(spark, docs_of, tmp_path):
     schema = "id long, digest string, locator string"
     paths = [f"file://{tmp_path}/{x}" for x in ("in", "check", "out")]
-    empty = "digest string, best struct<id: bigint, locator: string>, group_size bigint, batch int"
-    spark.createDataFrame([], empty).write.parquet(paths[2] + "/b=none")
     for rows in ([(1, "x", "p"), (2, "y", "q")], [(9, "x", "r"), (3, "z", "s")]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(paths[0])
         got = E.keep_latest(spark, paths[0], spark.createDataFrame([], schema).schema, paths[1], paths[2])
