@@ -6,6 +6,7 @@ from stackroom.llm import line_dedup as L
 
 
 def brute(docs):
+    """(doc, line_no) -> (class's first line, number of links, copies, removed), for distinct ids."""
     lines = defaultdict(list)
     for doc_id, text in docs:
         for n, line in enumerate(text.split("\n") if text is not None else []):
@@ -13,6 +14,7 @@ def brute(docs):
     blank = lines.pop((), [])
     tokens = {w: {w[i : i + 5] for i in range(len(w) - 4)} if len(w) >= 5 else {w} for w in lines}
     root = {w: w for w in lines}
+    links = defaultdict(set)
 
     def find(w):
         while root[w] != w:
@@ -25,18 +27,21 @@ def brute(docs):
             shared = len(tokens[a] & tokens[b])
             if shared / (len(tokens[a]) + len(tokens[b]) - shared) >= L.SIMILARITY - 1e-9:
                 root[find(a)] = find(b)
+                links[a].add(b), links[b].add(a)
     classes = defaultdict(list)
     for w in lines:
         classes[find(w)] += lines[w]
-    first = {at: min(c) for c in classes.values() for at in c}
-    return first | dict.fromkeys(blank)
+    out = dict.fromkeys(blank, (None, 0, None, False))
+    for w, places in lines.items():
+        later = any(min(lines[x]) < min(places) for x in links[w])
+        out |= {at: (min(classes[find(w)]), len(links[w]), len(places), later or at != min(places)) for at in places}
+    return out
 
 
 def check(rows):
     def run(docs):
-        got = {(r.doc_id, r.line_no): tuple(r.class_at) if r.class_at else None for r in rows.collect()}
+        got = {(r.doc_id, r.line_no): (tuple(r.class_at) if r.class_at else None, r.n_links, r.copies, r.removed) for r in rows.collect()}
         assert got == brute(docs)
-        assert all(r.removed == (r.class_at is not None and tuple(r.class_at) != (r.doc_id, r.line_no)) for r in rows.collect())
 
     return run
 
@@ -80,6 +85,39 @@ def test_edges(spark, docs_of, words):
     assert L.similar_lines(docs_of([]))[0].isEmpty()
 
 
+def test_later_matches_go_only_if_they_match(spark, docs_of, words):
+    """a ~ b ~ c, but not a ~ c: c stands before b and matches nothing earlier, so that only b goes."""
+    a, b, c = words(0, 100), words(0, 90) + " " + words(200, 210), words(0, 80) + " " + words(300, 310) + " " + words(200, 210)
+    rows, links = L.similar_lines(docs_of([(1, a), (2, c), (3, b)]), similarity=0.7)
+    assert {r.doc_id: (r.class_at.doc_id, r.n_links, r.removed) for r in rows.collect()} == {1: (1, 1, False), 2: (1, 1, False), 3: (1, 2, True)}
+    assert links.count() == 2
+
+
+def test_a_frequent_token_is_dealt_to_several_tasks(spark, docs_of, words, monkeypatch):
+    monkeypatch.setattr(L, "DEALT", 8)
+    monkeypatch.setattr(L, "CARRIED", 3)
+    docs = [(i, f"{words(0, 70)} {words(1000 + 9 * i, 1000 + 9 * i + i % 9)}") for i in range(60)]
+    check(L.similar_lines(docs_of(docs))[0])(docs)
+
+
+def test_pairs_do_not_grow_with_a_shared_passage(spark, docs_of, words):
+    """Lines that share a passage but are not similar make no pairs beyond those that pass the filters."""
+
+    def pairs(n):
+        docs = docs_of([(i, f"{words(0, 60)} {words(1000 + 60 * i, 1030 + 60 * i)}") for i in range(n)]).selectExpr("doc_id AS doc", "doc_id AS row", "text")
+        sets = L.token_sets(docs, L.raw_lines(docs).select("raw").distinct())
+        return L.candidates(L.postings(sets, L.frequencies(sets), L.SIMILARITY), L.SIMILARITY).count()
+
+    assert pairs(40) == pairs(160) == 0
+
+
+def test_repeated_rows(spark, docs_of, words):
+    rows = L.similar_lines(docs_of([(1, words(0, 9)), (1, words(0, 9)), (None, words(0, 9)), (2, "own")]))[0].collect()
+    assert sorted((str(r.doc_id), r.copies, r.removed) for r in rows) == [("1", 3, True), ("1", 3, True), ("2", 1, False), ("None", 3, False)]
+
+
 def test_kept_texts(spark, docs_of, words):
-    docs = docs_of([(1, f"{words(0, 30)}\nown line"), (2, f"other\n{words(0, 31)}\n")])
-    assert {r.doc_id: r.text for r in L.kept_texts(docs).collect()} == {1: f"{words(0, 30)}\nown line", 2: "other\n"}
+    rows = [(1, f"{words(0, 30)}\nown line"), (2, f"other\n{words(0, 31)}\n"), (3, None), (4, "own line"), (5, ""), (5, "mine"), (5, "mine")]
+    docs = docs_of(rows).selectExpr("*", "1 AS row", "2 AS line_no", "'x' AS first")
+    got = sorted(((r.doc_id, r.text) for r in L.kept_texts(docs).collect()), key=str)
+    assert got == sorted([(1, f"{words(0, 30)}\nown line"), (2, "other\n"), (3, None), (4, ""), (5, ""), (5, "mine"), (5, "")], key=str)
