@@ -35,14 +35,19 @@ def stem(word: Column) -> Column:
     return out
 
 
-def postings(docs: DataFrame, fields: list[tuple[str, str]], keys: list[str], stop_words: tuple[str, ...] = (), stemmed: bool = False) -> DataFrame:
-    """keys, term, pos (from 0, over all fields in order), label. fields: (column, label)."""
+def postings(docs: DataFrame, fields: list[tuple[str, str]], keys: list[str], stop_words: tuple[str, ...] = (), stemmed: bool = False, only: list[str] | None = None) -> DataFrame:
+    """keys, term, pos (from 0, over all fields in order), label. fields: (column, label). With `only`, the postings of
+    these words: others are left out within the row, before anything is exploded."""
 
     def labelled(column: str, label: str) -> Column:
         return F.transform(tokens(F.coalesce(F.col(column), F.lit("")), stop_words), lambda w: F.struct(w.alias("term"), F.lit(label).alias("label")))
 
     made = [labelled(*field) for field in fields]
-    rows = docs.select(*keys, F.posexplode(F.concat(*made)).alias("pos", "p"))
+    if only is not None:
+        placed = F.transform(F.concat(*made), lambda p, i: F.struct(i.alias("pos"), p.alias("p")))
+        rows = docs.select(*keys, F.explode(F.filter(placed, lambda x: x["p"]["term"].isin(only))).alias("x")).select(*keys, "x.pos", "x.p")
+    else:
+        rows = docs.select(*keys, F.posexplode(F.concat(*made)).alias("pos", "p"))
     term = stem(F.col("p.term")) if stemmed else F.col("p.term")
     return rows.where(F.col("p.term").isNotNull()).select(*keys, term.alias("term"), F.col("pos").cast("long").alias("pos"), F.col("p.label").alias("label"))
 

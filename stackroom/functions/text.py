@@ -36,7 +36,8 @@ def collapse_repeated_words(text: Column) -> Column:
 
 
 def collapse_repeated_phrases(text: Column, longest: int = 4) -> Column:
-    """Repeats of phrases of up to `longest` words become one, whatever their case; the longest phrases go first."""
+    """Repeats of phrases of up to `longest` words become one, whatever their case; the longest phrases go first. Bounded:
+    one pass for each length, and longer phrases stay."""
     for n in range(longest, 0, -1):
         phrase = r"\S+" + rf"(?:\s+\S+){{{n - 1}}}" if n > 1 else r"\S+"
         text = F.regexp_replace(text, rf"(?i)(?<!\S)({phrase})(?:\s+\1)+(?!\S)", "$1")
@@ -127,13 +128,11 @@ def overlap_concat(a: Column, b: Column) -> Column:
 
 
 def last_delimiter(text: Column) -> Column:
-    """Place (from 0) of the last of: blank line, line end, ! . ;, the first of them in this order that occurs; else -1."""
-    out = F.lit(-1)
-    for mark in reversed(["\n\n", "\n", "!", ".", ";"]):
-        ahead = F.substring_index(text, mark, -1)
-        at = F.length(text) - F.length(ahead) - len(mark)
-        out = F.when(text.contains(mark), at).otherwise(out)
-    return out.cast("int")
+    """Place (from 0) where the last mark begins: a blank line (two line ends), a line end, ! . or ;. -1 without any. Of
+    the line ends of a run, the first and second are one mark, then the next two."""
+    last = F.length(text) - F.length(F.regexp_extract(text, r"(?s)([^\n!.;]*)\z", 1)) - 1
+    run = F.length(F.regexp_extract(F.left(text, last + 1), r"(\n+)\z", 1))
+    return F.when((run > 0) & (run % 2 == 0), last - 1).otherwise(last).cast("int")
 
 
 def keyword_sections(text: Column, keywords: list[str]) -> Column:
@@ -182,8 +181,8 @@ def verify_checksum(text: Column, digest: Column) -> Column:
     return F.when(F.length(given) <= 10, short).when(F.length(given) <= 40, given == F.md5(raw)).when(F.length(given) <= 70, given == F.sha2(raw, 256)).otherwise(F.lit(False))
 
 
-#: The standard namespace for URLs.
-NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+# Fixed value: the namespace of names.
+NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
 
 def cleaned_for_id(text: Column) -> Column:

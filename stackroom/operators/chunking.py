@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.functions.text import chunk_tokens, fold, truncate, word_count
+from stackroom.functions.text import chunk_tokens, fold, word_count
 
 # --- pieces ---------------------------------------------------------------------------------------------------------
 
@@ -43,17 +43,23 @@ def packed(pieces: Column, most: int, size: Callable[[Column], Column] = F.lengt
 # --- headings -------------------------------------------------------------------------------------------------------
 
 
+# Patterns of heading lines, their tag (None: the mark is the tag, its length the level), and whether they
+# count only between blank lines.
+HEADING_LINES = [(r"^(#{1,6})\s+", None, False), (r"^[A-Z][A-Z\s]*$", "h1", True), (r"^\d+[.)]\s+", "numbered", False)]
+
+
 def line_headings(line: Column, before: Column, after: Column) -> Column:
     """struct (tag, level, title) of a heading line, else null."""
     bare = F.trim(line)
-    mark = F.regexp_extract(bare, r"^(#{1,6})\s+", 1)
-    heading = lambda tag, level, title: F.struct(tag.alias("tag"), level.cast("int").alias("level"), title.alias("title"))
     alone = (F.trim(F.coalesce(before, F.lit("x"))) == "") & (F.trim(F.coalesce(after, F.lit("x"))) == "")
-    return (
-        F.when(mark != "", heading(mark, F.length(mark), F.trim(F.regexp_replace(bare, r"^#{1,6}\s+", ""))))
-        .when((bare != "") & bare.rlike(r"^[A-Z\s]+$") & alone, heading(F.lit("h1"), F.lit(1), bare))
-        .when(bare.rlike(r"^\d+[.)]\s+"), heading(F.lit("numbered"), F.lit(1), bare))
-    )
+    found = F.lit(None).cast("struct<tag:string,level:int,title:string>")
+    for pattern, name, between_blanks in reversed(HEADING_LINES):
+        mark = F.lit(name) if name else F.regexp_extract(bare, pattern, 1)
+        level = F.lit(1) if name else F.length(mark)
+        title = bare if name else F.trim(F.regexp_replace(bare, pattern, ""))
+        fits = bare.rlike(pattern) & (alone if between_blanks else F.lit(True))
+        found = F.when(fits, F.struct(mark.alias("tag"), level.cast("int").alias("level"), title.alias("title"))).otherwise(found)
+    return found
 
 
 def wiki_heading(line: Column) -> Column:
@@ -64,7 +70,7 @@ def wiki_heading(line: Column) -> Column:
     return (
         F.when(bare.rlike(r"^===\s*[^=].*===$"), heading("wiki-subsection", 3, named))
         .when(bare.rlike(r"^==\s*[^=].*==$"), heading("wiki-section", 2, named))
-        .when(bare.rlike(r"^'''.+'''$"), heading("bold-title", 2, F.replace(bare, F.lit("'''"), F.lit(""))))
+        .when(bare.rlike(r"^'''.+'''$"), heading("bold-title", 4, F.replace(bare, F.lit("'''"), F.lit(""))))
     )
 
 
@@ -126,6 +132,7 @@ def with_chunks(df: DataFrame, text: Column, out: str = "chunks", separator: str
         )
 
     def finish(acc: Column) -> Column:
+        # Only the last chunk can be small; nothing comes after it.
         joins = (acc["cur"] < least) & (F.size(acc["starts"]) > 1)
         return F.when(joins, F.slice(acc["starts"], F.lit(1), F.size(acc["starts"]) - 1)).otherwise(acc["starts"])
 
@@ -140,8 +147,9 @@ def with_chunks(df: DataFrame, text: Column, out: str = "chunks", separator: str
 
 
 def chunk_rows(docs: DataFrame, keys: list[str], text: str, separator: str = r"\n\s*\n", **budget) -> DataFrame:
-    """keys, ordem (from 1), texto, tokens."""
-    made = with_chunks(docs, F.col(text), "_chunks", separator, **budget).select(*keys, F.posexplode("_chunks").alias("pos", "c"))
+    """keys, ordem (from 1), texto, tokens. The outer explode keeps the optimizer from testing the chunks' number below
+    the projections, which would make all of them several times."""
+    made = with_chunks(docs, F.col(text), "_chunks", separator, **budget).select(*keys, F.posexplode_outer("_chunks").alias("pos", "c")).where("pos IS NOT NULL")
     return made.select(*keys, (F.col("pos") + 1).cast("long").alias("ordem"), F.col("c.text").alias("texto"), F.col("c.tokens").alias("tokens"))
 
 
@@ -231,9 +239,22 @@ SPLITTERS: dict[str, Callable[[DataFrame, list[str], str], DataFrame]] = {
 # --- embedding plans, vectors, summaries ----------------------------------------------------------------------------
 
 
-def embedding_plan(chapters: DataFrame, keys: list[str], title: str, text: str, separator: str = r"\n\s*\n", small: int = LEAST, medium: int = IDEAL) -> DataFrame:
-    """keys, level, ordem, title, text of what is to be embedded: small chapters with their title, medium ones as they
-    are, larger ones in chunks."""
+#: What is embedded of a chapter: all with its title, the title only, the text only, chunks, or by its size.
+MODES = ("full", "metadata", "text", "split", "auto")
+
+
+def embedding_plan(chapters: DataFrame, keys: list[str], title: str, text: str, separator: str = r"\n\s*\n", small: int = LEAST, medium: int = IDEAL, mode: str = "auto") -> DataFrame:
+    """keys, level, order_chapter, title, text of what is to be embedded. By size: small chapters with their title, medium
+    ones as they are, larger ones in chunks. Chapters without text give nothing."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    chapters = chapters.where(F.trim(F.col(text)) != "")
+    if mode in ("full", "metadata", "text"):
+        whole = {"full": F.concat(title, F.lit("\n"), text), "metadata": F.col(title), "text": F.col(text)}[mode]
+        level = "metadados" if mode == "metadata" else "capitulo"
+        return chapters.select(*keys, F.lit(level).alias("level"), F.lit(1).cast("long").alias("order_chapter"), F.col(title).alias("title"), whole.alias("text"))
+    if mode == "split":
+        small = medium = -1
     counted = chapters.withColumn("_tokens", chunk_tokens(F.col(text)))
     sized = with_chunks(counted, F.when(F.col("_tokens") > medium, F.col(text)), "_chunks", separator)
     one = lambda t: F.array(F.struct(t.alias("text"), F.col("_tokens").alias("tokens")))
@@ -263,33 +284,37 @@ def embed(docs: DataFrame, keys: list[str], text: str, model=None, dimension: in
 
 
 def extractive_summary(text: Column, most: int = 800) -> Column:
-    """Leading sentences of together at most most / 4 words, else the beginning of the text; "..." marks a cut."""
-    kept = F.aggregate(
-        sentences(text), F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("full")),
-        lambda acc, x: F.when(acc["full"] | (acc["n"] + word_count(x) > most // 4), F.struct(acc["s"].alias("s"), acc["n"].alias("n"), F.lit(True).alias("full")))
-        .otherwise(F.struct(F.trim(F.concat(acc["s"], F.lit(" "), x)).alias("s"), (acc["n"] + word_count(x)).alias("n"), F.lit(False).alias("full"))),
-    )
-    return F.when(kept["s"] == "", truncate(text, most)).when(kept["full"], F.concat(kept["s"], F.lit("..."))).otherwise(kept["s"])
+    """Leading sentences, without their marks, of together at most most / 4 words, joined by ". "; else the beginning of
+    the text. "..." follows unless it ends in a mark. A sentence has a word at least, so that no more than most / 4 count."""
+    said = F.slice(F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != ""), 1, most // 4 + 1)
+    fold_words = lambda acc, s: F.struct((acc["words"] + word_count(s)).alias("words"), (acc["kept"] + F.when(acc["words"] + word_count(s) <= most // 4, 1).otherwise(0)).alias("kept"))
+    kept = F.aggregate(said, F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).alias("kept")), fold_words, lambda acc: acc["kept"])
+    summary = F.trim(F.when(kept > 0, F.array_join(F.slice(said, F.lit(1), kept), ". ")).otherwise(F.left(text, F.lit(most))))
+    return F.when(summary.rlike(r"[.!?]\z"), summary).otherwise(F.concat(summary, F.lit("...")))
+
+
+# Telling words of a sentence, in the order in which they count; the question's beginning; the characters
+# of the sentence that it takes; and whether only those after the word.
+QUESTIONS = [("é", "O que ", 50, False), ("são", "O que ", 50, False), ("quando", "Quando ", 50, True), ("como", "Como ", 50, True), ("onde", "Onde ", 50, True)]
+OTHER_QUESTION, OTHER_TAKEN, SUMMARY_QUESTION = "Sobre ", 30, "Qual é o resumo do documento?"
 
 
 def simple_question(sentence: Column) -> Column:
-    """A question about a sentence, by the first of its telling words."""
+    """A question about a sentence, by the first telling word of the table that it holds."""
     s = F.lower(F.trim(sentence))
-    after = lambda word: F.substring(s, F.locate(word, s) + len(word), F.greatest(F.lit(0), F.least(F.length(s), F.lit(50)) - (F.locate(word, s) - 1 + len(word))))
-    return (
-        F.when(s.contains("é") | s.contains("são"), F.concat(F.lit("O que "), F.left(s, F.lit(50)), F.lit("?")))
-        .when(s.contains("quando"), F.concat(F.lit("Quando "), after("quando"), F.lit("?")))
-        .when(s.contains("como"), F.concat(F.lit("Como "), after("como"), F.lit("?")))
-        .when(s.contains("onde"), F.concat(F.lit("Onde "), after("onde"), F.lit("?")))
-        .otherwise(F.concat(F.lit("Sobre "), F.left(s, F.lit(30)), F.lit("?")))
-    )
+    asked = lambda begin, said: F.concat(F.lit(begin), said, F.lit("?"))
+    out = asked(OTHER_QUESTION, F.left(s, F.lit(OTHER_TAKEN)))
+    for word, begin, taken, after in reversed(QUESTIONS):
+        said = F.left(s, F.lit(taken))
+        out = F.when(s.contains(word), asked(begin, F.substr(said, F.locate(word, s) + len(word)) if after else said)).otherwise(out)
+    return out
 
 
 def question_answer_pairs(docs: DataFrame, keys: list[str], text: str, k: int = 3) -> DataFrame:
-    """keys, n, question, answer from the first k sentences of over 20 characters; fewer are padded with the summary."""
+    """keys, n, question, answer from the first k sentences of over 20 characters; fewer are padded with a short summary."""
     good = F.slice(F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) > 20), 1, k)
     pairs = F.transform(good, lambda s: F.struct(simple_question(s).alias("question"), s.alias("answer")))
-    padded = F.when(F.size(pairs) < k, F.concat(pairs, F.array(F.struct(F.lit("Qual é o resumo do documento?").alias("question"), truncate(F.col(text), 200).alias("answer"))))).otherwise(pairs)
+    padded = F.when(F.size(pairs) < k, F.concat(pairs, F.array(F.struct(F.lit(SUMMARY_QUESTION).alias("question"), extractive_summary(F.col(text), 200).alias("answer"))))).otherwise(pairs)
     return docs.select(*keys, F.posexplode(padded).alias("pos", "p")).select(*keys, (F.col("pos") + 1).cast("long").alias("n"), "p.question", "p.answer")
 
 

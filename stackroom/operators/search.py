@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stackroom.functions import vectors
-from stackroom.functions.analyze import LABEL_WEIGHTS
+from stackroom.functions.analyze import LABEL_WEIGHTS, parse_query
 
 DIGITS = 6
 #: Queries whose vectors one pass over the rows holds; a larger set is searched in blocks.
@@ -22,10 +22,6 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     return F.round(made, DIGITS)
 
 
-def literal_vector(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
 def nearest(rows: DataFrame, vector: str, query: Column, k: int, key: str = "id", metric: str = "l2") -> DataFrame:
     """rows with distance, the k nearest: a take-ordered, nothing is sorted as a whole."""
     return rows.withColumn("distance", distance(F.col(vector), query, metric)).where(F.col("distance").isNotNull()).orderBy("distance", key).limit(k)
@@ -49,10 +45,11 @@ def text_scores(postings: DataFrame, terms: DataFrame, keys: list[str], mode: st
     """keys, (query columns of terms), text_rank. terms: term and any query columns.
 
     Broad: every occurrence of a term counts with its label's weight. Strict: only rows with all terms of the query.
+    A row's occurrences of a term are summed before they meet the queries that ask for it; terms are distinct for each.
     """
     per = [c for c in terms.columns if c != "term"]
-    hits = postings.join(F.broadcast(terms), "term")
-    summed = hits.groupBy(*keys, *per).agg(F.sum(label_weight(F.col("label"))).alias("text_rank"), F.countDistinct("term").alias("found"))
+    once = postings.groupBy(*keys, "term").agg(F.sum(label_weight(F.col("label"))).alias("weight"))
+    summed = once.join(terms, "term").groupBy(*keys, *per).agg(F.sum("weight").alias("text_rank"), F.count("*").alias("found"))
     if mode == "strict":
         wanted = terms.groupBy(*per).agg(F.countDistinct("term").alias("wanted")) if per else terms.agg(F.countDistinct("term").alias("wanted"))
         joined = summed.join(F.broadcast(wanted), per) if per else summed.join(F.broadcast(wanted))
@@ -74,6 +71,18 @@ def phrase_matches(postings: DataFrame, phrase: list[str], key: str) -> DataFram
     return rows.groupBy(key, shift.alias("start")).agg(F.countDistinct("s.i").alias("n")).where(F.col("n") == len(phrase)).select(key, "start")
 
 
+def text_search(postings_of, query_text: str, spark, keys: list[str], mode: str = "broad") -> DataFrame:
+    """keys, text_rank for one query text: its terms and the words of its phrases are scored, rows must hold every phrase
+    and none of the excluded words. postings_of(words) gives the postings of these words only; key columns: keys."""
+    asked = spark.range(1).select(parse_query(F.lit(query_text)).alias("q")).first().q
+    words = list(dict.fromkeys([*asked.terms, *(w for p in asked.phrases for w in p)]))
+    index = postings_of([*words, *asked.excluded])
+    scored = text_scores(index, spark.createDataFrame([(w,) for w in words], "term string"), keys, mode)
+    for phrase in asked.phrases:
+        scored = scored.join(phrase_matches(index, phrase, keys[0]).select(keys[0]).distinct(), keys[0], "left_semi")
+    return exclude(scored, index, asked.excluded, keys[0])
+
+
 def cut_with_ties(rows: DataFrame, by: str, most: int, ascending: bool) -> DataFrame:
     """Rows whose rank by `by` is at most `most`, ties included, with `rank`; only candidates pass the global window."""
     order = F.col(by).asc() if ascending else F.col(by).desc()

@@ -29,10 +29,10 @@ _RANK = "round(sum(CASE label WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.4 WHEN 'C' THEN
 _IN = ", ".join(f"'{x}'" for x in TERMS)
 
 
-def postings(t):
+def postings(t, only=None):
     first = F.substring_index("text", "\n", 1)
     rest = F.substr(F.col("text"), F.length(first) + 1)
-    return analyze.postings(t.documents.select("doc_id", first.alias("first"), rest.alias("rest")), [("first", "A"), ("rest", "C")], ["doc_id"]).withColumnRenamed("doc_id", "id")
+    return analyze.postings(t.documents.select("doc_id", first.alias("first"), rest.alias("rest")), [("first", "A"), ("rest", "C")], ["doc_id"], only=only).withColumnRenamed("doc_id", "id")
 
 
 def query_vectors(t):
@@ -40,7 +40,7 @@ def query_vectors(t):
 
 
 def query_terms(t):
-    words = F.slice(analyze.tokens(F.col("text")), 1, 2)
+    words = analyze.tokens(F.col("text"))
     return t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(words)).alias("term"))
 
 
@@ -154,7 +154,7 @@ def x1(t):
 def x2(t):
     docs = t.documento.where(F.col("biblioteca_id").isin(0, 1, 2)).select("id")
     terms = t.spark.createDataFrame([(x,) for x in TERMS], "term string")
-    scored = S.text_scores(postings(t).join(docs, "id", "left_semi"), terms, ["id"])
+    scored = S.text_scores(postings(t, TERMS).join(docs, "id", "left_semi"), terms, ["id"])
     return scored.orderBy(F.desc("text_rank"), "id").limit(K).select("id", F.col("text_rank").alias("score"))
 
 
@@ -164,7 +164,7 @@ def x2(t):
 )
 def _(t):
     terms = t.spark.createDataFrame([("the",), ("and",), ("of",)], "term string")
-    return S.text_scores(postings(t), terms, ["id"], "strict").select("id", F.col("text_rank").alias("score"))
+    return S.text_scores(postings(t, ["the", "and", "of"]), terms, ["id"], "strict").select("id", F.col("text_rank").alias("score"))
 
 
 _HYBRID = f"""WITH p AS ({POSTINGS}),
@@ -179,7 +179,7 @@ def semantic_side(t):
 
 
 def textual_side(t):
-    return S.text_scores(postings(t), t.spark.createDataFrame([(x,) for x in TERMS], "term string"), ["id"])
+    return S.text_scores(postings(t, TERMS), t.spark.createDataFrame([(x,) for x in TERMS], "term string"), ["id"])
 
 
 @query(
@@ -195,7 +195,7 @@ def x3(t):
 _BATCH_SEM = f"""SELECT q.id AS query_id, e.id, {_COS % ('e.embedding_vector', 'q.embedding_vector')} AS distance,
    row_number() OVER (PARTITION BY q.id ORDER BY {_COS % ('e.embedding_vector', 'q.embedding_vector')}, e.id) AS rank FROM doc_embedding e, doc_embedding q WHERE q.id % 50 = 0"""
 _BATCH_TXT = f"""SELECT query_id, p.id, {_RANK} AS text_rank, row_number() OVER (PARTITION BY query_id ORDER BY {_RANK} DESC, p.id) AS rank FROM p
-   JOIN (SELECT DISTINCT item_id AS query_id, unnest(({_WORDS})[1:2]) AS term FROM benchmark WHERE item_id % 50 = 0) q USING (term) GROUP BY query_id, p.id"""
+   JOIN (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark WHERE item_id % 50 = 0) q USING (term) GROUP BY query_id, p.id"""
 
 
 @query("x4_batch_semantic", f"SELECT query_id, id, distance, rank FROM ({_BATCH_SEM}) WHERE rank <= {K}")
@@ -261,14 +261,27 @@ def _(t):
     return postings(t)
 
 
-@query("x10_phrase", f"WITH p AS ({POSTINGS}) SELECT a.id, a.pos AS start FROM p a JOIN p b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
+@query("x10_phrase", f"WITH p AS ({POSTINGS}) SELECT id, CAST(pos AS BIGINT) AS start FROM (SELECT id, pos, term, lead(term) OVER (PARTITION BY id ORDER BY pos) AS next FROM p) WHERE term = 'of' AND next = 'the'")
 def _(t):
-    return S.phrase_matches(postings(t), ["of", "the"], "id")
+    return S.phrase_matches(postings(t, ["of", "the"]), ["of", "the"], "id")
+
+
+@query(
+    "x7b_query_text",
+    f"""WITH p AS ({POSTINGS}), phrase AS (SELECT DISTINCT id FROM (SELECT id, term, lead(term) OVER (PARTITION BY id ORDER BY pos) AS next FROM p) WHERE term = 'of' AND next = 'the')
+        SELECT p.id, {_RANK} AS score FROM p JOIN documento d ON d.id = p.id WHERE term IN ('and', 'in', 'of', 'the') AND biblioteca_id IN (0, 1, 2) AND flag_vigente
+          AND p.id IN (SELECT id FROM phrase) AND p.id NOT IN (SELECT id FROM p WHERE term = 'with') GROUP BY p.id ORDER BY score DESC, p.id LIMIT {K}""",
+)
+def _(t):
+    """Terms, a phrase, an exclusion, the libraries and the current documents of one query text."""
+    docs = t.documento.where(F.col("biblioteca_id").isin(0, 1, 2) & F.col("flag_vigente")).select("id")
+    found = S.text_search(lambda words: postings(t, words), 'And AND in "of the" NOT with', t.spark, ["id"])
+    return found.join(docs, "id", "left_semi").orderBy(F.desc("text_rank"), "id").limit(K).select("id", F.col("text_rank").alias("score"))
 
 
 @query("x11_exclusion", f"WITH p AS ({POSTINGS}) SELECT id, {_RANK} AS score FROM p WHERE term = 'the' AND id NOT IN (SELECT id FROM p WHERE term IN ('with', 'from')) GROUP BY id")
 def _(t):
-    index = postings(t)
+    index = postings(t, ["the", "with", "from"])
     scored = S.text_scores(index, t.spark.createDataFrame([("the",)], "term string"), ["id"])
     return S.exclude(scored, index, ["with", "from"], "id").select("id", F.col("text_rank").alias("score"))
 

@@ -92,8 +92,8 @@ def _(t):
 
 @query(
     "f13_uuid5",
-    f"""SELECT doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), lower(to_hex((('0x' || substr(h, 17, 1))::INT & 3) | 8)) || substr(h, 18, 3), substr(h, 21, 12)) AS uuid
-        FROM (SELECT doc_id, sha1(unhex('{X.NAMESPACE.replace("-", "")}') || encode(lower(regexp_replace(text, '\\s+', '', 'g')))) AS h FROM documents)""",
+    """SELECT doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), lower(to_hex((('0x' || substr(h, 17, 1))::INT & 3) | 8)) || substr(h, 18, 3), substr(h, 21, 12)) AS uuid
+        FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(lower(regexp_replace(text, '\\s+', '', 'g')))) AS h FROM documents)""",
 )
 def _(t):
     return t.documents.select("doc_id", X.uuid5(F.col("text")).alias("uuid"))
@@ -112,9 +112,9 @@ def _(t):
 
 @query(
     "f16_last_delimiter",
-    """SELECT doc_id, CAST(CASE WHEN contains(s, chr(10)) THEN length(s) - strpos(reverse(s), chr(10)) WHEN contains(s, '!') THEN length(s) - strpos(reverse(s), '!')
-              WHEN contains(s, '.') THEN length(s) - strpos(reverse(s), '.') WHEN contains(s, ';') THEN length(s) - strpos(reverse(s), ';') ELSE -1 END AS INT) AS place
-       FROM (SELECT doc_id, text AS s FROM documents)""",
+    """SELECT doc_id, CAST(p - CASE WHEN k > 0 AND k % 2 = 0 THEN 1 ELSE 0 END AS INT) AS place FROM
+       (SELECT doc_id, p, p + 1 - length(rtrim(substr(s, 1, p + 1), chr(10))) AS k FROM
+         (SELECT doc_id, text AS s, list_max(list_transform([chr(10), '!', '.', ';'], lambda m: CASE WHEN contains(text, m) THEN length(text) - strpos(reverse(text), m) ELSE -1 END)) AS p FROM documents))""",
 )
 def _(t):
     return t.documents.select("doc_id", X.last_delimiter(F.col("text")).alias("place"))
@@ -401,10 +401,42 @@ def _(t):
 
 @query(
     "t16_embedding_plan",
-    f"""SELECT id, 'capitulo' AS level, CASE WHEN k <= 512 THEN titulo || chr(10) || conteudo ELSE conteudo END AS text FROM (SELECT *, floor({WC('conteudo')} / 0.75) AS k FROM chapter) WHERE k <= 2000""",
+    f"""SELECT id, CASE WHEN k <= 2000 THEN 'capitulo' ELSE 'trecho' END AS level, CASE WHEN k <= 2000 THEN titulo ELSE titulo || ' - Chunk 1' END AS first_title, CAST(1 AS BIGINT) AS first_order,
+               trim(regexp_replace(CASE WHEN k <= 512 THEN titulo || chr(10) || conteudo ELSE conteudo END, '\\s+', ' ', 'g')) AS text
+        FROM (SELECT *, floor({WC('conteudo')} / 0.75) AS k FROM chapter WHERE trim(conteudo) <> '')""",
 )
 def _(t):
-    return C.embedding_plan(t.chapter, ["id"], "titulo", "conteudo", r"\n").where("level = 'capitulo'").select("id", "level", "text")
+    """All rows of the plan: the chunks of a chapter are put together again, in their order."""
+    plan = C.embedding_plan(t.chapter, ["id"], "titulo", "conteudo", r"\n")
+    parts = F.array_sort(F.collect_list(F.struct("order_chapter", "title", "text")))
+    whole = plan.groupBy("id", "level").agg(parts.alias("p"))
+    text = F.trim(F.regexp_replace(F.array_join("p.text", "\n"), r"\s+", " "))
+    return whole.select("id", "level", F.get("p", F.lit(0))["title"].alias("first_title"), F.get("p", F.lit(0))["order_chapter"].alias("first_order"), text.alias("text"))
+
+
+@query(
+    "t16b_embedding_plan_chunks",
+    f"""SELECT doc_id, CASE WHEN k <= 400 THEN 'capitulo' ELSE 'trecho' END AS level, words FROM (SELECT doc_id, {WC('text')} AS words, floor({WC('text')} / 0.75) AS k FROM documents WHERE trim(text) <> '')""",
+)
+def _(t):
+    plan = C.embedding_plan(t.documents.withColumn("titulo", F.lit("")), ["doc_id"], "titulo", "text", r"\n", small=100, medium=400)
+    return plan.groupBy("doc_id", "level").agg(F.sum(X.word_count(F.col("text"))).alias("words"))
+
+
+@query(
+    "t16c_embedding_modes",
+    """SELECT id, m AS mode, CASE m WHEN 'metadata' THEN 'metadados' ELSE 'capitulo' END AS level, CASE m WHEN 'full' THEN titulo || chr(10) || conteudo WHEN 'metadata' THEN titulo ELSE conteudo END AS text
+       FROM chapter, (VALUES ('full'), ('metadata'), ('text')) v(m) WHERE trim(conteudo) <> ''""",
+)
+def _(t):
+    plan = lambda mode: C.embedding_plan(t.chapter, ["id"], "titulo", "conteudo", r"\n", mode=mode).select("id", F.lit(mode).alias("mode"), "level", "text")
+    return plan("full").union(plan("metadata")).union(plan("text"))
+
+
+@query("t16d_embedding_split", f"SELECT id, {WC('conteudo')} AS words FROM chapter WHERE trim(conteudo) <> ''")
+def _(t):
+    plan = C.embedding_plan(t.chapter, ["id"], "titulo", "conteudo", r"\n", mode="split")
+    return plan.groupBy("id").agg(F.sum(X.word_count(F.col("text"))).alias("words"))
 
 
 @query(
@@ -422,7 +454,15 @@ def _(t):
     return C.embed(t.documents, ["doc_id"], "text")
 
 
-@query("t18_extractive_summary")
+def summary_sql(most: int) -> str:
+    """summary of each text of documents, as SQL: kept is the number of leading sentences of most / 4 words together."""
+    kept = f"len(list_filter(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda s: {WC('s')})) <= {most // 4}))"
+    made = f"trim(CASE WHEN kept > 0 THEN array_to_string(p[1:kept], '. ') ELSE substr(text, 1, {most}) END)"
+    return f"""SELECT doc_id, text, CASE WHEN regexp_matches(made, '[.!?]$') THEN made ELSE made || '...' END AS summary FROM (SELECT doc_id, text, {made} AS made FROM (SELECT *, {kept} AS kept FROM
+      (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s)), lambda s: s <> '')[1:{most // 4 + 1}] AS p FROM documents)))"""
+
+
+@query("t18_extractive_summary", f"SELECT doc_id, summary FROM ({summary_sql(400)})")
 def _(t):
     return t.documents.select("doc_id", C.extractive_summary(F.col("text"), 400).alias("summary"))
 
@@ -430,11 +470,14 @@ def _(t):
 @query(
     "t19_question_answers",
     """WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 20)[1:3] AS p FROM documents)
-       SELECT doc_id, n, trim(p[n]) AS answer FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS n FROM s)
-       UNION ALL SELECT doc_id, len(p) + 1, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END FROM s JOIN documents USING (doc_id) WHERE len(p) < 3""",
+       SELECT doc_id, n, CASE WHEN contains(l, 'é') OR contains(l, 'são') THEN 'O que ' || substr(l, 1, 50) WHEN contains(l, 'quando') THEN 'Quando ' || substr(substr(l, 1, 50), strpos(l, 'quando') + 6)
+              WHEN contains(l, 'como') THEN 'Como ' || substr(substr(l, 1, 50), strpos(l, 'como') + 4) WHEN contains(l, 'onde') THEN 'Onde ' || substr(substr(l, 1, 50), strpos(l, 'onde') + 4)
+              ELSE 'Sobre ' || substr(l, 1, 30) END || '?' AS question, answer
+       FROM (SELECT doc_id, n, p[n] AS answer, lower(p[n]) AS l FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS n FROM s))
+       UNION ALL SELECT doc_id, len(p) + 1, 'Qual é o resumo do documento?', summary FROM s JOIN (""" + summary_sql(200) + """) USING (doc_id) WHERE len(p) < 3""",
 )
 def _(t):
-    return C.question_answer_pairs(t.documents, ["doc_id"], "text").select("doc_id", "n", "answer")
+    return C.question_answer_pairs(t.documents, ["doc_id"], "text")
 
 
 @query("t20_summary_rows")

@@ -21,14 +21,14 @@ def ingest_text(rows: DataFrame, libraries: DataFrame, today: Column) -> DataFra
 
 
 def ingest_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Metadata and title of web pages: the last part of the path, else the first line of the text."""
+    """Metadata and title of web pages: their own title, else the last part of the path, else the first line of the text."""
     from stackroom.operators.pages import html_text, html_title
 
     path = F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")
     named = F.when(F.rtrim(F.replace(path, F.lit("/"), F.lit(" "))) == "", None).otherwise(title_from_name(F.regexp_replace(path, "/+$", "")))
     return pages.select(
         "*", F.when(is_html(F.col(html)), "text/html").otherwise("text/plain").alias("detected_format"),
-        F.coalesce(F.when(html_title(F.col(html)) != "", html_title(F.col(html))), named).alias("titulo"), html_text(F.col(html)).alias("texto"),
+        F.coalesce(F.when(html_title(F.col(html)) != "", html_title(F.col(html))), named, title_from_text(html_text(F.col(html)))).alias("titulo"), html_text(F.col(html)).alias("texto"),
     )
 
 

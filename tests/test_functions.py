@@ -49,7 +49,7 @@ def test_strikethrough(one):
 
 def test_ids_and_checksums(one):
     text = "Some  Text"
-    assert one(X.uuid5(F.lit(text))) == str(uuid.uuid5(uuid.NAMESPACE_URL, "sometext"))
+    assert one(X.uuid5(F.lit(text))) == str(uuid.uuid5(uuid.NAMESPACE_DNS, "sometext"))
     assert one(X.uuid5(F.lit("  "))) == str(uuid.UUID(int=0))
     assert one(X.verify_checksum(F.lit(text), F.md5(F.lit(text)))) is True
     assert one(X.verify_checksum(F.lit(text), F.lit("0"))) is False
@@ -58,7 +58,8 @@ def test_ids_and_checksums(one):
 def test_pieces_of_text(one):
     assert one(X.overlap_concat(F.lit("abcd"), F.lit("cdef"))) == "abcdef"
     assert one(X.overlap_concat(F.lit("ab"), F.lit("xy"))) == "abxy"
-    assert one(X.last_delimiter(F.lit("a. b\nc"))) == 4
+    marks = {"a. b\nc": 4, "a. b\nc. d": 6, "a!\n\nb": 2, "a\n\n\nb": 3, "a\n\n\n\n": 3, "a;b": 1, "a.": 1}
+    assert {s: one(X.last_delimiter(F.lit(s))) for s in marks} == marks
     assert one(X.last_delimiter(F.lit("none"))) == -1
     assert one(X.title_from_text(F.lit("\n## Title \nx"))) == "Title"
     assert one(X.title_from_name(F.lit("C:\\in\\a-b_c.md"))) == "a b c"

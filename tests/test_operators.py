@@ -74,7 +74,7 @@ def test_wiki(spark):
     text = "{{box|a}}Some [[Page|name]] and [[Other]]<ref>x</ref> <!-- c -->[http://a.b link]"
     assert spark.range(1).select(C.clean_wiki(F.lit(text))).first()[0] == "Some name and Other link"
     level = lambda s: spark.range(1).select(C.wiki_heading(F.lit(s)).alias("h")).first().h
-    assert level("=== deep ===").level == 3 and level("== high ==").level == 2 and level("'''bold'''").tag == "bold-title" and level("text") is None
+    assert level("=== deep ===").level == 3 and level("== high ==").level == 2 and level("'''bold'''").level == 4 and level("text") is None
 
 
 def test_pages(spark):
