@@ -1,27 +1,45 @@
 """Benchmark decontamination: MinHash containment search, by DataFrame functions only.
 
-An item of at most HASHES shingles is sketched by all of them, a larger one by its least shingle under each of HASHES hash functions. A document is searched with every shingle
-it has: the sketch slots it hits estimate how much of the item it contains, however long it is itself. What reaches the
-item's number of hits is verified by exact shingle containment on the words.
+Items are partitioned by size, in powers of two. A partition has its number of hash functions, more for larger items, and
+its number of hits that make a candidate. An item is sketched by its least shingle under each of the partition's hash
+functions, or by all its shingles if these are no more. A document is searched with every shingle it has: the slots it hits
+estimate how much of the item it contains, however long it is itself. What reaches the item's number of hits is verified by
+exact shingle containment on the words.
 
 A shingle is five words; an item of fewer words is one shingle of all its words, looked up among the document's runs of
-that length. Sketches miss a contained item with a probability below 1e-7.
+that length. Sketches miss a contained item with a probability below MISSED.
 
 Defined cases: null and wordless texts neither contain nor are contained; repeated documents each count; items that
-repeat an id are one item of their joint shingles, and so are those without an id; an empty table on either side gives an empty result; further columns
-are not read, and pass through the pipeline stage. Rows of documents are told apart by id and text.
+repeat an id are one item of their joint shingles, and so are those without an id; very long texts are searched whole; an
+empty table on either side gives an empty result; further columns are not read, and pass through the pipeline stage. Rows
+of documents are told apart by id and text.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackroom.llm.common import BROADCAST_ROWS, maybe_broadcast, table, text_of, written
+from stackroom.llm.common import BROADCAST_ROWS, maybe_broadcast, possible, table, text_of, written
+
+SHINGLE_WORDS, CONTAINMENT, MISSED = 5, 0.8, 1e-7
+#: Hash functions of items under 2**6 shingles, and what each further power of two adds, up to the last one here.
+HASHES, MORE_HASHES, LAST_PARTITION = 24, 8, 9
+
+
+def hashes_of(partition: int) -> int:
+    """Hash functions for items of 2**partition to 2**(partition + 1) - 1 shingles."""
+    return HASHES + MORE_HASHES * max(0, min(partition, LAST_PARTITION) - 5)
+
 
-SHINGLE_WORDS, CONTAINMENT, HASHES = 5, 0.8, 24
-#: Slots of a sketch of HASHES that a document with CONTAINMENT of the item hits but for a chance below 1e-7.
-LEAST_HITS = 8
+def least_hits(hashes: int) -> int:
+    """Slots that a document with CONTAINMENT of the item hits but for a chance below MISSED."""
+    chance, hits = 0.0, 0
+    while (chance := chance + math.comb(hashes, hits) * CONTAINMENT**hits * (1 - CONTAINMENT) ** (hashes - hits)) < MISSED:
+        hits += 1
+    return hits
 
 
 def words_of(text: Column) -> Column:
@@ -49,13 +67,15 @@ def item_shingles(items: DataFrame, item: str) -> DataFrame:
 
 def sketch_index(shingles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(slots, sizes). slots: shingle, item, slots that it fills; sizes: item, n, partition, need (hits to be verified)."""
-    sizes = shingles.groupBy("item").agg(F.countDistinct("shingle").alias("n")).withColumn("partition", F.floor(F.log2("n")).cast("int"))
-    small = F.col("n") <= HASHES
-    sizes = sizes.withColumn("need", F.when(small, F.ceil(F.col("n") * CONTAINMENT - 1e-9)).otherwise(F.lit(LEAST_HITS)))
+    sizes = shingles.groupBy("item").agg(F.countDistinct("shingle").alias("n")).withColumn("partition", F.least(F.floor(F.log2("n")).cast("int"), F.lit(LAST_PARTITION)))
+    plans = F.array(*[F.struct(F.lit(hashes_of(p)).alias("hashes"), F.lit(least_hits(hashes_of(p))).alias("hits")) for p in range(LAST_PARTITION + 1)])
+    plan = F.get(plans, F.col("partition"))
+    small = F.col("n") <= plan["hashes"]
+    sizes = sizes.withColumn("need", F.when(small, F.ceil(F.col("n") * CONTAINMENT - 1e-9)).otherwise(plan["hits"]))
     one = shingles.select("item", "shingle").distinct()
     own = one.join(sizes.withColumnRenamed("item", "_item"), one["item"].eqNullSafe(F.col("_item"))).drop("_item")
     whole = own.where(small).select("shingle", "item", F.lit(1).cast("long").alias("slots"))
-    hashed = own.where(~small).select("partition", "item", "shingle", F.explode(F.array(*map(F.lit, range(HASHES)))).alias("slot"))
+    hashed = own.where(~small).select("partition", "item", "shingle", F.explode(F.sequence(F.lit(0), plan["hashes"] - 1)).alias("slot"))
     least = hashed.groupBy("partition", "item", "slot").agg(F.min_by("shingle", F.xxhash64("shingle", "slot")).alias("shingle"))
     return whole.union(least.groupBy("shingle", "item").agg(F.count("*").alias("slots")).select("shingle", "item", "slots")), sizes
 
@@ -71,6 +91,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item
     rows = docs.select(key, F.xxhash64(text_of()).alias("_text"), words_of(text_of()).alias("w"))
     hashed = F.concat(*[runs(F.col("w"), size, F.xxhash64) for size in lengths]) if lengths else F.array().cast("array<bigint>")
     probes = rows.select(key, "_text", F.explode(hashed).alias("shingle"))
+    probes = probes if n_slots <= BROADCAST_ROWS else possible(probes, "shingle", slots)
     hits = probes.join(maybe_broadcast(slots, n_slots), "shingle").groupBy(key, "_text", "item", "shingle").agg(F.first("slots").alias("slots"))
     summed = hits.groupBy(key, "_text", "item").agg(F.sum("slots").alias("hit"))
     counted = summed.join(maybe_broadcast(sizes.withColumnRenamed("item", "_item"), n_slots), summed["item"].eqNullSafe(F.col("_item"))).drop("_item")

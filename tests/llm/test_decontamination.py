@@ -58,3 +58,22 @@ def test_stage(spark, small, docs_of):
     docs = docs_of([(1, f"ahead {bench} behind"), (2, "clean words"), (None, None), (2, bench)]).selectExpr("*", "1 AS _text", "2 AS item_id")
     left = D.stage(spark, docs, small)
     assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in left.select("doc_id", "text").collect()) == [(0, None), (2, "clean words")]
+
+
+def test_partitions_choose_sketches():
+    assert [D.hashes_of(p) for p in range(12)] == [24] * 6 + [32, 40, 48, 56, 56, 56]
+    assert D.least_hits(24) < D.least_hits(32) < D.least_hits(56) and D.least_hits(24) == 7
+
+
+def test_items_of_every_size(spark, docs_of, words, monkeypatch):
+    """Whole, four fifths, and half of items from 3 to 1500 shingles, inside a long text; with and without the broadcast."""
+    sizes = [3, 20, 30, 70, 150, 300, 700, 1500]
+    items = [(i, words(10_000 * i, 10_000 * i + n + 4)) for i, n in enumerate(sizes, 1)]
+    cut = lambda i, n, share: words(10_000 * i, 10_000 * i + 4 + -(-n * share // 10))
+    around = words(900_000, 903_000)
+    docs = [(100 * i + share, f"{around} {cut(i, n, share)} {around}") for i, n in enumerate(sizes, 1) for share in (10, 8, 5)]
+    expected = {(100 * i + share, i) for i, n in enumerate(sizes, 1) for share in (10, 8)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (D.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(D, "BROADCAST_ROWS", most)
+        assert {(r.doc_id, r.item_id) for r in D.contained_items(docs_of(docs), bench).collect()} == expected
