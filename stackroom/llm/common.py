@@ -54,11 +54,16 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Tables known to have at most so many rows are written as a few files.
+FEW_ROWS, FEW_FILES = 1_000_000, 12
+
+
+def written(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
     """df, computed once and read back from the shared folder: later steps survive the loss of any executor. What its
-    shuffles left on the executors' disks is not needed any more and goes at once."""
+    shuffles left on the executors' disks is not needed any more and goes at once. most_rows: a bound on its rows."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    df = df.coalesce(FEW_FILES) if most_rows is not None and most_rows <= FEW_ROWS else df
     with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

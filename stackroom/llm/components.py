@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.llm.common import written
+from stackroom.llm.common import discard, written
 
 
 def _step(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), label)
     seen = print_of(now)
     while True:
-        now = written(_step(now), label)
+        # A step leaves as many links as it finds, at most.
+        before, now = now, written(_step(now), label, seen[0])
+        discard(before)
         new = print_of(now)
         if new == seen:
             roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
