@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,12 @@ LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 # Frequent Portuguese words that carry no topic.
 STOP_WORDS = ("a", "o", "as", "os", "de", "da", "do", "das", "dos", "e", "em", "no", "na", "nos", "nas", "um", "uma", "para", "por", "com", "que", "se", "ao")
 
-#: Suffix rules of a light Portuguese stemmer, each with the least length of what it leaves: plural, then noun, then verb.
-STEM_RULES = [
-    (r"^(\w{2,})ns$", "$1m"), (r"^(\w{2,})oes$", "$1ao"), (r"^(\w{2,})aes$", "$1ao"), (r"^(\w{2,})ais$", "$1al"), (r"^(\w{2,})eis$", "$1el"),
-    (r"^(\w{3,})res$", "$1r"), (r"^(\w{3,})s$", "$1"), (r"^(\w{3,})amente$", "$1"), (r"^(\w{4,})mente$", "$1"), (r"^(\w{3,})(?:acao|icao|izacao)$", "$1"),
-    (r"^(\w{3,})(?:ando|endo|indo|aria|eria|iria)$", "$1"), (r"^(\w{3,})(?:ar|er|ir|ou|ei|am)$", "$1"), (r"^(\w{3,})[aeo]$", "$1"),
+#: Suffix rules of a light Portuguese stemmer, each with the least length of what it leaves, in three stages: plural,
+#: suffix, final vowel. In each stage the first rule that fits is applied.
+STEM_STAGES = [
+    [(r"^(\w{2,})ns$", "$1m"), (r"^(\w{2,})oes$", "$1ao"), (r"^(\w{2,})aes$", "$1ao"), (r"^(\w{2,})ais$", "$1al"), (r"^(\w{2,})eis$", "$1el"), (r"^(\w{3,})res$", "$1r"), (r"^(\w{3,})s$", "$1")],
+    [(r"^(\w{3,})amente$", "$1"), (r"^(\w{4,})mente$", "$1"), (r"^(\w{3,})(?:acao|icao|izacao)$", "$1"), (r"^(\w{3,})(?:ando|endo|indo|aria|eria|iria)$", "$1"), (r"^(\w{3,})(?:ar|er|ir|ou|ei|am)$", "$1")],
+    [(r"^(\w{3,})[aeo]$", "$1")],
 ]
 
 
@@ -27,20 +30,28 @@ def tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     return F.transform(words, lambda w: F.when(~w.isin(*stop_words), w)) if stop_words else words
 
 
-def stem(word: Column) -> Column:
-    """The first rule that fits is applied."""
+def _stage(rules: list[tuple[str, str]], word: Column) -> Column:
     out = word
-    for pattern, into in reversed(STEM_RULES):
+    for pattern, into in reversed(rules):
         out = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, into)).otherwise(out)
     return out
 
 
+def stem(word: Column) -> Column:
+    """Each stage is bound by a lambda over an array of one, so that it is made once for the next."""
+    words = F.array(word)
+    for rules in STEM_STAGES:
+        words = F.transform(words, partial(_stage, rules))
+    return F.get(words, F.lit(0))
+
+
 def postings(docs: DataFrame, fields: list[tuple[str, str]], keys: list[str], stop_words: tuple[str, ...] = (), stemmed: bool = False, only: list[str] | None = None) -> DataFrame:
     """keys, term, pos (from 0, over all fields in order), label. fields: (column, label). With `only`, the postings of
     these words: others are left out within the row, before anything is exploded."""
 
     def labelled(column: str, label: str) -> Column:
-        return F.transform(tokens(F.coalesce(F.col(column), F.lit("")), stop_words), lambda w: F.struct(w.alias("term"), F.lit(label).alias("label")))
+        words = tokens(F.coalesce(F.col(column), F.lit("")), stop_words)
+        return F.transform(words, lambda w: F.struct((stem(w) if stemmed else w).alias("term"), F.lit(label).alias("label")))
 
     made = [labelled(*field) for field in fields]
     if only is not None:
@@ -48,8 +59,7 @@ def postings(docs: DataFrame, fields: list[tuple[str, str]], keys: list[str], st
         rows = docs.select(*keys, F.explode(F.filter(placed, lambda x: x["p"]["term"].isin(only))).alias("x")).select(*keys, "x.pos", "x.p")
     else:
         rows = docs.select(*keys, F.posexplode(F.concat(*made)).alias("pos", "p"))
-    term = stem(F.col("p.term")) if stemmed else F.col("p.term")
-    return rows.where(F.col("p.term").isNotNull()).select(*keys, term.alias("term"), F.col("pos").cast("long").alias("pos"), F.col("p.label").alias("label"))
+    return rows.where(F.col("p.term").isNotNull()).select(*keys, F.col("p.term").alias("term"), F.col("pos").cast("long").alias("pos"), F.col("p.label").alias("label"))
 
 
 def parse_query(text: Column) -> Column:
@@ -66,3 +76,13 @@ def parse_query(text: Column) -> Column:
     excluded = F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(r"(?:^|\s)-([^\s]+)"), 1), words))
     positive = F.regexp_replace(rest, r"(^|\s)-[^\s]+", " ")
     return F.struct(F.array_distinct(words(positive)).alias("terms"), F.filter(F.transform(phrase_texts, words), lambda p: F.size(p) > 0).alias("phrases"), F.array_distinct(excluded).alias("excluded"))
+
+
+def analyzed(query: Column, stop_words: tuple[str, ...] = (), stemmed: bool = False) -> Column:
+    """A parsed query with its words as postings of the same settings have them: without stop words, which leave a gap of
+    null in phrases, and stemmed."""
+    made = lambda w: stem(w) if stemmed else w
+    words = lambda ws: F.array_distinct(F.transform(F.filter(ws, lambda w: ~w.isin(*stop_words)), made))
+    phrase = lambda ws: F.transform(ws, lambda w: F.when(~w.isin(*stop_words), made(w)))
+    phrases = F.filter(F.transform(query["phrases"], phrase), lambda p: F.exists(p, lambda w: w.isNotNull()))
+    return F.struct(words(query["terms"]).alias("terms"), phrases.alias("phrases"), words(query["excluded"]).alias("excluded"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stackroom.functions.text import chunk_tokens, fold, word_count
 
@@ -104,7 +105,8 @@ def sections(lines: Column, found: Column) -> Column:
 
 #: Tokens of a chunk: closed beyond `ideal` once it has `least`; a paragraph above `most` is cut.
 IDEAL, LEAST, MOST = 2000, 512, 8192
-LARGE_IDEAL, LARGE_LEAST = 8192, 2048
+#: The budget of large chapters: chunk_rows(..., **LARGE).
+LARGE = {"ideal": 8192, "least": 2048, "most": 32768}
 
 
 def _cut_long(paragraph: Column, most: int) -> Column:
@@ -118,8 +120,8 @@ def _cut_long(paragraph: Column, most: int) -> Column:
 
 
 def with_chunks(df: DataFrame, text: Column, out: str = "chunks", separator: str = r"\n\s*\n", ideal: int = IDEAL, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """df with an array of (text, tokens). The fold collects where chunks start, not their texts; a last chunk under
-    `least` joins the one before it. Parts and starts are columns of their own, so that each is made once a row."""
+    """df with an array of (text, tokens). The fold collects where chunks start, not their texts; only the last chunk can
+    be under `least`. Parts and starts are columns of their own, so that each is made once a row."""
     parts = F.flatten(F.transform(paragraphs(text, separator), lambda p: _cut_long(p, most)))
     rows = df.withColumn("_parts", F.transform(parts, lambda p: F.struct(p.alias("text"), chunk_tokens(p).alias("tokens"))))
     start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("cur"), F.lit(0).alias("i"))
@@ -131,12 +133,7 @@ def with_chunks(df: DataFrame, text: Column, out: str = "chunks", separator: str
             F.when(closes, tokens).otherwise(acc["cur"] + tokens).alias("cur"), (acc["i"] + 1).alias("i"),
         )
 
-    def finish(acc: Column) -> Column:
-        # Only the last chunk can be small; nothing comes after it.
-        joins = (acc["cur"] < least) & (F.size(acc["starts"]) > 1)
-        return F.when(joins, F.slice(acc["starts"], F.lit(1), F.size(acc["starts"]) - 1)).otherwise(acc["starts"])
-
-    rows = rows.withColumn("_starts", F.aggregate("_parts.tokens", start, step, finish))
+    rows = rows.withColumn("_starts", F.aggregate("_parts.tokens", start, step, lambda acc: acc["starts"]))
 
     def chunk(s: Column, i: Column) -> Column:
         own = F.slice("_parts", s + 1, F.coalesce(F.get("_starts", i + 1), F.size("_parts")) - s)
@@ -160,6 +157,66 @@ def assembled_paragraphs(text: Column, most_words: int = 200) -> Column:
     return packed(cut, most_words, lambda x: word_count(x).cast("int"), "\n")
 
 
+# --- Markdown sections ----------------------------------------------------------------------------------------------
+
+# A line with heading marks, a line that can be underlined, and the line under it.
+MARKED, UNDERLINED, UNDER = r"^#{1,6}\s+\S", r"^\S", r"^(?:={3,}|-{3,})\s*$"
+LEAD_TITLE = "Introduction"
+
+
+def markdown_headings(lines: Column) -> Column:
+    """array of (pos, next, title): lines with # marks, and lines underlined by === or ---; next is where text begins."""
+
+    def at(line: Column, i: Column) -> Column:
+        before, after = F.get(lines, i - 1), F.get(lines, i + 1)
+        marked = line.rlike(MARKED)
+        is_under = line.rlike(UNDER) & F.coalesce(before.rlike(UNDERLINED) & ~before.rlike(MARKED), F.lit(False))
+        under = line.rlike(UNDERLINED) & F.coalesce(after.rlike(UNDER), F.lit(False)) & ~is_under
+        title = F.trim(F.replace(line, F.lit("#"), F.lit("")))
+        return F.when(marked | under, F.struct(i.alias("pos"), (i + F.when(marked, 1).otherwise(2)).alias("next"), title.alias("title")))
+
+    return F.filter(F.transform(lines, at), lambda h: h.isNotNull())
+
+
+def markdown_sections(lines: Column, found: Column) -> Column:
+    """array of (title, text) between the headings, what comes first under LEAD_TITLE. Sections without text go."""
+    part = lambda title, start, end: F.struct(title.alias("title"), F.regexp_replace(F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n"), r"^\s+|\s+\z", "").alias("text"))
+    lead = F.array(part(F.lit(LEAD_TITLE), F.lit(0), F.coalesce(F.get(found, F.lit(0))["pos"], F.size(lines))))
+    rest = F.transform(found, lambda h, i: part(h["title"], h["next"], F.coalesce(F.get(found, i + 1)["pos"], F.size(lines))))
+    return F.filter(F.concat(lead, rest), lambda s: s["text"] != "")
+
+
+def merged_small(sections: Column, least: int = LEAST) -> Column:
+    """array of (title, text, merged): a section under `least` tokens takes in the next one, which is then passed over."""
+    kind = "array<struct<title:string,text:string,merged:boolean>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.lit(False).alias("open"), F.lit(1).alias("i"))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc["done"], F.lit(-1))
+        joined = F.struct(last["title"].alias("title"), F.concat(last["text"], F.lit("\n\n"), s["text"]).alias("text"), F.lit(True).alias("merged"))
+        alone = F.struct(s["title"].alias("title"), s["text"].alias("text"), F.lit(False).alias("merged"))
+        done = F.when(acc["open"], F.concat(F.slice(acc["done"], F.lit(1), F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc["done"], F.array(alone)))
+        return F.struct(done.alias("done"), (~acc["open"] & (chunk_tokens(s["text"]) < least)).alias("open"), (acc["i"] + 1).alias("i"))
+
+    return F.aggregate(sections, start, step, lambda acc: acc["done"])
+
+
+def markdown_chunks(docs: DataFrame, keys: list[str], text: str, separator: str = r"\n\s*\n", least: int = LEAST, ideal: int = IDEAL, most: int = MOST) -> DataFrame:
+    """keys, section, part (both from 1), titulo, texto, tokens. Texts are cut at Markdown headings, small sections joined
+    to the next, and sections above `most` tokens cut at paragraphs; sections that were joined stay whole."""
+    lines = docs.select(*keys, F.split(F.col(text), "\n").alias("_lines"))
+    found = lines.withColumn("_found", markdown_headings(F.col("_lines")))
+    cut = found.select(*keys, markdown_sections(F.col("_lines"), F.col("_found")).alias("_sections"))
+    rows = cut.select(*keys, F.posexplode_outer(merged_small(F.col("_sections"), least)).alias("_pos", "_s")).where("_pos IS NOT NULL")
+    sized = rows.withColumn("_tokens", chunk_tokens(F.col("_s.text")))
+    chunked = with_chunks(sized, F.when((F.col("_tokens") > most) & ~F.col("_s.merged"), F.col("_s.text")), "_chunks", separator, ideal, least, most)
+    whole = F.array(F.struct(F.col("_s.text").alias("text"), F.col("_tokens").alias("tokens")))
+    pieces = chunked.select(*keys, "_pos", "_s.title", F.size("_chunks").alias("_n"), F.posexplode(F.when(F.size("_chunks") > 0, F.col("_chunks")).otherwise(whole)).alias("_part", "_c"))
+    named = F.when(F.col("_n") > 1, F.concat("title", F.lit(" (Part "), (F.col("_part") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title"))
+    number = lambda c: (F.col(c) + 1).cast("long")
+    return pieces.select(*keys, number("_pos").alias("section"), number("_part").alias("part"), named.alias("titulo"), F.col("_c.text").alias("texto"), F.col("_c.tokens").alias("tokens"))
+
+
 # --- wiki text ------------------------------------------------------------------------------------------------------
 
 
@@ -179,6 +236,24 @@ def numbered_parts(text: Column, words: int = 2000) -> Column:
     return F.transform(packed(paragraphs(text, r"\n+"), words, lambda x: word_count(x).cast("int"), "\n"), lambda p, i: F.struct(F.concat(F.lit("Parte "), (i + 1).cast("string")).alias("title"), p.alias("text")))
 
 
+def wiki_chapters(docs: DataFrame, keys: list[str], title: str, text: str, words: int = 2000) -> DataFrame:
+    """keys, ordem (from 1), level, titulo, texto: a chapter for each wiki or Markdown heading, with its line; a text
+    without headings in parts of at most `words` words, called "title - Parte n" (level 0). As in the surveyed system, what
+    stands before a text's first heading is in no chapter."""
+    lines = docs.select(*keys, F.col(title).alias("_title"), F.col(text).alias("_text"), F.split(F.col(text), "\n").alias("_lines"))
+    marked = lambda line: F.when(line.rlike(MARKED), F.struct(F.lit("#").alias("tag"), F.length(F.regexp_extract(line, "^#+", 0)).alias("level"), F.trim(F.regexp_replace(line, "^#+", "")).alias("title")))
+    heading = lambda line, i: F.struct(i.alias("pos"), F.coalesce(marked(F.trim(line)), wiki_heading(line)).alias("h"))
+    found = lines.withColumn("_found", F.filter(F.transform("_lines", heading), lambda x: x["h"].isNotNull()))
+    after = lambda h, i: F.slice("_lines", h["pos"] + 2, F.coalesce(F.get("_found", i + 1)["pos"], F.size("_lines")) - h["pos"] - 1)
+    body = lambda h, i: F.trim(F.concat(F.trim(F.get("_lines", h["pos"])), F.lit("\n"), clean_wiki(F.array_join(after(h, i), "\n"))))
+    chapter = lambda h, i: F.struct(h["h"]["level"].alias("level"), h["h"]["title"].alias("titulo"), F.regexp_replace(body(h, i), r"\s+\z", "").alias("texto"))
+    part = lambda p: F.struct(F.lit(0).alias("level"), F.concat("_title", F.lit(" - "), p["title"]).alias("titulo"), p["text"].alias("texto"))
+    parts = F.transform(numbered_parts(clean_wiki(F.col("_text")), words), part)
+    made = found.withColumn("_chapters", F.when(F.size("_found") > 0, F.transform("_found", chapter)).otherwise(parts))
+    rows = made.select(*keys, F.posexplode_outer("_chapters").alias("_pos", "_c")).where("_pos IS NOT NULL")
+    return rows.select(*keys, (F.col("_pos") + 1).cast("long").alias("ordem"), "_c.level", "_c.titulo", "_c.texto")
+
+
 # --- routing --------------------------------------------------------------------------------------------------------
 
 # Hosts, endings and words that tell a document's type.
@@ -228,14 +303,26 @@ def with_chunk_size(docs: DataFrame, kind: str, library: str, overrides: DataFra
     return joined.withColumn("chunk_size", F.coalesce("_own", by_kind, F.lit(DEFAULT_CHUNK_SIZE))).drop("_own")
 
 
-#: Splitters by document type, each a function of (docs, keys, text); callers may add their own.
-SPLITTERS: dict[str, Callable[[DataFrame, list[str], str], DataFrame]] = {
-    "generico": lambda docs, keys, text: chunk_rows(docs, keys, text),
-    "normativo": lambda docs, keys, text: chunk_rows(docs, keys, text, r"(?m)(?=^\s*Art\.)"),
-    "wikipedia": lambda docs, keys, text: chunk_rows(docs.withColumn(text, clean_wiki(F.col(text))), keys, text),
+#: Splitters by document type, each a function of (docs, keys, text, separator) that gives keys, ordem, texto, tokens;
+#: types that are not named are cut as "generico". Callers may add their own.
+SPLITTERS: dict[str, Callable[[DataFrame, list[str], str, str], DataFrame]] = {
+    "generico": lambda docs, keys, text, separator: chunk_rows(docs, keys, text, separator),
+    "normativo": lambda docs, keys, text, separator: chunk_rows(docs, keys, text, r"\n(?=\s*Art\.)"),
+    "wikipedia": lambda docs, keys, text, separator: chunk_rows(docs.withColumn(text, clean_wiki(F.col(text))), keys, text, separator),
 }
 
 
+def split_by_type(docs: DataFrame, keys: list[str], text: str, kind: str, separator: str = r"\n\s*\n", splitters: dict | None = None) -> DataFrame:
+    """keys, kind, ordem, texto, tokens: each row of docs by the splitter of its type, column `kind`."""
+    known = SPLITTERS if splitters is None else splitters
+    own = F.coalesce(F.when(F.col(kind).isin(*known), F.col(kind)), F.lit("generico"))
+    out = None
+    for name, split in known.items():
+        part = split(docs.where(own == name), [*keys, kind], text, separator)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- embedding plans, vectors, summaries ----------------------------------------------------------------------------
 
 
@@ -270,8 +357,8 @@ def hash_features(docs: DataFrame, keys: list[str], text: str, dimension: int =
     rows = docs.select(*keys, F.explode(words).alias("w"))
     dim = F.conv(F.substring(F.md5(F.encode("w", "UTF-8")), 1, 8), 16, 10).cast("long") % dimension
     counted = rows.groupBy(*keys, dim.alias("dim")).agg(F.count("*").alias("n"))
-    total = counted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    return counted.join(total, keys).select(*keys, "dim", (F.col("n") / F.col("length")).alias("value"))
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*keys)))
+    return counted.select(*keys, "dim", (F.col("n") / length).alias("value"))
 
 
 def embed(docs: DataFrame, keys: list[str], text: str, model=None, dimension: int = 64) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stackroom.functions import vectors
-from stackroom.functions.analyze import LABEL_WEIGHTS, parse_query
+from stackroom.functions.analyze import LABEL_WEIGHTS, analyzed, parse_query
 
 DIGITS = 6
 #: Queries whose vectors one pass over the rows holds; a larger set is searched in blocks.
@@ -44,17 +44,55 @@ def label_weight(label: Column) -> Column:
 def text_scores(postings: DataFrame, terms: DataFrame, keys: list[str], mode: str = "broad") -> DataFrame:
     """keys, (query columns of terms), text_rank. terms: term and any query columns.
 
-    Broad: every occurrence of a term counts with its label's weight. Strict: only rows with all terms of the query.
-    A row's occurrences of a term are summed before they meet the queries that ask for it; terms are distinct for each.
+    Broad: every occurrence of a term counts with its label's weight. Strict: only rows with all terms of the query, ranked
+    by their covers. A row's occurrences of a term are summed before they meet the queries that ask for it; terms are
+    distinct for each.
     """
+    if mode == "strict":
+        return cover_scores(postings, terms, keys)
     per = [c for c in terms.columns if c != "term"]
     once = postings.groupBy(*keys, "term").agg(F.sum(label_weight(F.col("label"))).alias("weight"))
-    summed = once.join(terms, "term").groupBy(*keys, *per).agg(F.sum("weight").alias("text_rank"), F.count("*").alias("found"))
-    if mode == "strict":
-        wanted = terms.groupBy(*per).agg(F.countDistinct("term").alias("wanted")) if per else terms.agg(F.countDistinct("term").alias("wanted"))
-        joined = summed.join(F.broadcast(wanted), per) if per else summed.join(F.broadcast(wanted))
-        summed = joined.where("found = wanted").drop("wanted")
-    return summed.drop("found").withColumn("text_rank", F.round("text_rank", DIGITS))
+    summed = once.join(terms, "term").groupBy(*keys, *per).agg(F.sum("weight").alias("text_rank"))
+    return summed.withColumn("text_rank", F.round("text_rank", DIGITS))
+
+
+def cover_scores(postings: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, (query columns of terms), text_rank of rows that hold all terms of a query, by cover density: a cover is a
+    shortest stretch with all terms; it counts with the harmonic mean of its occurrences' weights, divided by one more than
+    the other words in it.
+
+    A fold over a row's occurrences keeps the last place of each term. The earliest of these begins the shortest stretch
+    that ends here; it is a cover if no earlier stretch began there.
+    """
+    per = [c for c in terms.columns if c != "term"]
+    grouped = terms.groupBy(*per).agg(F.array_sort(F.collect_set("term")).alias("all"))
+    placed = grouped.select(*per, F.size("all").alias("wanted"), F.posexplode("all").alias("i", "term"))
+    here = postings.join(placed, "term").groupBy(*keys, *per, "wanted").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("i"), (1 / label_weight(F.col("label"))).alias("inverse")))).alias("found"), F.countDistinct("i").alias("held")
+    )
+    spot = "struct<pos:bigint,nth:int,before:double>"
+    start = F.struct(
+        F.array_repeat(F.lit(None).cast(spot), F.col("wanted")).alias("last"), F.lit(0).alias("nth"), F.lit(0.0).alias("sum"), F.lit(0).alias("begun"), F.lit(0.0).alias("score")
+    )
+
+    def step(acc, x):
+        nth, total = acc["nth"] + 1, acc["sum"] + x["inverse"]
+        moved = F.transform(acc["last"], lambda l, j: F.when(j == x["i"], F.struct(x["pos"].alias("pos"), nth.alias("nth"), acc["sum"].alias("before"))).otherwise(l))
+
+        def with_first(last):
+            first = F.when(F.forall(last, lambda l: l.isNotNull()), F.array_min(last))
+            is_cover = F.coalesce(first["nth"] > acc["begun"], F.lit(False))
+            others = (x["pos"] - first["pos"]) - (nth - first["nth"])
+            worth = (nth - first["nth"] + 1) / (total - first["before"]) / (1 + others)
+            return F.struct(
+                last.alias("last"), nth.alias("nth"), total.alias("sum"), F.when(is_cover, first["nth"]).otherwise(acc["begun"]).alias("begun"),
+                (acc["score"] + F.when(is_cover, worth).otherwise(0.0)).alias("score"),
+            )
+
+        return F.get(F.transform(F.array(moved), with_first), F.lit(0))
+
+    score = F.aggregate("found", start, step, lambda acc: acc["score"])
+    return here.where("held = wanted").select(*keys, *per, F.round(score, DIGITS).alias("text_rank"))
 
 
 def exclude(scored: DataFrame, postings: DataFrame, excluded: list[str], key: str) -> DataFrame:
@@ -63,19 +101,21 @@ def exclude(scored: DataFrame, postings: DataFrame, excluded: list[str], key: st
 
 
 def phrase_matches(postings: DataFrame, phrase: list[str], key: str) -> DataFrame:
-    """key, start of every place where the words stand side by side: shifted positions that all words agree on."""
-    shift = F.lit(None).cast("int")
-    spots = F.array(*[F.struct(F.lit(w).alias("term"), F.lit(i).cast("long").alias("i")) for i, w in enumerate(phrase)])
-    rows = postings.where(F.col("term").isin(phrase)).select(key, "term", "pos", F.explode(F.filter(spots, lambda s: s["term"] == F.col("term"))).alias("s"))
+    """key, start of every place where the words stand side by side: shifted positions that all words agree on. None in a
+    phrase stands for any one word."""
+    words = [w for w in phrase if w is not None]
+    spots = F.array(*[F.struct(F.lit(w).alias("term"), F.lit(i).cast("long").alias("i")) for i, w in enumerate(phrase) if w is not None])
+    rows = postings.where(F.col("term").isin(words)).select(key, "term", "pos", F.explode(F.filter(spots, lambda s: s["term"] == F.col("term"))).alias("s"))
     shift = F.col("pos") - F.col("s.i")
-    return rows.groupBy(key, shift.alias("start")).agg(F.countDistinct("s.i").alias("n")).where(F.col("n") == len(phrase)).select(key, "start")
+    return rows.groupBy(key, shift.alias("start")).agg(F.countDistinct("s.i").alias("n")).where(F.col("n") == len(words)).select(key, "start")
 
 
-def text_search(postings_of, query_text: str, spark, keys: list[str], mode: str = "broad") -> DataFrame:
+def text_search(postings_of, query_text: str, spark, keys: list[str], mode: str = "broad", stop_words: tuple[str, ...] = (), stemmed: bool = False) -> DataFrame:
     """keys, text_rank for one query text: its terms and the words of its phrases are scored, rows must hold every phrase
-    and none of the excluded words. postings_of(words) gives the postings of these words only; key columns: keys."""
-    asked = spark.range(1).select(parse_query(F.lit(query_text)).alias("q")).first().q
-    words = list(dict.fromkeys([*asked.terms, *(w for p in asked.phrases for w in p)]))
+    and none of the excluded words. postings_of(words) gives the postings of these words only; key columns: keys. The
+    query's words are analysed as the postings were (stop_words, stemmed)."""
+    asked = spark.range(1).select(analyzed(parse_query(F.lit(query_text)), stop_words, stemmed).alias("q")).first().q
+    words = list(dict.fromkeys([*asked.terms, *(w for p in asked.phrases for w in p if w is not None)]))
     index = postings_of([*words, *asked.excluded])
     scored = text_scores(index, spark.createDataFrame([(w,) for w in words], "term string"), keys, mode)
     for phrase in asked.phrases:
@@ -84,11 +124,13 @@ def text_search(postings_of, query_text: str, spark, keys: list[str], mode: str
 
 
 def cut_with_ties(rows: DataFrame, by: str, most: int, ascending: bool) -> DataFrame:
-    """Rows whose rank by `by` is at most `most`, ties included, with `rank`; only candidates pass the global window."""
+    """Rows whose rank by `by` is at most `most`, ties included, with `rank`. Ranks are made of the first `most` distinct
+    values and their counts, so that tied rows, however many, stay where they are."""
     order = F.col(by).asc() if ascending else F.col(by).desc()
-    edge = rows.select(by).orderBy(order).limit(most).agg((F.max if ascending else F.min)(by).alias("edge"))
-    kept = rows.join(F.broadcast(edge), F.col(by) <= F.col("edge") if ascending else F.col(by) >= F.col("edge")).drop("edge")
-    return kept.withColumn("rank", F.rank().over(Window.orderBy(order))).where(F.col("rank") <= most)
+    values = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).orderBy(order).limit(most)
+    before = F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = values.select(by, (F.coalesce(before, F.lit(0)) + 1).alias("rank")).where(F.col("rank") <= most)
+    return rows.join(F.broadcast(ranked), by)
 
 
 def hybrid_search(semantic: DataFrame, textual: DataFrame, k: int = 10, w_sem: float | Column = 0.6, w_txt: float | Column = 0.4, key: str = "id") -> DataFrame:

@@ -32,6 +32,11 @@ def article_number(line: Column) -> Column:
     return F.regexp_extract(line, r"(?i)^\s*Art(?:igo)?\.?\s+(\d+)", 1).try_cast("int")
 
 
+def article_letter(line: Column) -> Column:
+    """The letter of a lettered article, as in "Art. 76-A"; else empty."""
+    return F.upper(F.regexp_extract(line, r"(?i)^\s*Art(?:igo)?\.?\s+\d+[ºo°]?-([A-Z]{1,2})\b", 1))
+
+
 def statute_header(text: Column) -> list[Column]:
     """type, number and date from the first lines."""
     head = F.regexp_extract(text, r"(?is)\b(lei complementar|lei|decreto-lei|decreto|medida provis[óo]ria|constitui[çc][ãa]o)\b", 1)
@@ -63,14 +68,16 @@ def classified(lines: DataFrame, key: str) -> DataFrame:
 
 
 def articles(lines: DataFrame, key: str) -> DataFrame:
-    """key, article_seq, artigo (number), the outer levels, conteudo; in_order says whether numbers only rise."""
+    """key, article_seq, artigo (number), letra, the outer levels, conteudo; in_order says whether numbers, and the letters
+    of one number, only rise."""
     own = classified(lines, key).where("article_seq > 0 AND (tag IS NULL OR tag = 'artigo')")
     grouped = own.groupBy(key, "article_seq").agg(
         F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows"), *[F.min_by(level, "n").alias(level) for level in OUTER]
     )
-    made = grouped.select(key, F.col("article_seq").cast("long").alias("article_seq"), article_number(F.get("rows.line", F.lit(0))).alias("artigo"), *OUTER, F.array_join("rows.line", "\n").alias("conteudo"))
-    before = F.lag("artigo").over(Window.partitionBy(key).orderBy("article_seq"))
-    return made.withColumn("in_order", F.coalesce(F.col("artigo") > before, F.lit(True)))
+    made = grouped.select(key, F.col("article_seq").cast("long").alias("article_seq"), article_number(F.get("rows.line", F.lit(0))).alias("artigo"), article_letter(F.get("rows.line", F.lit(0))).alias("letra"), *OUTER, F.array_join("rows.line", "\n").alias("conteudo"))
+    place = F.struct("artigo", F.length("letra"), "letra")
+    before = F.lag(place).over(Window.partitionBy(key).orderBy("article_seq"))
+    return made.withColumn("in_order", F.coalesce(place > before, F.lit(True)))
 
 
 def without_comment(line: Column) -> Column:

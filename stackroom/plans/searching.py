@@ -1,6 +1,6 @@
 """Semantic, full-text and hybrid search over the collection, and vector functions over its vectors.
 
-Queries are the vectors of rows whose id is divisible by 50, and the first two words of such benchmark items.
+Queries are the vectors of rows whose id is divisible by 50, and the words of such benchmark items.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stackroom.functions import analyze, vectors
 from stackroom.functions.text import ACCENTED, UNACCENTED
 from stackroom.operators import search as S
-from stackroom.plans.registry import query
+from stackroom.plans.registry import query, shared_path
+from stackroom.sources import index
 
 K = 10
 #: Query terms that are searched as one query.
@@ -160,7 +161,13 @@ def x2(t):
 
 @query(
     "x2b_text_search_strict",
-    f"WITH p AS ({POSTINGS}) SELECT id, {_RANK} AS score FROM p WHERE term IN ('the', 'and', 'of') GROUP BY id HAVING count(DISTINCT term) = 3",
+    f"""WITH p AS ({POSTINGS}), o AS (SELECT id, pos, term, CASE label WHEN 'A' THEN 1.0 ELSE 5.0 END::DOUBLE AS inv FROM p WHERE term IN ('the', 'and', 'of')),
+        l AS (SELECT *, row_number() OVER w AS r, sum(inv) OVER w AS cum, max(CASE term WHEN 'the' THEN pos END) OVER w AS a, max(CASE term WHEN 'and' THEN pos END) OVER w AS b, max(CASE term WHEN 'of' THEN pos END) OVER w AS c
+              FROM o WINDOW w AS (PARTITION BY id ORDER BY pos)),
+        s AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN least(a, b, c) END AS start FROM l),
+        m AS (SELECT *, lag(start) OVER (PARTITION BY id ORDER BY pos) AS earlier FROM s)
+        SELECT e.id, round(sum((e.r - f.r + 1) / (e.cum - f.cum + f.inv) / (1 + (e.pos - f.pos) - (e.r - f.r))), 6) AS score FROM m e JOIN m f ON f.id = e.id AND f.pos = e.start
+        WHERE e.earlier IS NULL OR e.earlier < e.start GROUP BY e.id""",
 )
 def _(t):
     terms = t.spark.createDataFrame([("the",), ("and",), ("of",)], "term string")
@@ -168,8 +175,8 @@ def _(t):
 
 
 _HYBRID = f"""WITH p AS ({POSTINGS}),
-s AS (SELECT e.id, {_COS % ('e.embedding_vector', 'q.embedding_vector')} AS distance FROM doc_embedding e, doc_embedding q WHERE q.id = 0),
-t AS (SELECT id, {_RANK} AS text_rank FROM p WHERE term IN ({_IN}) GROUP BY id),
+s AS (SELECT e.id, {_COS % ('e.embedding_vector', 'q.embedding_vector')} AS distance FROM doc_embedding e, doc_embedding q WHERE q.id = 0 AND e.library_id IN (0, 1, 2)),
+t AS (SELECT e.id, text_rank FROM (SELECT id AS documento_id, {_RANK} AS text_rank FROM p WHERE term IN ({_IN}) GROUP BY id) JOIN doc_embedding e USING (documento_id) WHERE library_id IN (0, 1, 2)),
 sr AS (SELECT id, 1.0::DOUBLE / ({K} + r) AS score_sem FROM (SELECT id, rank() OVER (ORDER BY distance) AS r FROM s) WHERE r <= {2 * K}),
 tr AS (SELECT id, 1.0::DOUBLE / ({K} + r) AS score_txt FROM (SELECT id, rank() OVER (ORDER BY text_rank DESC) AS r FROM t) WHERE r <= {2 * K})"""
 
@@ -182,13 +189,20 @@ def textual_side(t):
     return S.text_scores(postings(t, TERMS), t.spark.createDataFrame([(x,) for x in TERMS], "term string"), ["id"])
 
 
+def hybrid_sides(t):
+    """Distances and text ranks of the same rows, those of the libraries: a row's text is that of its document."""
+    of_libraries = t.doc_embedding.where(F.col("library_id").isin(0, 1, 2)).select("id", "documento_id")
+    textual = of_libraries.join(textual_side(t).withColumnRenamed("id", "documento_id"), "documento_id").select("id", "text_rank")
+    return semantic_side(t).join(of_libraries.select("id"), "id", "left_semi"), textual
+
+
 @query(
     "x3_hybrid_search",
     f"""{_HYBRID} SELECT coalesce(sr.id, tr.id) AS id, round(coalesce(score_sem, 0), 6) AS score_sem, round(coalesce(score_txt, 0), 6) AS score_txt,
         round(coalesce(score_sem, 0) * 0.6::DOUBLE + coalesce(score_txt, 0) * 0.4::DOUBLE, 6) AS score FROM sr FULL JOIN tr ON sr.id = tr.id ORDER BY score DESC, 1 LIMIT {K}""",
 )
 def x3(t):
-    found = S.hybrid_search(semantic_side(t), textual_side(t), K)
+    found = S.hybrid_search(*hybrid_sides(t), K)
     return found.select("id", F.round("score_sem", 6).alias("score_sem"), F.round("score_txt", 6).alias("score_txt"), "score")
 
 
@@ -223,12 +237,13 @@ def x4c(t):
 
 @query(
     "x5_linear_hybrid",
-    f"""{_HYBRID} SELECT s.id, round((1 - distance) * 0.6::DOUBLE + coalesce(text_rank, 0) * 0.4::DOUBLE, 6) AS score FROM s LEFT JOIN t ON t.id = s.id JOIN documento d ON d.id = s.id
-        WHERE d.flag_vigente ORDER BY score DESC, s.id LIMIT {K}""",
+    f"""{_HYBRID} SELECT s.id, round((1 - distance) * 0.6::DOUBLE + coalesce(text_rank, 0) * 0.4::DOUBLE, 6) AS score FROM s LEFT JOIN t ON t.id = s.id JOIN doc_embedding e ON e.id = s.id
+        JOIN documento d ON d.id = e.documento_id WHERE d.flag_vigente ORDER BY score DESC, s.id LIMIT {K}""",
 )
 def x5(t):
-    current = t.documento.where("flag_vigente").select("id")
-    return S.linear_hybrid(semantic_side(t).join(current, "id", "left_semi"), textual_side(t), K).select("id", "score")
+    current = t.doc_embedding.join(t.documento.where("flag_vigente").select(F.col("id").alias("documento_id")), "documento_id", "left_semi").select("id")
+    semantic, textual = hybrid_sides(t)
+    return S.linear_hybrid(semantic.join(current, "id", "left_semi"), textual, K).select("id", "score")
 
 
 @query(
@@ -256,11 +271,62 @@ def _(t):
     return postings(t).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("df"))
 
 
+def _stemmed_sql(rows: str) -> str:
+    """rows with the stems of their column term: the stemmer's stages as SQL."""
+    for rules in analyze.STEM_STAGES:
+        fits = " ".join(f"WHEN regexp_matches(term, '{p}') THEN regexp_replace(term, '{p}', '{into.replace('$1', chr(92) + '1')}')" for p, into in rules)
+        rows = f"SELECT * REPLACE (CASE {fits} ELSE term END AS term) FROM ({rows})"
+    return rows
+
+
+_STOP = ", ".join(f"'{w}'" for w in analyze.STOP_WORDS)
+STEMMED = _stemmed_sql(f"SELECT * FROM ({POSTINGS}) WHERE term NOT IN ({_STOP})")
+
+
+def stemmed_postings(t, only=None):
+    return analyze.postings(t.documents.select(F.col("doc_id").alias("id"), "text"), [("text", "C")], ["id"], analyze.STOP_WORDS, True, only)
+
+
+@query("x8b_stemmed_terms", f"WITH p AS ({STEMMED}) SELECT term, count(*) AS n, count(DISTINCT id) AS df FROM p GROUP BY term")
+def _(t):
+    return stemmed_postings(t).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("df"))
+
+
+@query(
+    "x8c_stemmed_search",
+    f"""WITH p AS ({STEMMED}) SELECT id, round(sum(0.2::DOUBLE), 6) AS score FROM p WHERE term IN ({_stemmed_sql("SELECT unnest(['casas', 'nicht', 'dans']) AS term")})
+        AND id NOT IN (SELECT id FROM p WHERE term IN ({_stemmed_sql("SELECT 'with' AS term")})) GROUP BY id ORDER BY score DESC, id LIMIT {K}""",
+)
+def _(t):
+    found = S.text_search(lambda words: stemmed_postings(t, words), "as casas OR nicht OR DANS -with", t.spark, ["id"], "broad", analyze.STOP_WORDS, True)
+    return found.orderBy(F.desc("text_rank"), "id").limit(K).select("id", F.col("text_rank").alias("score"))
+
+
 @query("x9_inverted_index", f"WITH p AS ({POSTINGS}) SELECT id, term, CAST(pos AS BIGINT) AS pos, label FROM p")
 def _(t):
     return postings(t)
 
 
+@query(
+    "x9b_stored_index",
+    f"WITH p AS ({POSTINGS}) SELECT p.id, {_RANK} AS score FROM p JOIN documento d ON d.id = p.id WHERE term IN ({_IN}) AND biblioteca_id IN (0, 1, 2) GROUP BY p.id ORDER BY score DESC, p.id LIMIT {K}",
+)
+def _(t):
+    """The text search over an index that is written first; only the buckets of its terms are read."""
+    path = shared_path(t.spark, "index")
+    index.write_index(postings(t), path, "id")
+    docs = t.documento.where(F.col("biblioteca_id").isin(0, 1, 2)).select("id")
+    found = S.text_search(lambda words: index.indexed_postings(t.spark, path, words), " ".join(TERMS), t.spark, ["id"])
+    return found.join(docs, "id", "left_semi").orderBy(F.desc("text_rank"), "id").limit(K).select("id", F.col("text_rank").alias("score"))
+
+
+@query("x9c_term_statistics", f"WITH p AS ({POSTINGS}) SELECT term, df, round(ln(1 + (SELECT count(*) FROM documents) / df), 6) AS idf FROM (SELECT term, count(DISTINCT id) AS df FROM p GROUP BY term)")
+def _(t):
+    path = shared_path(t.spark, "index")
+    index.write_index(postings(t), path, "id")
+    return index.term_statistics(t.spark, path, t.documents.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @query("x10_phrase", f"WITH p AS ({POSTINGS}) SELECT id, CAST(pos AS BIGINT) AS start FROM (SELECT id, pos, term, lead(term) OVER (PARTITION BY id ORDER BY pos) AS next FROM p) WHERE term = 'of' AND next = 'the'")
 def _(t):
     return S.phrase_matches(postings(t, ["of", "the"]), ["of", "the"], "id")

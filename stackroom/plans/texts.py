@@ -251,6 +251,38 @@ def _(t):
     return parts.select("doc_id", F.col("section").cast("long").alias("section"), F.col("s.text").alias("text"))
 
 
+def markdown_texts(t):
+    """Documents with Markdown headings, marked or underlined, in place of their short lines."""
+    short = lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("## "), x)).otherwise(F.concat(x, F.lit("\n---")))
+    return t.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.length(x) < 16, short(x, i)).otherwise(x)), "\n").alias("text"))
+
+
+_MARKDOWN = """WITH d AS (SELECT doc_id, string_split(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN length(x) >= 16 THEN x WHEN i % 2 = 0 THEN '## ' || x ELSE x || chr(10) || '---' END), chr(10)), chr(10)) AS l FROM documents),
+    n AS (SELECT doc_id, i, l[i] AS x, l[i + 1] AS y, l[i - 1] AS z FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+    k AS (SELECT *, regexp_matches(x, '^#{1,6}\\s+\\S') AS marked, regexp_matches(x, '^\\S') AND coalesce(regexp_matches(y, '^(={3,}|-{3,})\\s*$'), false)
+          AND NOT (i > 1 AND regexp_matches(x, '^(={3,}|-{3,})\\s*$') AND regexp_matches(z, '^\\S') AND NOT regexp_matches(z, '^#{1,6}\\s+\\S')) AS under FROM n),
+    h AS (SELECT *, coalesce(lag(under AND NOT marked) OVER w, false) AS line_under, sum(CASE WHEN marked OR under THEN 1 ELSE 0 END) OVER w AS section FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    s AS (SELECT doc_id, section, coalesce(trim(replace(min(x) FILTER (marked OR under), '#', '')), 'Introduction') AS title,
+                 regexp_replace(string_agg(x, chr(10) ORDER BY i) FILTER (NOT (marked OR under OR line_under)), '^\\s+|\\s+$', '', 'g') AS text FROM h GROUP BY 1, 2)"""
+
+
+@query("t3b_markdown_sections", f"{_MARKDOWN} SELECT doc_id, title, text FROM s WHERE text <> ''")
+def _(t):
+    found = markdown_texts(t).select("doc_id", F.split("text", "\n").alias("lines")).withColumn("found", C.markdown_headings(F.col("lines")))
+    return found.select("doc_id", F.explode(C.markdown_sections(F.col("lines"), F.col("found"))).alias("s")).select("doc_id", "s.title", "s.text")
+
+
+@query("t4c_markdown_chunks", f"{_MARKDOWN} SELECT doc_id, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words FROM s WHERE text <> '' GROUP BY doc_id")
+def _(t):
+    rows = C.markdown_chunks(markdown_texts(t), ["doc_id"], "text", r"\n", least=60, ideal=100, most=150)
+    return rows.groupBy("doc_id").agg(F.sum(X.word_count(F.col("texto"))).alias("words"))
+
+
+@query("t4d_large_chunks", f"SELECT doc_id, {WC('text')} AS words FROM documents")
+def _(t):
+    return C.chunk_rows(t.documents, ["doc_id"], "text", r"\n", **C.LARGE).groupBy("doc_id").agg(F.sum(X.word_count(F.col("texto"))).alias("words"))
+
+
 @query("t4_token_budget_chunks")
 def t4(t):
     return C.chunk_rows(t.documents, ["doc_id"], "text", r"\n")
@@ -281,6 +313,21 @@ def _(t):
     return t.documents.select("doc_id", F.explode(C.numbered_parts(F.col("text"), 100)).alias("p")).select("doc_id", "p.title", "p.text")
 
 
+@query(
+    "t6c_wiki_chapters",
+    """WITH n AS (SELECT doc_id, i, l[i] AS x FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+       h AS (SELECT *, length(x) < 16 AND regexp_matches(x, '^[A-Za-z]') AS head FROM n), s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS ordem FROM h)
+       SELECT doc_id, CAST(ordem AS BIGINT) AS ordem, CAST(min(i) % 2 + 2 AS INT) AS level, trim(arg_min(x, i)) AS titulo, CAST(sum(len(regexp_extract_all(x, '\\S+'))) + 2 AS BIGINT) AS words FROM s WHERE ordem > 0 GROUP BY doc_id, ordem
+       UNION ALL SELECT doc_id, 1, 0, 'T - Parte 1', len(regexp_extract_all(text, '\\S+')) FROM documents WHERE doc_id IN (SELECT doc_id FROM s GROUP BY doc_id HAVING max(ordem) = 0) AND trim(text) <> ''""",
+)
+def _(t):
+    """Short lines that begin with a letter as wiki headings of two levels."""
+    mark = lambda i: F.when(i % 2 == 0, "===").otherwise("==")
+    line = lambda x, i: F.when((F.length(x) < 16) & x.rlike("^[A-Za-z]"), F.concat(mark(i), F.lit(" "), x, F.lit(" "), mark(i))).otherwise(x)
+    made = t.documents.select("doc_id", F.lit("T").alias("title"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    return C.wiki_chapters(made, ["doc_id"], "title", "text", 1 << 30).select("doc_id", "ordem", "level", "titulo", X.word_count(F.col("texto")).alias("words"))
+
+
 _ROUTE = """CASE WHEN contains(h, 'planalto.gov.br') OR contains(h, 'in.gov.br') OR contains(h, 'legislacao') THEN 'normativo' WHEN contains(h, 'wikipedia.org') OR contains(h, 'wikimedia.org') THEN 'wikipedia'
    WHEN h LIKE '%.wiki' OR h LIKE '%.wikitext' THEN 'wikipedia' WHEN h LIKE '%.md' OR h LIKE '%.markdown' THEN 'artigo'
    WHEN contains(l, 'art.') AND contains(l, 'lei') OR contains(l, 'decreto') OR contains(l, 'resolução') OR contains(l, 'portaria') OR contains(l, 'normativa') THEN 'normativo'
@@ -320,21 +367,26 @@ def _(t):
     return t.pages.select("page_id", title, charset, about)
 
 
-@query(
-    "t10_links",
-    f"""SELECT DISTINCT page_id, {_UNESCAPE.format("regexp_replace(regexp_replace(a, '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g')")} AS texto, regexp_extract(a, '(?is)href=[\"'']([^\"'']*)', 1) AS url
-        FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href=[\"''][^\"'']*[\"''][^>]*>.*?</a>')) AS a FROM pages)""",
-)
+_LINKS = f"""SELECT DISTINCT page_id, {_UNESCAPE.format("regexp_replace(regexp_replace(a, '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g')")} AS texto, regexp_extract(a, '(?is)href=[\"'']([^\"'']*)', 1) AS url
+        FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href=[\"''][^\"'']*[\"''][^>]*>.*?</a>')) AS a FROM pages)"""
+
+
+@query("t10_links", _LINKS)
 def _(t):
     return P.links(t.pages, "page_id")
 
 
-@query("t10b_link_search")
+@query("t10b_link_search", f"SELECT * FROM ({_LINKS}) WHERE regexp_matches({FOLD('texto')}, 'de|eau|the')")
 def _(t):
     return P.links_with_words(P.links(t.pages, "page_id"), ["de", "éau", "the"])
 
 
-@query("t11_reference_classes")
+@query(
+    "t11_reference_classes",
+    f"""SELECT page_id, url, k || texto AS texto, kind FROM (SELECT *, (['Regulamentação ', 'Vide Decreto ', 'Lei nº ', 'Revogado ', ''])[length(url) % 5 + 1] AS k, {FOLD('k || texto')} AS f,
+        CASE WHEN contains(f, 'revogad') THEN 'revoked' WHEN contains(f, 'regulament') THEN 'regulation' WHEN contains(f, 'vide dec') THEN 'vide_decree'
+             WHEN contains(f, 'lei ') OR contains(f, 'lei n') OR contains(f, 'decreto') THEN 'other_law' END AS kind FROM ({_LINKS})) WHERE kind <> 'revoked'""",
+)
 def _(t):
     kinds = F.array(*map(F.lit, ["Regulamentação ", "Vide Decreto ", "Lei nº ", "Revogado ", ""]))
     named = P.links(t.pages, "page_id").withColumn("texto", F.concat(F.get(kinds, (F.length("url") % 5).cast("int")), "texto"))
@@ -383,12 +435,34 @@ def _(t):
     return L.articles(L.lines_of(statute_texts(t), "doc_id", "text"), "doc_id").select("doc_id", "article_seq", "artigo", "conteudo")
 
 
+@query(
+    "t12c_statute_header",
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'lei' WHEN 1 THEN 'decreto' ELSE 'lei complementar' END AS tipo, CAST(doc_id + 1000 AS VARCHAR) AS numero,
+              make_date(2000 + doc_id % 20, 3, 1 + doc_id % 28) AS data, doc_id % 4 = 0 AS revogado FROM documents WHERE NOT regexp_matches(text, '(?is)revogad[oa]\\s+pel')""",
+)
+def _(t):
+    key = F.col("doc_id")
+    kind = F.when(key % 3 == 0, "LEI").when(key % 3 == 1, "DECRETO").otherwise("LEI COMPLEMENTAR")
+    number = F.format_number(key + 1000, 0)
+    head = F.concat(kind, F.lit(" Nº "), F.translate(number, ",", "."), F.lit(", DE "), (key % 28 + 1).cast("string"), F.lit(" DE MARÇO DE "), (key % 20 + 2000).cast("string"), F.when(key % 4 == 0, "\nRevogada pela Lei 1").otherwise(""))
+    plain = t.documents.where(~F.col("text").rlike(r"(?is)revogad[oa]\s+pel"))
+    return plain.select("doc_id", *L.statute_header(F.concat(head, F.lit("\n"), "text")))
+
+
 @query("t13_article_parts")
 def _(t):
     return L.article_parts(L.articles(L.lines_of(statute_texts(t), "doc_id", "text"), "doc_id"), ["doc_id", "article_seq"])
 
 
-@query("t14_article_chapters")
+@query(
+    "t14_article_chapters",
+    f"""WITH s AS (SELECT doc_id, n, trim(line) AS line, line LIKE 'Art. %' AS art, line LIKE 'TÍTULO %' AS tit, line LIKE 'CAPÍTULO %' AS cap FROM ({_STATUTE})),
+        r AS (SELECT *, sum(CASE WHEN art THEN 1 ELSE 0 END) OVER w AS seq, sum(CASE WHEN tit THEN 1 ELSE 0 END) OVER w AS run, last_value(CASE WHEN tit THEN line END IGNORE NULLS) OVER w AS t FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+        c AS (SELECT *, last_value(CASE WHEN cap THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id, run ORDER BY n) AS c FROM r),
+        a AS (SELECT doc_id, seq, arg_min(coalesce(t, ''), n) AS t, arg_min(coalesce(c, ''), n) AS c, string_agg(line, chr(10) ORDER BY n) AS conteudo FROM c WHERE seq > 0 AND NOT tit AND NOT cap GROUP BY 1, 2)
+        SELECT doc_id, doc_id || ' - ' || array_to_string(list_filter([t, c], lambda x: x <> ''), '/') AS titulo, CAST(min(seq) AS BIGINT) AS first_article,
+               string_agg(conteudo, chr(10) ORDER BY seq) AS conteudo, substr(string_agg(conteudo, chr(10) ORDER BY seq), 1, 2048) AS representativo FROM a GROUP BY doc_id, t, c""",
+)
 def _(t):
     return L.article_chapters(L.articles(L.lines_of(statute_texts(t), "doc_id", "text"), "doc_id"), "doc_id", "doc_id")
 
@@ -480,7 +554,12 @@ def _(t):
     return C.question_answer_pairs(t.documents, ["doc_id"], "text")
 
 
-@query("t20_summary_rows")
+@query(
+    "t20_summary_rows",
+    f"""WITH s AS (SELECT doc_id, text AS t, summary, round(length(summary) / length(text), 6) AS ratio FROM ({summary_sql(800)}) WHERE floor({WC('text')} / 0.75) > 256)
+        SELECT doc_id, 'resumo' AS kind, summary AS text, ratio FROM s
+        UNION ALL SELECT doc_id, 'resumo_contexto', substr(t, 1, 40) || chr(10) || summary || chr(10) || substr(t, 1, 200), ratio FROM s WHERE length(t) > 4000""",
+)
 def _(t):
     return C.summary_rows(t.documents.withColumn("titulo", F.substring("text", 1, 40)), ["doc_id"], "titulo", "text", least_tokens=256)
 

@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from stackroom.functions.text import detect_format
 from stackroom.operators import chunking as C
 from stackroom.operators import pages as P
-from stackroom.plans.registry import query
+from stackroom.plans.registry import query, shared_path
 from stackroom.sources import writes as W
 from stackroom.streaming import jobs
 
 _TOK = "CAST(ceil(len(regexp_extract_all({0}, '\\S+')) / 0.75) AS BIGINT)".format
 
 
-def shared_path(spark, name: str) -> str:
-    """A new folder where the session says that all see it; a temporary one only where it says nothing (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="stackroom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s2_text_ingest", f"SELECT id, titulo, {_TOK('conteudo')} AS tokens_total, true AS flag_vigente, DATE '2024-05-01' AS data_publicacao FROM documento WHERE biblioteca_id IN (SELECT id FROM library WHERE id <> 4)")
 def _(t):
     rows = t.documento.select("id", "titulo", F.col("conteudo").alias("texto"), F.col("biblioteca_id").alias("library_id"))
@@ -51,6 +42,15 @@ def _(t):
     return rows.where(F.col("mime").startswith("text/") | F.col("mime").startswith("application/")).select("doc_id", "file_size_bytes")
 
 
+@query("s4b_file_ingest", "SELECT lang, 'text/plain' AS detected_format, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS file_size_bytes, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def _(t):
+    """The documents as text files, one folder a language, and these files as documents."""
+    path = shared_path(t.spark, "files")
+    t.documents.where("text IS NOT NULL").select("lang", "text").write.partitionBy("lang").text(path)
+    files = W.read_files(t.spark, path + "/*/*.txt").withColumn("lang", F.regexp_extract("path", "/lang=([^/]*)/", 1))
+    return files.groupBy("lang", "detected_format").agg(F.sum("file_size_bytes").alias("file_size_bytes"), F.sum(F.length("texto")).alias("chars"))
+
+
 @query("s5_chunk_sink", f"SELECT id AS documento_id, biblioteca_id AS library_id, CAST(len(regexp_extract_all(conteudo, '\\S+')) AS BIGINT) AS words FROM documento")
 def _(t):
     path = shared_path(t.spark, "chunks")

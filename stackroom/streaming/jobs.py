@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stackroom.functions import analyze
-from stackroom.operators.chunking import chunk_rows, document_type
+from stackroom.operators.chunking import document_type, split_by_type
 
 FILES_PER_BATCH = 100
 
@@ -28,11 +28,11 @@ def per_batch(rows: DataFrame, make: Callable[[DataFrame], DataFrame], out: str,
 
 
 def ingest(docs: DataFrame, out: str, checkpoint: str, separator: str = r"\n\s*\n") -> StreamingQuery:
-    """New documents (doc_id, text) -> routed and cut into chunks keyed by (doc_id, ordem)."""
+    """New documents (doc_id, text) -> routed, and cut by the splitter of their type into chunks keyed by (doc_id, ordem)."""
 
     def make(batch: DataFrame) -> DataFrame:
         typed = batch.withColumn("tipo", document_type(F.col("text")))
-        return chunk_rows(typed, ["doc_id", "tipo"], "text", separator)
+        return split_by_type(typed, ["doc_id"], "text", "tipo", separator)
 
     return per_batch(docs, make, out, checkpoint)
 

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from stackroom.operators import pages as P
 from stackroom.operators import relational as R
 from stackroom.operators import search as S
 from stackroom.operators import statutes as L
+from stackroom.sources import index
 from stackroom.sources import writes as W
 
 
@@ -168,3 +172,115 @@ def test_postings_stream_equals_rebuild(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     rebuilt = analyze.postings(docs, [("text", "C")], ["doc_id"])
     assert streamed.exceptAll(rebuilt).isEmpty() and rebuilt.exceptAll(streamed).isEmpty()
+
+
+def test_cover_ranks_against_all_stretches(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a b c x y".split()) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("first", F.substring_index("text", " ", 1)).withColumn("rest", F.expr("substr(text, length(first) + 1)"))
+    index_ = analyze.postings(docs, [("first", "A"), ("rest", "C")], ["id"])
+    got = {r.id: r.text_rank for r in S.text_scores(index_, spark.createDataFrame([("a",), ("b",), ("c",)], "term string"), ["id"], "strict").collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        full = {(s, e) for s, e in itertools.combinations_with_replacement(range(len(words)), 2) if {"a", "b", "c"} <= set(words[s : e + 1])}
+        shortest = [(s, e) for s, e in full if (s + 1, e) not in full and (s, e - 1) not in full]
+        score = 0.0
+        for s, e in shortest:
+            inside = [p for p in range(s, e + 1) if words[p] in "abc"]
+            score += len(inside) / sum(1.0 if p == 0 else 5.0 for p in inside) / (1 + (e - s + 1 - len(inside)))
+        assert (i in got) == bool(shortest) and (not shortest or got[i] == pytest.approx(score, abs=2e-6))
+
+
+def test_strict_ranks_of_a_table_of_queries(spark, corpus):
+    terms = spark.createDataFrame([(1, "acao"), (1, "civil"), (2, "carta")], "query_id long, term string")
+    got = {(r.query_id, r.id) for r in S.text_scores(corpus, terms, ["id"], "strict").collect()}
+    assert got == {(1, 1), (1, 5), (2, 1), (2, 2), (2, 3)}
+
+
+def test_analysed_search(spark):
+    docs = spark.createDataFrame([(1, "as casas do rei"), (2, "casa de rei"), (3, "rei sem casa"), (4, "nada")], "id long, text string")
+    found = lambda words: analyze.postings(docs, [("text", "C")], ["id"], analyze.STOP_WORDS, True, words)
+    search = lambda q: {r.id for r in S.text_search(found, q, spark, ["id"], "broad", analyze.STOP_WORDS, True).collect()}
+    assert search("a CASA") == {1, 2, 3} and search('"casas do rei"') == {1, 2} and search("casas -sem") == {1, 2} and search("de") == set()
+
+
+def test_stored_index(spark, corpus, tmp_path):
+    path = str(tmp_path / "index")
+    index.write_index(corpus, path, "id", buckets=4)
+    got = index.indexed_postings(spark, path, ["carta", "civil"], 4)
+    wanted = corpus.where("term IN ('carta', 'civil')")
+    assert got.select(*wanted.columns).exceptAll(wanted).isEmpty() and wanted.exceptAll(got.select(*wanted.columns)).isEmpty()
+    assert {(r.term, r.df) for r in index.term_statistics(spark, path, 6, ["carta", "civil"], 4).collect()} == {("carta", 3), ("civil", 2)}
+    assert index.indexed_postings(spark, path, ["missing"], 4).isEmpty() and index.indexed_postings(spark, path, [], 4).isEmpty()
+
+
+def test_ties_at_the_edge_keep_their_rank(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, 2.0, 2.0, 2.0, 3.0, None])], "id long, v double")
+    assert sorted((r.id, r["rank"]) for r in S.cut_with_ties(rows, "v", 2, True).collect()) == [(0, 1), (1, 2), (2, 2), (3, 2)]
+    assert sorted((r.id, r["rank"]) for r in S.cut_with_ties(rows, "v", 3, False).collect()) == [(1, 2), (2, 2), (3, 2), (4, 1)]
+
+
+def test_markdown_sections(spark):
+    text = "lead\n# One #\nbody\n\nTwo\n===\n text \n---\nmore\n## Empty\n### Last\nend"
+    lines = spark.createDataFrame([(text,), ("",), (None,)], "text string").select(F.split("text", "\n").alias("lines"))
+    got = [r.s for r in lines.withColumn("found", C.markdown_headings(F.col("lines"))).select(C.markdown_sections(F.col("lines"), F.col("found")).alias("s")).collect()]
+    assert [(s.title, s.text) for s in got[0]] == [("Introduction", "lead"), ("One", "body"), ("Two", "text \n---\nmore"), ("Last", "end")] and got[1] == [] and got[2] is None
+
+
+def test_markdown_chunks(spark):
+    words = lambda n, w="w": " ".join([w] * n)
+    text = f"# a\n{words(3)}\n# b\n{words(30)}\n# c\n" + "\n\n".join([words(30, f"p{i}") for i in range(5)]) + f"\n# d\n{words(2)}"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string")
+    got = [(r.section, r.part, r.titulo, len(r.texto.split())) for r in C.markdown_chunks(docs, ["id"], "text", least=20, ideal=90, most=100).orderBy("section", "part").collect()]
+    assert got == [(1, 1, "a", 33), (2, 1, "c (Part 1)", 60), (2, 2, "c (Part 2)", 60), (2, 3, "c (Part 3)", 30), (3, 1, "d", 2)]
+
+
+def test_wiki_chapters(spark):
+    docs = spark.createDataFrame([(1, "T", "lead\n== A ==\nx [[p|q]]\n=== B ===\ny\n'''C'''\nz"), (2, "U", "one two\nthree"), (3, "V", ""), (4, "W", None)], "id long, t string, text string")
+    got = {(r.id, r.ordem): (r.level, r.titulo, r.texto) for r in C.wiki_chapters(docs, ["id"], "t", "text", 2).collect()}
+    assert got == {
+        (1, 1): (2, "A", "== A ==\nx q"), (1, 2): (3, "B", "=== B ===\ny"), (1, 3): (4, "C", "'''C'''\nz"), (2, 1): (0, "U - Parte 1", "one two"), (2, 2): (0, "U - Parte 2", "three"),
+    }
+
+
+def test_lettered_articles(spark):
+    text = "Art. 76. a\nArt. 76-A. b\nArt. 76-B c\nArt. 77 d\nArt. 76-C e"
+    got = [(r.artigo, r.letra, r.in_order) for r in L.articles(L.lines_of(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text"), "id").orderBy("article_seq").collect()]
+    assert got == [(76, "", True), (76, "A", True), (76, "B", True), (77, "", True), (76, "C", False)]
+
+
+def test_splitters_by_type(spark):
+    docs = spark.createDataFrame([(1, "normativo", "Art. 1 a\nArt. 2 b"), (2, "wikipedia", "x [[p|q]]"), (3, "outro", "z"), (4, None, "n")], "id long, tipo string, text string")
+    got = {(r.id, r.tipo, r.texto) for r in C.split_by_type(docs, ["id"], "text", "tipo").collect()}
+    assert got == {(1, "normativo", "Art. 1 a\nArt. 2 b"), (2, "wikipedia", "x q"), (3, "outro", "z"), (4, None, "n")}
+
+
+def test_article_parts_of_derived_statutes(spark, small):
+    """Decomposition of every article against a loop over its lines."""
+    import re
+
+    from stackroom.plans.registry import Tables
+    from stackroom.plans.texts import statute_texts
+
+    arts = L.articles(L.lines_of(statute_texts(Tables(spark, small)), "doc_id", "text"), "doc_id")
+    got = {}
+    for r in L.article_parts(arts, ["doc_id", "article_seq"]).orderBy("part_no").collect():
+        got.setdefault((r.doc_id, r.article_seq), []).append(r.part)
+    for a in arts.collect():
+        context = " ".join(x for x in (a.livro, a.titulo, a.capitulo, a.secao, a.subsecao) if x)
+        whole = a.conteudo.replace("\n", " ")
+        lines = [re.sub(r"(?:\s*\([^()]*\))+$", "", x.strip()).strip() for x in a.conteudo.split("\n")]
+        out, art, par, inc = [whole, f"{context} {whole}".strip(), f"{context} {lines[0]}".strip()], lines[0] if lines[0].endswith(":") else "", "", ""
+        for x in lines[1:]:
+            if re.search(r"(?i)\((?:vetado|revogad[oa])\b[^)]*\)|^\s*(?:§\s*\d+[ºo]?\s*)?\(?(?:vetado|revogad[oa])\)?\.?\s*$", x):
+                continue
+            is_par, is_inc = bool(re.match(L.PARAGRAPH, x)), bool(re.match(L.INCISO, x))
+            if is_par:
+                art, par, inc = "", "", ""
+            if not (x.endswith(":") and (is_par or is_inc)):
+                out.append(" ".join(y for y in (context, art, par, "" if is_par else inc, x) if y))
+            if x.endswith(":") and is_par:
+                par = x
+            elif x.endswith(":") and is_inc:
+                inc = x
+        assert got[a.doc_id, a.article_seq] == out
