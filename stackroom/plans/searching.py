@@ -181,8 +181,9 @@ sr AS (SELECT id, 1.0::DOUBLE / ({K} + r) AS score_sem FROM (SELECT id, rank() O
 tr AS (SELECT id, 1.0::DOUBLE / ({K} + r) AS score_txt FROM (SELECT id, rank() OVER (ORDER BY text_rank DESC) AS r FROM t) WHERE r <= {2 * K})"""
 
 
-def semantic_side(t):
-    return first_vector(t).select("id", S.distance(F.col("embedding_vector"), F.col("query_vector"), "cosine").alias("distance"))
+def semantic_side(t, libraries=None):
+    rows = first_vector(t) if libraries is None else first_vector(t).where(F.col("library_id").isin(libraries))
+    return rows.select("id", S.distance(F.col("embedding_vector"), F.col("query_vector"), "cosine").alias("distance"))
 
 
 def textual_side(t):
@@ -191,9 +192,10 @@ def textual_side(t):
 
 def hybrid_sides(t):
     """Distances and text ranks of the same rows, those of the libraries: a row's text is that of its document."""
-    of_libraries = t.doc_embedding.where(F.col("library_id").isin(0, 1, 2)).select("id", "documento_id")
+    libraries = [0, 1, 2]
+    of_libraries = t.doc_embedding.where(F.col("library_id").isin(libraries)).select("id", "documento_id")
     textual = of_libraries.join(textual_side(t).withColumnRenamed("id", "documento_id"), "documento_id").select("id", "text_rank")
-    return semantic_side(t).join(of_libraries.select("id"), "id", "left_semi"), textual
+    return semantic_side(t, libraries), textual
 
 
 @query(
