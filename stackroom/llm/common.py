@@ -101,9 +101,14 @@ def possible(df: DataFrame, key: str, known: DataFrame) -> DataFrame:
     fewer keys than FILTER_BITS. The filter has a fixed size and is broadcast, so that df's rows don't move for it."""
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     bits = known.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
-    placed = df.withColumn("_at", F.bitmap_bit_position(place)).withColumn("_bucket", F.bitmap_bucket_number(place))
-    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return placed.join(F.broadcast(bits), "_bucket").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).drop("_at", "_bucket", "_bits")
+    # A bucket's bytes become longs once, so that a row's look-up is one element and one bit. A long's first byte is its
+    # highest.
+    word = lambda i: F.conv(F.hex(F.substring("_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    words = bits.select("_bucket", F.transform(F.sequence(F.lit(0), (F.length("_bits") / 8).cast("int") - 1), word).alias("_words"))
+    placed = df.withColumn("_at", F.bitmap_bit_position(place).cast("int")).withColumn("_bucket", F.bitmap_bucket_number(place))
+    at = F.col("_at")
+    found = F.getbit(F.get("_words", F.shiftright(at, 6)), F.lit(56) - at.bitwiseAND(56) + at.bitwiseAND(7))
+    return placed.join(F.broadcast(words), "_bucket").where(found == 1).drop("_at", "_bucket", "_words")
 
 
 def text_of(column: str = "text") -> Column:
