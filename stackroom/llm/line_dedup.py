@@ -4,8 +4,10 @@ A line's tokens are its five-word shingles (a shorter line is one token), hashed
 MD5 of their words; equal lines are one line with copies. Two lines of the required similarity share a token among the
 first ones of each, the prefixes, in whatever order all lines' tokens are sorted. This is used twice:
 
-1. In the order of their hashes, which needs no counts: a line stays in the search only if a token of its prefix is in
-   another line's. Of these lines all tokens are counted, and a line stays only if enough of its tokens are in another.
+1. In the order of their hashes, which needs no counts. Prefixes longer by t - 1 tokens share t of them, so that a line
+   stays in the search only if that many tokens of its prefix are in other lines' prefixes; t grows with the line. A
+   passage that many lines share is a small part of a prefix and keeps few of them. Of the lines that stay all tokens are
+   counted, and a line stays only if enough of its tokens are in another.
 2. In the order of rarity, by the number of searched lines that hold a token. Tokens of a single line come first and make
    no pair. The shorter line of a pair is found by a shorter prefix, as in PPJoin; the length and positional filters
    follow, then a bound on the tokens that differ, from the tokens of a single line and from 128 bits of the others. What
@@ -36,6 +38,8 @@ DEALT = 1024
 #: Postings carry the earlier tokens of prefixes up to this length, so that a pair is found at one token only; pairs of
 #: longer prefixes may be found several times and are made distinct.
 CARRIED = 24
+#: A line of n tokens is to share 1 + n / TOKENS_A_SHARE tokens of its prefix in the order of hashes.
+TOKENS_A_SHARE = 16
 
 
 def raw_lines(docs: DataFrame) -> DataFrame:
@@ -71,6 +75,12 @@ def index_length(n: Column, similarity: float) -> Column:
     return (n - F.ceil(n * (2 * similarity / (1 + similarity)) - 1e-9) + 1).cast("int")
 
 
+def prefix_shares(n: Column) -> Column:
+    """Tokens that the prefixes of two similar lines share, the shorter of which has n tokens, if both are longer by one
+    less than what this gives for their own number of tokens."""
+    return F.lit(1) + F.floor(n / TOKENS_A_SHARE).cast("int")
+
+
 def fewest(similarity: float) -> int:
     """Tokens of a set that can be similar to a different one: m / (m + 1) is the most there is."""
     return math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30
@@ -82,13 +92,17 @@ def _looked_up(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
 
 
 def searched_lines(rows: DataFrame, similarity: float) -> DataFrame:
-    """raw, of the lines that share a token of their prefix, in the order of hashes, with another line. Copies of a line
-    are told from other lines by a hash, so that they need no joining here."""
-    held = rows.where(F.col("n") >= fewest(similarity)).select(F.xxhash64("line").alias("id"), "raw", "n", F.posexplode("prefix").alias("place", "token"))
-    indexed = F.col("place") < index_length(F.col("n"), similarity)
+    """raw, of the lines that share enough tokens of their prefix, in the order of hashes, with other lines. Copies of a
+    line are told from other lines by a hash, so that they need no joining here. The shortest line that can be similar to
+    one of n tokens has n * similarity, which bounds what the two must share."""
+    n = F.col("n")
+    held = rows.where(n >= fewest(similarity)).select(F.xxhash64("line").alias("id"), "row", "line_no", "raw", "n", F.posexplode("prefix").alias("place", "token"))
+    indexed = F.col("place") < index_length(n, similarity) + prefix_shares(n) - 1
     shared = held.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(indexed).alias("indexed")).where("lo != hi AND indexed")
     tokens = written(shared.select("token"), "shared-tokens")
-    found = written(held.select("raw", "token").join(_looked_up(tokens), "token", "left_semi").select("raw").distinct(), "searched")
+    hits = held.select("row", "line_no", "raw", "n", "token").join(_looked_up(tokens), "token", "left_semi")
+    lines = hits.groupBy("row", "line_no", "raw", "n").agg(F.count("*").alias("shared"))
+    found = written(lines.where(F.col("shared") >= prefix_shares(F.ceil(n * similarity - 1e-9))).select("raw").distinct(), "searched")
     discard(tokens)
     return found
 
@@ -184,7 +198,7 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", similarity: float = SIMI
     row names a column that numbers the rows of docs; without it they are numbered here."""
     numbered = docs.select(F.col(key).alias("doc"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "text")
     n = F.size("tokens")
-    hashed = with_tokens(with_words(raw_lines(numbered))).withColumns({"n": n, "prefix": F.when(n >= fewest(similarity), F.slice(F.sort_array("tokens"), F.lit(1), probe_length(n, similarity)))})
+    hashed = with_tokens(with_words(raw_lines(numbered))).withColumns({"n": n, "prefix": F.when(n >= fewest(similarity), F.slice(F.sort_array("tokens"), F.lit(1), probe_length(n, similarity) + prefix_shares(n) - 1))})
     few = F.when(F.col("runs") & (n < fewest(similarity)), F.xxhash64(F.sort_array("tokens")))
     rows = written(hashed.select("doc", "row", "line_no", "raw", "line", "n", "prefix", few.alias("same")), "line-rows")
 
