@@ -77,16 +77,20 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def python_tasks(spark: SparkSession) -> None:
-    """To call before Python tasks are planned: bounds what an Arrow batch of whole texts holds, so that very long texts
-    don't fill a worker, and lets workers import this package from where the driver has it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+def python_path(spark: SparkSession) -> None:
+    """To call before Python tasks are planned: lets workers import this package from where the driver has it."""
     known, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if here not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), here]))
 
 
+def python_tasks(spark: SparkSession) -> None:
+    """python_path, and a bound to what an Arrow batch of whole texts holds, so that very long texts don't fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    python_path(spark)
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df as a broadcast side if its counted rows allow it; else Spark chooses a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
