@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: A side is broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a broadcast side if it has few enough rows, which are counted unless they are known; else Spark chooses."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 # --- predicates ------------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stackroom.functions import vectors
-from stackroom.functions.analyze import LABEL_WEIGHTS, analyzed, parse_query
+from stackroom.functions.analyze import analyzed, label_weight, parse_query
 
 DIGITS = 6
 #: Queries whose vectors one pass over the rows holds; a larger set is searched in blocks.
@@ -34,13 +34,6 @@ def semantic_search(rows: DataFrame, vector: str, query: Column, k: int, key: st
     return near.withColumn("score", F.round(score, DIGITS))
 
 
-def label_weight(label: Column) -> Column:
-    out = F.lit(0.0)
-    for name, weight in LABEL_WEIGHTS.items():
-        out = F.when(label == name, F.lit(weight)).otherwise(out)
-    return out
-
-
 def text_scores(postings: DataFrame, terms: DataFrame, keys: list[str], mode: str = "broad") -> DataFrame:
     """keys, (query columns of terms), text_rank. terms: term and any query columns.
 

@@ -35,6 +35,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_PREPARED: dict[tuple[str, str, str], object] = {}
+
+
+def prepared(t: Tables, name: str, make: Callable[[], object]):
+    """What queries share, such as a stored index: made at its first use in an application, for each folder of tables."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _PREPARED:
+        _PREPARED[key] = make()
+    return _PREPARED[key]
+
+
 def with_views(sql: str) -> str:
     """sql with the views that it names in front."""
     named = [v for v in VIEW_SQL if re.search(rf"\b{v}\b", sql)]

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from stackroom.functions import analyze, vectors
 from stackroom.functions.text import ACCENTED, UNACCENTED
+from stackroom.operators import indexed
 from stackroom.operators import search as S
-from stackroom.plans.registry import query, shared_path
-from stackroom.sources import index
+from stackroom.plans.registry import prepared, query, shared_path
+from stackroom.sources import index, segments
 
 K = 10
 #: Query terms that are searched as one query.
@@ -36,6 +37,40 @@ def postings(t, only=None):
     return analyze.postings(t.documents.select("doc_id", first.alias("first"), rest.alias("rest")), [("first", "A"), ("rest", "C")], ["doc_id"], only=only).withColumnRenamed("doc_id", "id")
 
 
+def _index(t, name, rows, group, **options):
+    made = segments.create(t.spark, shared_path(t.spark, name), "id", (group,), **options)
+    return segments.update(made, rows, 0)
+
+
+def _words(text):
+    first = F.substring_index(text, "\n", 1)
+    return first.alias("first"), F.substr(F.col(text), F.length(first) + 1).alias("rest")
+
+
+FIELDS = [("first", "A"), ("rest", "C")]
+
+
+def document_index(t):
+    """The documents' index, made once a session for all queries over it."""
+
+    def make():
+        docs = t.documento.select("id", "biblioteca_id", F.length("conteudo").alias("size"), *_words("conteudo"))
+        return _index(t, "document-index", docs.select("id", "biblioteca_id", "size", analyze.placed_words(FIELDS).alias("words")), "biblioteca_id")
+
+    return prepared(t, "document-index", make)
+
+
+def row_index(t):
+    """The index of the rows that have vectors, each with its document's text."""
+
+    def make():
+        docs = t.documents.select(F.col("doc_id").alias("documento_id"), F.length("text").alias("size"), *_words("text"))
+        docs = docs.select("documento_id", "size", analyze.placed_words(FIELDS).alias("words"))
+        return _index(t, "row-index", t.doc_embedding.select("id", "library_id", "documento_id").join(docs, "documento_id").drop("documento_id"), "library_id")
+
+    return prepared(t, "row-index", make)
+
+
 def query_vectors(t):
     return t.doc_embedding.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding_vector").alias("query_vector"))
 
@@ -153,10 +188,8 @@ def x1(t):
     f"WITH p AS ({POSTINGS}) SELECT p.id, {_RANK} AS score FROM p JOIN documento d ON d.id = p.id WHERE term IN ({_IN}) AND biblioteca_id IN (0, 1, 2) GROUP BY p.id ORDER BY score DESC, p.id LIMIT {K}",
 )
 def x2(t):
-    docs = t.documento.where(F.col("biblioteca_id").isin(0, 1, 2)).select("id")
-    terms = t.spark.createDataFrame([(x,) for x in TERMS], "term string")
-    scored = S.text_scores(postings(t, TERMS).join(docs, "id", "left_semi"), terms, ["id"])
-    return scored.orderBy(F.desc("text_rank"), "id").limit(K).select("id", F.col("text_rank").alias("score"))
+    found = indexed.indexed_search(document_index(t), TERMS, K, where=F.col("biblioteca_id").isin(0, 1, 2))
+    return found.orderBy(F.desc("text_rank"), "id").limit(K).select("id", F.col("text_rank").alias("score"))
 
 
 @query(
@@ -204,7 +237,8 @@ def hybrid_sides(t):
         round(coalesce(score_sem, 0) * 0.6::DOUBLE + coalesce(score_txt, 0) * 0.4::DOUBLE, 6) AS score FROM sr FULL JOIN tr ON sr.id = tr.id ORDER BY score DESC, 1 LIMIT {K}""",
 )
 def x3(t):
-    found = S.hybrid_search(*hybrid_sides(t), K)
+    distance = S.distance(F.col("embedding_vector"), F.col("query_vector"), "cosine")
+    found = indexed.prepared_search(row_index(t), first_vector(t), " ".join(TERMS), distance, K, where=F.col("library_id").isin(0, 1, 2))
     return found.select("id", F.round("score_sem", 6).alias("score_sem"), F.round("score_txt", 6).alias("score_txt"), "score")
 
 
@@ -221,7 +255,7 @@ def x4(t):
 
 @query("x4b_batch_textual", f"WITH p AS ({POSTINGS}) SELECT query_id, id, text_rank, rank FROM ({_BATCH_TXT}) WHERE rank <= {K}")
 def x4b(t):
-    return S.batch_textual(postings(t), query_terms(t), K).select("query_id", "id", "text_rank", "rank")
+    return indexed.indexed_batch(document_index(t), query_terms(t), K).select("query_id", "id", "text_rank", "rank")
 
 
 @query(
@@ -233,7 +267,7 @@ def x4b(t):
 )
 def x4c(t):
     sem = S.batch_semantic(t.doc_embedding, "embedding_vector", query_vectors(t), 2 * K)
-    txt = S.batch_textual(postings(t), query_terms(t), 2 * K)
+    txt = indexed.indexed_batch(document_index(t), query_terms(t), 2 * K)
     return S.batch_hybrid(sem, txt, K).select("query_id", "id", "score", "rank")
 
 

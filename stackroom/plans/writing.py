@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stackroom.functions.text import detect_format
+from stackroom.functions.text import ACCENTED, UNACCENTED, detect_format
 from stackroom.operators import chunking as C
 from stackroom.operators import pages as P
 from stackroom.plans.registry import query, shared_path
+from stackroom.sources import segments
 from stackroom.sources import writes as W
 from stackroom.streaming import jobs
 
@@ -130,11 +131,37 @@ def st1(t):
     return chunks.groupBy("doc_id").agg(F.sum(F.regexp_count("texto", F.lit(r"\S+")).cast("long")).alias("words"))
 
 
-@query("st2_stream_postings")
+_CHANGED = """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' zebra the' ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0"""
+
+
+def _postings_sql(docs: str) -> str:
+    words = f"list_filter(string_split_regex(lower(translate(text, '{ACCENTED}', '{UNACCENTED}')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
+    return f"SELECT doc_id, w[p + 1] AS term, p AS pos, 'C' AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM (SELECT doc_id, {words} AS w FROM ({docs})))"
+
+
+@query("st2_stream_postings", _postings_sql("SELECT * FROM documents"))
 def st2(t):
-    out = shared_path(t.spark, "postings")
-    jobs.maintain_postings(_arrivals(t, "documents").select("doc_id", "text"), out, shared_path(t.spark, "st2")).awaitTermination()
-    return jobs.current(t.spark, out, "doc_id").select("doc_id", "term", "pos", "label")
+    path = shared_path(t.spark, "stream-index")
+    segments.create(t.spark, path, "doc_id", positions=True, updates=True)
+    changes = _arrivals(t, "documents").select("doc_id", "text", F.lit(False).alias("deleted"))
+    jobs.maintain_index(changes, path, shared_path(t.spark, "st2")).awaitTermination()
+    return segments.latest(t.spark, path).postings().select("doc_id", "term", "pos", "label")
+
+
+@query("st2b_stream_updates", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM ({_postings_sql(_CHANGED)}) GROUP BY term")
+def st2b(t):
+    """Documents arrive, then changed and deleted ones: the document frequencies, which are kept by difference, and what the
+    postings say."""
+    path, source, checkpoint = (shared_path(t.spark, name) for name in ("stream-index", "changes", "st2b"))
+    segments.create(t.spark, path, "doc_id", positions=True, updates=True)
+    docs = t.documents.select("doc_id", "text", F.lit(False).alias("deleted"))
+    changed = docs.where("doc_id % 10 = 0 OR doc_id % 17 = 0").select("doc_id", F.concat("text", F.lit(" zebra the")).alias("text"), (F.col("doc_id") % 17 == 0).alias("deleted"))
+    for arriving in (docs.repartition(4), changed.repartition(2)):
+        arriving.write.mode("append").parquet(source)
+        jobs.maintain_index(jobs.arriving(t.spark, source, docs.schema, files=2), path, checkpoint).awaitTermination()
+    index = segments.latest(t.spark, path)
+    counted = index.postings().groupBy("term").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+    return index.document_frequencies().join(counted, "term", "full").select("term", "df", "n", "places")
 
 
 @query(

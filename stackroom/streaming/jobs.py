@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stackroom.functions import analyze
 from stackroom.operators.chunking import document_type, split_by_type
+from stackroom.sources import segments
 
 FILES_PER_BATCH = 100
 
@@ -37,9 +38,20 @@ def ingest(docs: DataFrame, out: str, checkpoint: str, separator: str = r"\n\s*\
     return per_batch(docs, make, out, checkpoint)
 
 
-def maintain_postings(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Postings of every arriving version of a document, with the batch that brought it."""
-    return per_batch(docs, lambda batch: analyze.postings(batch, [("text", "C")], ["doc_id"]), out, checkpoint)
+def maintain_index(changes: DataFrame, path: str, checkpoint: str, fields: list[tuple[str, str]] = (("text", "C"),), key: str = "doc_id", deleted: str = "deleted", order: str | None = None) -> StreamingQuery:
+    """A stored index kept up with a stream of changes (key, fields, deleted): each batch replaces or deletes the documents
+    that it names and is one version. Of a key's rows in a batch the greatest by `order` counts, else the greatest row."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark, names = batch.sparkSession, [name for name, _ in fields]
+        row = F.struct(*([order] if order else []), deleted, *names)
+        newest = batch.groupBy(key).agg(F.max(row).alias("_row")).select(key, "_row.*").persist()
+        size = sum((F.coalesce(F.length(name), F.lit(0)) for name in names), F.lit(0))
+        rows = newest.where(~F.col(deleted)).select(key, size.alias("size"), analyze.placed_words(list(fields)).alias("words"))
+        segments.update(segments.latest(spark, path), rows, number, newest.where(deleted).select(key))
+        newest.unpersist()
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, out: str, key: str) -> DataFrame:
