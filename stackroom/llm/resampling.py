@@ -157,7 +157,8 @@ def draw(weighed: DataFrame, key: str = "doc_id", percent: int = PERCENT, least_
 def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """docs (key, text), target (text) -> key, n_words, n_features, weight, score, rank."""
     gains = gains_of(bucket_counts(docs), bucket_counts(target))
-    return draw(weights(docs, gains, key), key, percent)
+    # The range sort reads its rows twice: written, their texts are not read again.
+    return draw(written(weights(docs, gains, key), "weights"), key, percent)
 
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
