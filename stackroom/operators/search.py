@@ -10,10 +10,14 @@ from pyspark.sql.window import Window
 
 from stackroom.functions import vectors
 from stackroom.functions.analyze import analyzed, label_weight, parse_query
+from stackroom.operators.relational import if_small
+from stackroom.sources import lists
+from stackroom.sources.lists import unit
+from stackroom.sources.stored import python_path, written
 
 DIGITS = 6
-#: Queries whose vectors one pass over the rows holds; a larger set is searched in blocks.
-QUERY_BLOCK = 1000
+#: Vectors of queries that one pass over the rows holds; a larger set is searched in blocks. Queries of one product.
+BLOCK_BYTES, QUERY_STEP = 32 << 20, 256
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:
@@ -153,54 +157,130 @@ def top_k_per_query(scored: DataFrame, query: str, order: list[Column], k: int)
     return cut.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
-def _nearest_in_batches(ids: np.ndarray, queries: np.ndarray, vector: str, key: str, k: int, metric: str):
-    """A function of Arrow batches: each batch's k nearest rows for every query, by one matrix product a batch."""
-    digits = DIGITS
+def _cut(query: np.ndarray, row: np.ndarray, keys: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (query, row) pairs with their distances, the first k of each query."""
+    order = np.lexsort((keys[row], d, query))
+    query, row = query[order], row[order]
+    near = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return order[near], np.stack([query[near], row[near]])
+
+
+def _nearest_in_batches(block, vector: str, key: str, k: int, metric: str):
+    """A function of Arrow batches: each batch's k nearest rows for every query, by one matrix product a step of queries."""
+    digits, step = DIGITS, QUERY_STEP
 
     def run(batches):
-        norms = np.linalg.norm(queries, axis=1)
+        ids, all_queries = block.value
         for batch in batches:
-            rows = batch.column(vector)
             keys = batch.column(key).to_numpy(zero_copy_only=False)
-            x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), queries.shape[1])
-            products = x @ queries.T
-            if metric == "l2":
-                squares = (x * x).sum(1)[:, None] + (norms**2)[None, :] - 2 * products
-                d = np.sqrt(np.maximum(squares, 0))
-            else:
-                lengths = np.linalg.norm(x, axis=1)[:, None] * norms[None, :]
-                d = 1 - np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
-            d = np.round(d, digits)
-            edge = np.partition(d, min(k, len(keys)) - 1, axis=0)[min(k, len(keys)) - 1]
-            row, query = np.nonzero(d <= edge[None, :])
-            order = np.lexsort((keys[row], d[row, query], query))
-            row, query = row[order], query[order]
-            nth = np.arange(len(query)) - np.searchsorted(query, query)
-            row, query = row[nth < k], query[nth < k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(keys[row]), pa.array(d[row, query])], ["query_id", key, "distance"])
+            x = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), all_queries.shape[1])
+            for start in range(0, len(all_queries) if len(keys) else 0, step):
+                queries = all_queries[start : start + step]
+                norms, products = np.linalg.norm(queries, axis=1), x @ queries.T
+                if metric == "l2":
+                    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (norms**2)[None, :] - 2 * products, 0))
+                else:
+                    lengths = np.linalg.norm(x, axis=1)[:, None] * norms[None, :]
+                    d = 1 - np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+                d = np.round(d, digits)
+                edge = np.partition(d, min(k, len(keys)) - 1, axis=0)[min(k, len(keys)) - 1]
+                row, query = np.nonzero(d <= edge[None, :])
+                _, (query, row) = _cut(query, row, keys, d[row, query], k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + query)), pa.array(keys[row]), pa.array(d[row, query])], ["query_id", key, "distance"])
 
     return run
 
 
+def query_blocks(queries: DataFrame):
+    """Broadcast blocks (ids, matrix) of queries (query_id, query_vector), of at most about BLOCK_BYTES and of one dimension,
+    one after the other: only one is in the driver at a time."""
+    python_path(queries.sparkSession)
+    held = F.col("query_vector").isNotNull() & F.col("query_id").isNotNull() & (F.size("query_vector") > 0) & ~F.exists("query_vector", lambda x: x.isNull())
+    kept = queries.where(held).withColumn("_size", F.size("query_vector"))
+    for size, n in sorted((r["_size"], r.n) for r in kept.groupBy("_size").agg(F.count("*").alias("n")).collect()):
+        blocks = -(-n * size * 8 // BLOCK_BYTES)
+        for block in range(blocks):
+            part = kept.where((F.col("_size") == size) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).select("query_id", "query_vector").toArrow()
+            if part.num_rows:
+                matrix = part["query_vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                yield size, queries.sparkSession.sparkContext.broadcast((part["query_id"].combine_chunks(), matrix))
+
+
+def of_blocks(found: DataFrame, empty: DataFrame | None, label: str) -> DataFrame:
+    """What one block of queries finds, beside what earlier ones have found: with more than one block each is written, so
+    that its broadcast is not needed any more."""
+    return found if empty is None else empty.unionByName(written(found, label))
+
+
 def batch_semantic(rows: DataFrame, vector: str, queries: DataFrame, k: int, key: str = "id", metric: str = "cosine") -> DataFrame:
-    """queries (query_id, query_vector), a stated set, against all rows: in blocks of about QUERY_BLOCK queries, each of
-    which is one matrix product a batch of rows. Vectors of other dimensions than the query's never match."""
-    kept = queries.where(F.col("query_vector").isNotNull() & F.col("query_id").isNotNull()).withColumn("_size", F.size("query_vector"))
-    sizes = [(r["_size"], r.n) for r in kept.groupBy("_size").agg(F.count("*").alias("n")).collect()]
+    """queries (query_id, query_vector), a stated set, against all rows: by blocks of queries, for each of which the rows are
+    read once. Vectors of other dimensions than the query's never match."""
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *rows.schema.fields]}
-    out = rows.sparkSession.createDataFrame([], f"query_id {types['query_id']}, {key} {types[key]}, distance double")
-    for size, n in sizes:
-        blocks = -(-n // QUERY_BLOCK)
-        for block in range(blocks):
-            part = kept.where((F.col("_size") == size) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).select("query_id", "query_vector").toPandas()
-            if not len(part) or not size:
-                continue
-            made = _nearest_in_batches(part["query_id"].to_numpy(), np.array(part["query_vector"].tolist(), np.float64), vector, key, k, metric)
-            fit = rows.where((F.size(vector) == size) & F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(key, vector)
-            out = out.union(fit.mapInArrow(made, out.schema))
+    schema, out = f"query_id {types['query_id']}, {key} {types[key]}, distance double", None
+    for size, block in query_blocks(queries):
+        fit = rows.where((F.size(vector) == size) & F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(key, vector)
+        out = of_blocks(fit.mapInArrow(_nearest_in_batches(block, vector, key, k, metric), schema), out, "nearest")
+    out = rows.sparkSession.createDataFrame([], schema) if out is None else out
     return top_k_per_query(out, "query_id", [F.col("distance"), F.col(key)], k)
 
 
+def _nearest_by_codes(block, model, key: str, probed: np.ndarray, keep: int):
+    """A function of Arrow batches of codes (key, home, list, code): each query's `keep` best rows among its lists."""
+    query_step, row_step = lists.QUERY_STEP, lists.ROW_STEP
+
+    def run(batches):
+        (ids, queries), m = block.value, model.value
+        for batch in batches:
+            homes, of_list = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "list"))
+            keys = batch.column(key)
+            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            for start in range(0, len(queries), query_step):
+                # A cosine is about the sum, over the slices, of the query's products with the code's centres.
+                parts = m.padded(unit(queries[start : start + query_step]))
+                products = np.einsum("qsd,scd->sqc", parts, m.codebooks)
+                asks = np.zeros((len(parts), len(m.centres)), bool)
+                np.put_along_axis(asks, probed[start : start + query_step], True, axis=1)
+                for begin in range(0, batch.num_rows, row_step):
+                    rows = slice(begin, begin + row_step)
+                    row = np.flatnonzero(asks[:, of_list[rows]].any(0))
+                    if not len(row):
+                        continue
+                    score = sum(products[s][:, codes[rows][row, s]] for s in range(codes.shape[1]))
+                    score[~asks[:, of_list[rows][row]]] = -np.inf
+                    n = min(keep, len(row))
+                    edge = np.partition(score, len(row) - n, axis=1)[:, len(row) - n]
+                    query, at = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+                    order, (query, at) = _cut(query, at, np.arange(len(row)), -score[query, at], keep)
+                    place = begin + row[at]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + query)), keys.take(pa.array(place)), pa.array(homes[place], pa.int32()), pa.array(score[query, at])], ["query_id", key, "home", "score"])
+
+    return run
+
+
+def ann_search(spark, path: str, queries: DataFrame, k: int, probes: int = lists.PROBES, key: str = "id", keep: int | None = None) -> DataFrame:
+    """Approximate nearest rows by cosine from a stored index: of the `probes` lists nearest to a query, the `keep` rows that
+    are best by their codes are ranked by their vectors. Partitions of other lists are not read."""
+    model, keep = lists.load_model(spark, path), keep or max(100, 20 * k)
+    shared, out = spark.sparkContext.broadcast(model), None
+    codes = spark.read.parquet(f"{path}/codes")
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *codes.schema.fields]}
+    for size, block in query_blocks(queries):
+        if size != model.dimension:
+            continue
+        probed = model.nearest_lists(unit(block.value[1]), min(probes, len(model.centres)))
+        asked = codes.where(F.col("list").isin(np.unique(probed).tolist())).select(key, "home", "list", "code")
+        found = asked.mapInArrow(_nearest_by_codes(block, shared, key, probed, keep), f"query_id {types['query_id']}, {key} {types[key]}, home int, score double")
+        # A row that is in several of the lists comes once.
+        best = top_k_per_query(found.groupBy("query_id", key, "home").agg(F.max("score").alias("score")), "query_id", [F.col("score").desc(), F.col(key)], keep)
+        out = of_blocks(best, out, "by-codes")
+    if out is None:
+        return spark.createDataFrame([], f"query_id {types['query_id']}, {key} {types[key]}, distance double, rank long")
+    rows = spark.read.parquet(f"{path}/vectors").select(key, F.col("list").alias("home"), "vector")
+    named = out.drop("score", "rank").join(queries.select("query_id", "query_vector"), "query_id").join(rows, ["home", key])
+    near = named.select("query_id", key, distance(F.col("vector"), F.col("query_vector"), "cosine").alias("distance"))
+    return top_k_per_query(near, "query_id", [F.col("distance"), F.col(key)], k)
+
+
 def batch_textual(postings: DataFrame, terms: DataFrame, k: int, key: str = "id") -> DataFrame:
     """terms (query_id, term) -> query_id, key, text_rank, rank."""
     return top_k_per_query(text_scores(postings, terms, [key]), "query_id", [F.col("text_rank").desc(), F.col(key)], k)
@@ -226,7 +306,7 @@ def enrich(results: DataFrame, documents: DataFrame, chapters: DataFrame | None
 
 def fit_to_libraries(rows: DataFrame, vector: str, libraries: DataFrame) -> DataFrame:
     """Vectors at their library's dimension (libraries: library_id, dimension): cut or padded, then normalised if changed."""
-    joined = rows.join(F.broadcast(libraries.select("library_id", "dimension")), "library_id")
+    joined = rows.join(if_small(libraries.select("library_id", "dimension")), "library_id")
     return joined.withColumn(vector, vectors.to_dimension(F.col(vector), F.col("dimension"))).drop("dimension")
 
 
@@ -235,23 +315,3 @@ def paired_check(a: DataFrame, b: DataFrame, key: str, vector: str, least: float
     both = a.select(key, F.col(vector).alias("a")).join(b.select(key, F.col(vector).alias("b")), key)
     made = both.select(key, F.round(vectors.cosine(F.col("a"), F.col("b")), DIGITS).alias("cosine"), (F.size("a") == F.size("b")).alias("same_dimension"))
     return made.withColumn("warn", ~F.col("same_dimension") | (F.coalesce("cosine", F.lit(0.0)) < least))
-
-
-def ann_index(rows: DataFrame, vector: str, lists: int = 100, sample_rows: int = 50_000, seed: int = 11) -> tuple[DataFrame, list]:
-    """(rows with `list`, centres): k-means lists fitted on at most sample_rows rows, and every row assigned to one."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = rows.withColumn("_unit", array_to_vector(vectors.normalize(F.col(vector))))
-    sample = unit.orderBy(F.xxhash64(vector)).limit(sample_rows)
-    model = KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="list", maxIter=10).fit(sample)
-    return model.transform(unit).drop("_unit"), [c.tolist() for c in model.clusterCenters()]
-
-
-def ann_search(indexed: DataFrame, centres: list, vector: str, queries: DataFrame, k: int, probes: int = 12, key: str = "id") -> DataFrame:
-    """Nearest rows by cosine among the `probes` lists whose centres are nearest to each query, re-ranked exactly."""
-    table = F.array(*[F.struct(F.array(*map(F.lit, c)).alias("c"), F.lit(i).alias("list")) for i, c in enumerate(centres)])
-    ranked = F.array_sort(F.transform(table, lambda x: F.struct(vectors.euclidean(x["c"], vectors.normalize(F.col("query_vector"))).alias("d"), x["list"].alias("list"))))
-    probed = queries.withColumn("list", F.explode(F.transform(F.slice(ranked, 1, probes), lambda x: x["list"])))
-    scored = indexed.join(F.broadcast(probed), "list").select("query_id", key, distance(F.col(vector), F.col("query_vector"), "cosine").alias("distance"))
-    return top_k_per_query(scored, "query_id", [F.col("distance"), F.col(key)], k)

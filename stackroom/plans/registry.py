@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stackroom.sources.stored import shared_path  # noqa: F401  for the modules of queries
 from stackroom.sources.tables import VIEW_SQL, VIEWS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,16 +24,6 @@ class Tables:
         return VIEWS[name](self.spark, self.folder) if name in VIEWS else table(self.spark, self.folder, name)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder where the session says that all see it; a temporary one only in local mode, where it says nothing."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="stackroom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _PREPARED: dict[tuple[str, str, str], object] = {}
 
 

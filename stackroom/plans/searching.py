@@ -12,7 +12,7 @@ from stackroom.functions.text import ACCENTED, UNACCENTED
 from stackroom.operators import indexed
 from stackroom.operators import search as S
 from stackroom.plans.registry import prepared, query, shared_path
-from stackroom.sources import index, segments
+from stackroom.sources import index, lists, segments
 
 K = 10
 #: Query terms that are searched as one query.
@@ -388,11 +388,28 @@ def _(t):
     return S.exclude(scored, index, ["with", "from"], "id").select("id", F.col("text_rank").alias("score"))
 
 
+def vector_index(t):
+    """The folder of the vectors' index, made once a session."""
+
+    def make():
+        path = shared_path(t.spark, "vector-index")
+        lists.create(t.spark, path, t.doc_embedding.select("id", "embedding_vector"), "id", "embedding_vector")
+        return path
+
+    return prepared(t, "vector-index", make)
+
+
 @query("x12_approximate_nearest")
 def x12(t):
-    queries = query_vectors(t)
-    indexed, centres = S.ann_index(t.doc_embedding, "embedding_vector", lists=16)
-    return S.ann_search(indexed, centres, "embedding_vector", queries, K, probes=8).select("query_id", "id", "distance", "rank")
+    return S.ann_search(t.spark, vector_index(t), query_vectors(t), K).select("query_id", "id", "distance", "rank")
+
+
+@query("x12b_recall")
+def x12b(t):
+    """Of each query's K nearest rows by an exact search, those that the index finds."""
+    exact = S.batch_semantic(t.doc_embedding, "embedding_vector", query_vectors(t), K).select("query_id", "id")
+    found = S.ann_search(t.spark, vector_index(t), query_vectors(t), K).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("nearest"), F.count("hit").alias("found"))
 
 
 @query(

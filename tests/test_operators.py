@@ -153,16 +153,6 @@ def test_files(spark, tmp_path):
     assert got["a-b.md"].texto == "# head\ntext" and got["a-b.md"].titulo == "a b" and got["c.pdf"].texto is None and got["c.pdf"].file_size_bytes == 11
 
 
-def test_ann_recall(spark, small):
-    rows = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
-    indexed, centres = S.ann_index(rows, "v", lists=16)
-    assert indexed.count() == rows.count()
-    near = {(r.query_id, r.id) for r in S.ann_search(indexed, centres, "v", queries, 10, probes=8).collect()}
-    true = {(r.query_id, r.id) for r in S.batch_semantic(rows, "v", queries, 10).collect()}
-    assert len(near & true) / len(true) >= 0.9
-
-
 def test_postings_stream_equals_rebuild(spark, small):
     from stackroom.plans.registry import QUERIES
 
