@@ -84,11 +84,37 @@ def range_join(points: DataFrame, at: str, intervals: DataFrame, start: str, end
     return points.join(intervals, inside).drop(intervals[on])
 
 
-def range_join_bucketed(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """The same without a key: intervals are laid over buckets of `width`, which the join then has for its key."""
-    p = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    i = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    return p.join(i, "_bucket").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
+def dyadic_nodes(start: Column, end: Column, levels: int) -> Column:
+    """The fewest dyadic stretches that make up [start, end): array of (level, node), a node being the cells from
+    node * 2**level on, as many as 2**level. There are at most two of a level, so some 2 log2(end - start)."""
+    ks = F.sequence(F.lit(0), F.lit(levels - 1))
+    # At level k the stretch is [ceil(start / 2**k), floor(end / 2**k)); an odd end on either side has no pair and is taken.
+    low = lambda k: -F.call_function("shiftright", -start, k)
+    high = lambda k: F.call_function("shiftright", end, k)
+    node = lambda k, n, taken: F.when(taken, F.struct(k.cast("int").alias("level"), n.alias("node")))
+    odd = lambda n: n.bitwiseAND(1) == 1
+    both = F.flatten(F.transform(ks, lambda k: F.array(
+        node(k, low(k), (low(k) < high(k)) & odd(low(k))), node(k, high(k) - 1, (low(k) < high(k)) & odd(high(k))),
+    )))
+    return F.filter(both, lambda x: x.isNotNull())
+
+
+def range_join_dyadic(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, on: str | None = None, width: float = 1) -> DataFrame:
+    """Points within [start, end), of the same key if `on` names one. Positions are cut into cells of `width`.
+
+    An interval is laid over the few dyadic stretches that make it up, whatever its length, and a point asks for the
+    stretches that its cell is in, one of each level that occurs. So both sides have a bounded number of rows, the join has
+    equal keys, and no pair comes twice.
+    """
+    cell = lambda c: F.floor(c / F.lit(width)).cast("long") if width != 1 else F.floor(c).cast("long")
+    last = F.when(F.ceil(F.col(end) / F.lit(width)).cast("long") > cell(F.col(start)), F.ceil(F.col(end) / F.lit(width)).cast("long"))
+    cut = intervals.where(F.col(start) < F.col(end)).withColumn("_x", F.explode(dyadic_nodes(cell(F.col(start)), last, 62)))
+    cut = cut.withColumns({"_level": F.col("_x.level"), "_node": F.col("_x.node")}).drop("_x")
+    levels = sorted(r[0] for r in cut.select("_level").distinct().collect())  # 62 at most
+    asks = F.transform(F.array(*[F.lit(k) for k in levels]), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", cell(F.col(at)), k).alias("node"))) if levels else F.array().cast("array<struct<level:int,node:bigint>>")
+    asked = points.withColumn("_x", F.explode(asks)).withColumns({"_level": F.col("_x.level"), "_node": F.col("_x.node")}).drop("_x")
+    joined = asked.join(cut, [*([on] if on else []), "_level", "_node"])
+    return joined.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_node")
 
 
 def gaps(df: DataFrame, group: str, ordinal: str) -> DataFrame:
@@ -112,9 +138,39 @@ def next_ordinal(groups: DataFrame, key: str, rows: DataFrame, foreign: str, ord
     return groups.select(key).join(last, key, "left").select(key, (F.coalesce("_last", F.lit(0)) + 1).cast("long").alias("next_ordinal"))
 
 
-def neighbours(df: DataFrame, group: str, ordinal: str, column: str) -> DataFrame:
-    order = Window.partitionBy(group).orderBy(ordinal)
-    return df.withColumns({f"previous_{column}": F.lag(column).over(order), f"next_{column}": F.lead(column).over(order)})
+#: Values of an order that one piece of a group spans: a group of whole ordinals has no more rows in a task.
+PIECE = 8192
+
+
+def _in_pieces(df: DataFrame, group: str, order: str, piece: int) -> tuple[DataFrame, Window]:
+    """df with _group and _piece, and a window over the rows of a piece up to each one. Pieces are scanned alone; what goes
+    from one to the next is found by a second pass over one row a piece. The order is a number."""
+    at = F.coalesce(F.floor(F.col(order) / piece), F.lit(-(1 << 62)))
+    return df.withColumn("_group", F.struct(group)).withColumn("_piece", at), Window.partitionBy("_group", "_piece").orderBy(order)
+
+
+def _pieces_before() -> Window:
+    return Window.partitionBy("_group").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def neighbours(df: DataFrame, group: str, ordinal: str, column: str, piece: int = PIECE) -> DataFrame:
+    """The values of the rows before and after; a hot group is scanned in pieces."""
+    rows, inside = _in_pieces(df, group, ordinal, piece)
+    value, by_piece = F.struct(F.col(column).alias("v")), Window.partitionBy("_group").orderBy("_piece")
+    ends = rows.groupBy("_group", "_piece").agg(F.min_by(value, ordinal).alias("_first"), F.max_by(value, ordinal).alias("_last"))
+    ends = ends.select("_group", "_piece", F.lag("_last").over(by_piece).alias("_earlier"), F.lead("_first").over(by_piece).alias("_later"))
+    near = rows.withColumns({"_lag": F.lag(value).over(inside), "_lead": F.lead(value).over(inside)}).join(ends, ["_group", "_piece"])
+    found = near.withColumns({f"previous_{column}": F.coalesce("_lag", "_earlier")["v"], f"next_{column}": F.coalesce("_lead", "_later")["v"]})
+    return found.drop("_group", "_piece", "_lag", "_lead", "_earlier", "_later")
+
+
+def running_total(df: DataFrame, group: str, order: str, value: Column, out: str, piece: int = PIECE) -> DataFrame:
+    """df with the sum of value over the group's rows up to each one; a hot group is scanned in pieces."""
+    rows, inside = _in_pieces(df.withColumn("_value", value), group, order, piece)
+    sums = rows.groupBy("_group", "_piece").agg(F.sum("_value").alias("_sum"))
+    starts = sums.select("_group", "_piece", F.coalesce(F.sum("_sum").over(_pieces_before()), F.lit(0)).alias("_start"))
+    summed = rows.withColumn("_here", F.coalesce(F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    return summed.join(starts, ["_group", "_piece"]).withColumn(out, F.col("_start") + F.col("_here")).drop("_group", "_piece", "_value", "_here", "_start")
 
 
 def context_window(df: DataFrame, group: str, ordinal: str, column: str, around: int) -> DataFrame:
@@ -132,19 +188,24 @@ def reassign(df: DataFrame, key: str, ordinal: str, mapping: DataFrame) -> DataF
     return df.join(mapping, key, "left").withColumn(ordinal, F.coalesce("new_ordinal", ordinal)).drop("new_ordinal")
 
 
-def carry_forward(df: DataFrame, group: str, order: str, levels: list[str]) -> DataFrame:
-    """Each level's last value so far; a new value of an outer level clears the inner ones.
+def carry_forward(df: DataFrame, group: str, order: str, levels: list[str], piece: int = PIECE) -> DataFrame:
+    """Each level's last value so far, as level_now; a new value of an outer level clears the inner ones.
 
-    A level is carried within the run that its outer levels' values make, counted as they come.
+    What a row says of a level is its value, or that an outer level's value clears it, or nothing. A piece's rows carry on
+    what was said last in the piece; where nothing was, what was said last in the pieces before holds.
     """
-    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    runs = [group]
-    for i, level in enumerate(levels):
-        inside = Window.partitionBy(*runs).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        run = F.count(level).over(upto)
-        df = df.withColumn(f"_run{i}", run).withColumn(f"{level}_now", F.last(level, ignorenulls=True).over(inside))
-        runs.append(f"_run{i}")
-    return df.drop(*[f"_run{i}" for i in range(len(levels))])
+    said = {f"_said{i}": F.when(F.col(level).isNotNull(), F.struct(F.col(level).alias("v"))) for i, level in enumerate(levels)}
+    for i in range(1, len(levels)):
+        cleared = F.struct(F.lit(None).cast(df.schema[levels[i]].dataType).alias("v"))
+        outer = F.coalesce(*[F.when(F.col(level).isNotNull(), F.lit(1)) for level in levels[:i]])
+        said[f"_said{i}"] = F.coalesce(said[f"_said{i}"], F.when(outer.isNotNull(), cleared))
+    rows, inside = _in_pieces(df.withColumns(said), group, order, piece)
+    last = rows.groupBy("_group", "_piece").agg(*[F.max_by(s, F.when(F.col(s).isNotNull(), F.col(order))).alias(s) for s in said])
+    before = last.select("_group", "_piece", *[F.last(s, ignorenulls=True).over(_pieces_before()).alias(f"{s}_before") for s in said])
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.withColumns({f"{s}_here": F.last(s, ignorenulls=True).over(upto) for s in said}).join(before, ["_group", "_piece"])
+    now = {f"{level}_now": F.coalesce(f"_said{i}_here", f"_said{i}_before")["v"] for i, level in enumerate(levels)}
+    return carried.withColumns(now).drop("_group", "_piece", *[f"{s}{end}" for s in said for end in ("", "_here", "_before")])
 
 
 def sessions(df: DataFrame, group: str, order: str, gap: int) -> DataFrame:

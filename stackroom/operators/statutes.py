@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stackroom.functions.text import long_date
-from stackroom.operators.relational import carry_forward
+from stackroom.operators.relational import carry_forward, running_total
 
 # What begins each level of a Brazilian statute.
 LEVELS = [
@@ -55,16 +55,15 @@ def classified(lines: DataFrame, key: str) -> DataFrame:
     Lines after the end mark are dropped, but not where more than ten follow: there an annex begins.
     """
     name, _ = level_of(F.col("line"))
-    by = Window.partitionBy(key).orderBy("n")
     rows = lines.withColumn("tag", name)
     ends = F.when(F.col("line").rlike(END_MARK), F.col("n"))
-    whole = Window.partitionBy(key)
-    rows = rows.withColumn("_end", F.min(ends).over(whole)).withColumn("_last", F.max("n").over(whole))
-    rows = rows.where(F.col("_end").isNull() | (F.col("n") < F.col("_end")) | (F.col("_last") - F.col("_end") > 10)).drop("_end", "_last")
+    marks = rows.groupBy(key).agg(F.min(ends).alias("_end"), F.max("n").alias("_last")).where("_end IS NOT NULL")
+    rows = rows.join(marks, key, "left").where(F.col("_end").isNull() | (F.col("n") < F.col("_end")) | (F.col("_last") - F.col("_end") > 10)).drop("_end", "_last")
     rows = rows.withColumns({level: F.when(F.col("tag") == level, F.col("line")) for level in OUTER})
     carried = carry_forward(rows, key, "n", OUTER)
     starts = F.when(F.col("tag") == "artigo", 1).otherwise(0)
-    return carried.drop(*OUTER).withColumns({level: F.col(f"{level}_now") for level in OUTER}).drop(*[f"{level}_now" for level in OUTER]).withColumn("article_seq", F.sum(starts).over(by))
+    named = carried.drop(*OUTER).withColumns({level: F.col(f"{level}_now") for level in OUTER}).drop(*[f"{level}_now" for level in OUTER])
+    return running_total(named, key, "n", starts, "article_seq")
 
 
 def articles(lines: DataFrame, key: str) -> DataFrame:

@@ -217,17 +217,29 @@ def _(t):
 )
 def _(t):
     points = t.documents.select(F.col("doc_id").alias("documento_id"), (F.col("n_chars") % 300).alias("at"))
-    return R.range_join(points, "at", t.chapter.select("documento_id", "ordem", "token_inicio", "token_fim"), "token_inicio", "token_fim", "documento_id").select("documento_id", "at", "ordem")
+    return R.range_join_dyadic(points, "at", t.chapter.select("documento_id", "ordem", "token_inicio", "token_fim"), "token_inicio", "token_fim", "documento_id").select("documento_id", "at", "ordem")
 
 
 @query("j7b_range_join_bucketed", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 20 AND o_totalprice < p_retailprice * 20 + 40")
 def _(t):
     price = F.col("p_retailprice") * 20
     intervals = t.part.select("p_partkey", price.alias("lo"), (price + 40).alias("hi"))
-    points = t.orders.select("o_orderkey", "o_totalprice")
-    p = points.withColumn("b", F.floor(F.col("o_totalprice") / 40))
-    i = intervals.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / 40), F.floor(F.col("hi") / 40))))
-    return p.join(i, "b").where("o_totalprice >= lo AND o_totalprice < hi").select("o_orderkey", "p_partkey")
+    return R.range_join_dyadic(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", intervals, "lo", "hi", width=40).select("o_orderkey", "p_partkey")
+
+
+@query(
+    "j7c_range_join_of_all_lengths",
+    """SELECT o_orderkey, p_partkey FROM (SELECT o_orderkey, o_orderkey * 7919 % 1000000007 AS spot FROM orders) JOIN
+       (SELECT p_partkey, p_partkey * 7907 % 1000003 AS lo, CASE WHEN p_partkey % 500 = 0 THEN 1000000000 WHEN p_partkey % 50 = 0 THEN 1000000 WHEN p_partkey % 7 = 0 THEN 1000 ELSE 1 END AS length FROM part)
+       ON spot >= lo AND spot < lo + length""",
+)
+def _(t):
+    """Intervals of 1 to 10**9 positions in one table."""
+    key = F.col("p_partkey")
+    length = F.when(key % 500 == 0, 1_000_000_000).when(key % 50 == 0, 1_000_000).when(key % 7 == 0, 1000).otherwise(1)
+    intervals = t.part.select("p_partkey", (key * 7907 % 1_000_003).alias("lo")).withColumn("hi", F.col("lo") + length)
+    points = t.orders.select("o_orderkey", (F.col("o_orderkey") * 7919 % 1_000_000_007).alias("spot"))
+    return R.range_join_dyadic(points, "spot", intervals, "lo", "hi").select("o_orderkey", "p_partkey")
 
 
 @query(

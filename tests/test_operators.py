@@ -130,10 +130,10 @@ def test_gaps_and_ordinals(spark):
     assert {(r.id, r.next_ordinal) for r in R.next_ordinal(groups, "id", df, "doc", "ordem").collect()} == {(1, 4), (9, 1)}
 
 
-def test_bucketed_range_join(spark):
+def test_range_join_over_an_edge(spark):
     points = spark.createDataFrame([(5,), (99,), (100,)], "at long")
     spans = spark.createDataFrame([("a", 0, 100), ("b", 90, 101)], "name string, lo long, hi long")
-    got = {(r.at, r.name) for r in R.range_join_bucketed(points, "at", spans, "lo", "hi", 10).collect()}
+    got = {(r.at, r.name) for r in R.range_join_dyadic(points, "at", spans, "lo", "hi", width=10).collect()}
     assert got == {(5, "a"), (99, "a"), (99, "b"), (100, "b")}
 
 
