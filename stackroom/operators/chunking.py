@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from stackroom.functions.text import chunk_tokens, fold, word_count
+from stackroom.operators.relational import if_small
 
 # --- pieces ---------------------------------------------------------------------------------------------------------
 
@@ -299,7 +300,7 @@ def with_chunk_size(docs: DataFrame, kind: str, library: str, overrides: DataFra
     by_kind = F.lit(None).cast("int")
     for name, size in CHUNK_SIZES.items():
         by_kind = F.when(F.col(kind) == name, F.lit(size)).otherwise(by_kind)
-    joined = docs.join(F.broadcast(overrides.select(library, F.col("size").alias("_own"))), library, "left")
+    joined = docs.join(if_small(overrides.select(library, F.col("size").alias("_own"))), library, "left")
     return joined.withColumn("chunk_size", F.coalesce("_own", by_kind, F.lit(DEFAULT_CHUNK_SIZE))).drop("_own")
 
 
@@ -351,23 +352,52 @@ def embedding_plan(chapters: DataFrame, keys: list[str], title: str, text: str,
     return rows.select(*keys, F.when(F.col("_cut"), "trecho").otherwise("capitulo").alias("level"), (F.col("pos") + 1).cast("long").alias("order_chapter"), name.alias("title"), F.col("p.text").alias("text"))
 
 
+def _with_cells(docs: DataFrame, keep: list[str], text: str, dimension: int) -> DataFrame:
+    """keep, _cells: array of (dim, n), a row's words counted by the first 32 bits of their MD5. The words' dimensions are
+    sorted and cut where they change: nothing leaves the row."""
+    words = F.filter(F.split(fold(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    dims = F.transform(words, lambda w: F.conv(F.substring(F.md5(F.encode(w, "UTF-8")), 1, 8), 16, 10).cast("long") % dimension)
+    ordered = docs.select(*keep, F.sort_array(F.coalesce(dims, F.array().cast("array<bigint>"))).alias("_dims"))
+    places = F.when(F.size("_dims") > 0, F.sequence(F.lit(0), F.size("_dims") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("_dims", i) != F.get("_dims", i - 1)))
+    cut = ordered.select(*keep, "_dims", starts.alias("_starts"))
+    cell = lambda s, i: F.struct(F.get("_dims", s).alias("dim"), (F.coalesce(F.get("_starts", i + 1), F.size("_dims")) - s).cast("long").alias("n"))
+    return cut.select(*keep, F.transform("_starts", cell).alias("_cells"))
+
+
+_LENGTH = lambda: F.sqrt(F.aggregate("_cells", F.lit(0).cast("long"), lambda acc, c: acc + c["n"] * c["n"]))
+
+
 def hash_features(docs: DataFrame, keys: list[str], text: str, dimension: int = 64) -> DataFrame:
     """keys, dim, value: term counts by the first 32 bits of a word's MD5, of length 1 for each row of docs."""
-    words = F.filter(F.split(fold(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    rows = docs.select(*keys, F.explode(words).alias("w"))
-    dim = F.conv(F.substring(F.md5(F.encode("w", "UTF-8")), 1, 8), 16, 10).cast("long") % dimension
-    counted = rows.groupBy(*keys, dim.alias("dim")).agg(F.count("*").alias("n"))
-    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*keys)))
-    return counted.select(*keys, "dim", (F.col("n") / length).alias("value"))
+    counted = _with_cells(docs, keys, text, dimension).withColumn("_length", _LENGTH())
+    # Not by explode: it has rows filtered by the size of the array first, for which all of it would be made within that filter.
+    each = counted.select(*keys, "_length", F.explode_outer("_cells").alias("c")).where("c IS NOT NULL")
+    return each.select(*keys, F.col("c.dim").alias("dim"), (F.col("c.n") / F.col("_length")).alias("value"))
 
 
 def embed(docs: DataFrame, keys: list[str], text: str, model=None, dimension: int = 64) -> DataFrame:
-    """keys, vector. model: a pandas function of the text column; the default hashes words into a vector."""
+    """keys, vector, one row for each of docs. model: a function of the text column (see model_function); the default hashes
+    words into a vector, of zeros for a text without words."""
     if model is not None:
         return docs.select(*keys, model(F.col(text)).alias("vector"))
-    cells = hash_features(docs, keys, text, dimension).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    return docs.select(*keys).distinct().join(cells, keys, "left").select(*keys, vector.alias("vector"))
+    counted = _with_cells(docs, keys, text, dimension).withColumn("_length", _LENGTH())
+    held = counted.withColumn("_held", F.map_from_entries("_cells"))
+    value = lambda i: F.coalesce(F.try_element_at("_held", i) / F.col("_length"), F.lit(0.0)).cast("float")
+    return held.select(*keys, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long")), value).alias("vector"))
+
+
+#: Texts that a model is given at once.
+MODEL_BATCH = 100
+
+
+def model_function(load: Callable[[], Callable], batch: int = MODEL_BATCH):
+    """A caller's model as a function of a text column. load() is called once in a worker and gives a function from an array
+    of texts to a matrix of as many rows; it gets `batch` texts at most, and an empty text for a null."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    made = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    return lambda text: made(F.coalesce(text, F.lit("")))
 
 
 def extractive_summary(text: Column, most: int = 800) -> Column:

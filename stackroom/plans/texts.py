@@ -9,6 +9,7 @@ from stackroom.operators import chunking as C
 from stackroom.operators import pages as P
 from stackroom.operators import statutes as L
 from stackroom.plans.registry import query
+from stackroom.sources.stored import python_path
 
 _WC = "CAST(len(regexp_extract_all({0}, '\\S+')) AS BIGINT)"
 _FOLD = f"lower(translate({{0}}, '{X.ACCENTED}', '{X.UNACCENTED}'))"
@@ -528,6 +529,40 @@ def _(t):
     return C.embed(t.documents, ["doc_id"], "text")
 
 
+def hashing_model():
+    """The same vectors by numpy, as a caller's model over folded texts."""
+    import re
+    from hashlib import md5
+
+    import numpy as np
+
+    # Letters, digits and the underscore, as the words of folded texts have them.
+    word = re.compile(r"\w+")
+
+    def vectors(texts):
+        out = np.zeros((len(texts), 64), np.float32)
+        for row, text in zip(out, texts, strict=True):
+            for w in word.findall(str(text)):
+                row[int(md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    return vectors
+
+
+@query(
+    "t17c_model_vectors",
+    f"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex({FOLD('text')}, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS w FROM documents),
+        c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS dim, count(*) AS n FROM w GROUP BY ALL)
+        SELECT doc_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS value FROM c""",
+)
+def _(t):
+    """A model in Python tasks, loaded once in each and given MODEL_BATCH texts at a time."""
+    python_path(t.spark)
+    made = C.embed(t.documents.select("doc_id", X.fold(F.col("text")).alias("text")), ["doc_id"], "text", C.model_function(hashing_model))
+    cells = made.select("doc_id", F.posexplode("vector").alias("dim", "value")).where("value > 0")
+    return cells.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
 def summary_sql(most: int) -> str:
     """summary of each text of documents, as SQL: kept is the number of leading sentences of most / 4 words together."""
     kept = f"len(list_filter(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda s: {WC('s')})) <= {most // 4}))"

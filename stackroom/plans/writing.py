@@ -8,7 +8,7 @@ from stackroom.functions.text import ACCENTED, UNACCENTED, detect_format
 from stackroom.operators import chunking as C
 from stackroom.operators import pages as P
 from stackroom.plans.registry import query, shared_path
-from stackroom.sources import segments
+from stackroom.sources import ledger, segments
 from stackroom.sources import writes as W
 from stackroom.streaming import jobs
 
@@ -125,10 +125,23 @@ def _arrivals(t, table: str, parts: int = 4):
 
 @query("st1_stream_ingest", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS words FROM documents")
 def st1(t):
+    """Words of each document's embedding rows, without the titles that small parts are embedded with."""
     out = shared_path(t.spark, "ingested")
     jobs.ingest(_arrivals(t, "documents").select("doc_id", "text"), out, shared_path(t.spark, "st1"), r"\n").awaitTermination()
-    chunks = jobs.current(t.spark, out, "doc_id")
-    return chunks.groupBy("doc_id").agg(F.sum(F.regexp_count("texto", F.lit(r"\S+")).cast("long")).alias("words"))
+    words = lambda c: F.regexp_count(c, F.lit(r"\S+")).cast("long")
+    titled = F.startswith("text", F.concat("title", F.lit("\n")))
+    return ledger.read(t.spark, out).groupBy("doc_id").agg(F.sum(words(F.col("text")) - F.when(titled, words(F.col("title"))).otherwise(0)).alias("words"))
+
+
+@query("st1b_stream_embeddings", """SELECT doc_id, true AS same FROM documents""")
+def st1b(t):
+    """The stream's embedding rows of each document, vectors included, against those of the same plan over the whole table."""
+    out = shared_path(t.spark, "ingested")
+    jobs.ingest(_arrivals(t, "documents").select("doc_id", "text"), out, shared_path(t.spark, "st1b"), r"\n").awaitTermination()
+    digest = F.sum(F.xxhash64("tipo", "ordem", "level", "order_chapter", "title", "text", "vector").cast("decimal(38,0)"))
+    streamed = ledger.read(t.spark, out).groupBy("doc_id").agg(digest.alias("a"))
+    whole = jobs.embedding_rows(t.documents.select("doc_id", "text"), r"\n").groupBy("doc_id").agg(digest.alias("b"))
+    return t.documents.select("doc_id").join(streamed, "doc_id", "left").join(whole, "doc_id", "left").select("doc_id", F.equal_null("a", "b").alias("same"))
 
 
 _CHANGED = """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' zebra the' ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0"""
@@ -174,3 +187,17 @@ def st3(t):
     return jobs.current(t.spark, out, "conv_id")
 
 
+
+
+@query(
+    "st3b_stream_summary",
+    """SELECT chat_id, count(*) AS total, count(response) AS com_resposta, count(*) - count(response) AS sem_resposta, arg_min(mensagem, ordem) AS primeira,
+              arg_max(mensagem, ordem) AS ultima, round(count(response) / count(*), 6) AS taxa FROM chat_message GROUP BY 1""",
+)
+def st3b(t):
+    """The conversation summary (A8) of turns that come in no order, by a state for each piece of a conversation."""
+    out, source = shared_path(t.spark, "summaries"), shared_path(t.spark, "turns")
+    t.conversations.repartition(4, F.xxhash64("conv_id", "turn")).write.parquet(source)
+    jobs.conversation_summaries(jobs.arriving(t.spark, source, t.conversations.schema, files=2), out, shared_path(t.spark, "st3b"), piece=4).awaitTermination()
+    names = {"conv_id": "chat_id", "with_response": "com_resposta", "without_response": "sem_resposta", "first": "primeira", "last": "ultima", "rate": "taxa"}
+    return jobs.summaries_of(ledger.read(t.spark, out)).withColumnsRenamed(names)

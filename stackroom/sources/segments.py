@@ -20,7 +20,6 @@ last: a reader sees all of a batch or nothing, and a batch that is repeated chan
 
 from __future__ import annotations
 
-import json
 import math
 import zlib
 from dataclasses import dataclass, field, replace
@@ -31,6 +30,7 @@ from pyspark.sql import types as T
 
 from stackroom.functions.analyze import label_weight
 from stackroom.operators.relational import if_small
+from stackroom.sources.stored import delete_below, folder_of, latest_state, publish
 
 BUCKETS, SLICES = 16, 16
 #: Documents of a block; tasks among which the blocks of one bucket are dealt; size classes in a power of two.
@@ -119,16 +119,10 @@ class Snapshot:
         return sum(s.docs - s.dead for s in self.segments)
 
 
-def _folder(snapshot: Snapshot, name: str):
-    jvm = snapshot.spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{snapshot.path}/{name}")
-    return path.getFileSystem(snapshot.spark._jsparkSession.sessionState().newHadoopConf()), path
-
-
 def _publish(snapshot: Snapshot) -> Snapshot:
     made = replace(snapshot, version=snapshot.version + 1)
     state = {k: v for k, v in made.__dict__.items() if k not in ("spark", "path")} | {"segments": [s.__dict__ for s in made.segments]}
-    made.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{made.path}/versions/{made.version:012d}")
+    publish(made.spark, made.path, made.version, state)
     return made
 
 
@@ -139,9 +133,7 @@ def create(spark: SparkSession, path: str, key: str, groups: tuple[str, ...] = (
 
 def latest(spark: SparkSession, path: str) -> Snapshot:
     """The newest version that was written to its end."""
-    files, folder = _folder(Snapshot(spark, path, ""), "versions")
-    done = sorted(f.getPath().getName() for f in files.listStatus(folder) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
-    state = json.loads(spark.read.text(f"{path}/versions/{done[-1]}").first().value)
+    state = latest_state(spark, path)
     lists = {"groups": tuple(state["groups"]), "segments": tuple(Segment(**s) for s in state["segments"]), "dead_batches": tuple(state["dead_batches"])}
     return Snapshot(spark, path, **(state | lists))
 
@@ -166,34 +158,39 @@ def _classes(rows: DataFrame) -> dict[int, int]:
 def _term_rows(rows: DataFrame, snapshot: Snapshot, extra: list[str]) -> DataFrame:
     """extra, term, weight, n, spots of each document's terms. A row's words are sorted and cut where the term changes, so
     that no word leaves its row."""
-    ordered = rows.select(*extra, F.array_sort("words").alias("_sorted"))
+    ordered = rows.select(*extra, F.sort_array("words").alias("_sorted"))
     first = lambda i: (i == 0) | (F.get("_sorted", i)["term"] != F.get("_sorted", i - 1)["term"])
     places = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1)).otherwise(F.array().cast("array<int>"))
     cut = ordered.select(*extra, "_sorted", F.filter(places, first).alias("_starts"))
     held = lambda s, i: F.slice("_sorted", s + 1, F.coalesce(F.get("_starts", i + 1), F.size("_sorted")) - s)
-    each = cut.select(*extra, F.explode(F.transform("_starts", lambda s, i: F.struct(F.get("_sorted", s)["term"].alias("term"), held(s, i).alias("held")))).alias("t"))
+    # Not by explode: it has rows filtered by the size of the array first, for which all of it would be made within that filter.
+    each = cut.select(*extra, F.explode_outer(F.transform("_starts", lambda s, i: F.struct(F.get("_sorted", s)["term"].alias("term"), held(s, i).alias("held")))).alias("t")).where("t IS NOT NULL")
     weight = F.aggregate("t.held", F.lit(0.0), lambda acc, x: acc + label_weight(x["label"]))
     spots = [F.transform("t.held", lambda x: F.struct(x["pos"].alias("pos"), x["label"].alias("label"))).alias("spots")] if snapshot.positions else []
     return each.select(*extra, "t.term", weight.alias("weight"), F.size("t.held").alias("n"), *spots)
 
 
-def _write_segment(snapshot: Snapshot, terms: DataFrame, name: str) -> None:
+def _write_segment(snapshot: Snapshot, terms: DataFrame, name: str) -> bool:
     """terms: groups, block, key, term, weight, n, spots. One shuffle brings a block's postings of a term together and
-    makes the files."""
+    makes the files. False if there are no terms, and so no segment."""
     path, groups = snapshot.path, list(snapshot.groups)
     bucket = F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(snapshot.buckets)).cast("int")
     dealt = terms.withColumn("bucket", bucket).withColumn("_deal", F.pmod(F.xxhash64("block"), F.lit(DEALT))).repartition("bucket", "_deal")
     posting = F.struct(F.col(snapshot.key).alias("id"), "weight", "n", *(["spots"] if snapshot.positions else []))
-    grouped = dealt.groupBy("bucket", "_deal", "term", *groups, "block").agg(F.array_sort(F.collect_list(posting)).alias("p"))
+    grouped = dealt.groupBy("bucket", "_deal", "term", *groups, "block").agg(F.sort_array(F.collect_list(posting)).alias("p"))
     row = grouped.select(
         "bucket", "term", *groups, "block", F.size("p").alias("n"), F.array_max("p.weight").alias("best"), F.array_max("p.n").alias("most"),
         F.col("p.id").alias("ids"), F.col("p.weight").alias("weights"), *([F.col("p.spots").alias("spots")] if snapshot.positions else []),
     )
     row.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks/segment={name}")
+    files, folder = folder_of(snapshot.spark, f"{path}/blocks/segment={name}")
+    if not any(f.isDirectory() for f in files.listStatus(folder)):
+        return False
     bounds = snapshot._read("blocks", [name]).select("bucket", "term", *groups, "block", "n", "best", "most")
     bounds.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds/segment={name}")
     summed = snapshot._read("bounds", [name]).groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     summed.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/segment={name}")
+    return True
 
 
 def _slice(key: str) -> Column:
@@ -230,8 +227,8 @@ def _merged(snapshot: Snapshot, some: list[Segment]) -> Snapshot:
         classes = _classes(snapshot._read("documents", [name]).select(_size_class(F.col("size")).alias("_class")))
         rows = of_these.exploded(of_these._read("blocks")).withColumn("block", _block(size_class, snapshot.key, classes, snapshot.docs_per_block))
         n = F.size("spots") if snapshot.positions else F.lit(0)
-        _write_segment(snapshot, rows.withColumn("n", n), name)
-        rest = (*rest, Segment(name, left))
+        if _write_segment(snapshot, rows.withColumn("n", n), name):
+            rest = (*rest, Segment(name, left))
     return replace(snapshot, segments=rest)
 
 
@@ -249,8 +246,7 @@ def compacted(snapshot: Snapshot) -> Snapshot:
 
 def update(snapshot: Snapshot, rows: DataFrame, batch: int, deleted: DataFrame | None = None) -> Snapshot:
     """The next version: with rows (key, groups, size, words: array of (term, pos, label)), one a key, in place of what the
-    index held of their keys, and without the keys of `deleted`. Documents without words are not held. A batch that the index
-    already holds is left out."""
+    index held of their keys, and without the keys of `deleted`. A batch that the index already holds is left out."""
     if batch <= snapshot.batch:
         return snapshot
     if not snapshot.updates and snapshot.segments:
@@ -259,15 +255,14 @@ def update(snapshot: Snapshot, rows: DataFrame, batch: int, deleted: DataFrame |
     after = snapshot
     if snapshot.updates:
         after = _retire(snapshot, rows.select(key) if deleted is None else rows.select(key).union(deleted.select(key)), batch)
-    rows = rows.where(F.size("words") > 0)
     if snapshot.updates:
         docs = rows.select(key, "size", F.array_distinct("words.term").alias("terms"), _slice(key).alias("slice"))
         docs.repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(f"{snapshot.path}/documents/segment={name}")
     classes = _classes(rows.select(_size_class(F.col("size")).alias("_class")))
     if classes:
         placed = rows.withColumn("block", _block(_size_class(F.col("size")), key, classes, snapshot.docs_per_block))
-        _write_segment(snapshot, _term_rows(placed, snapshot, [key, *groups, "block"]), name)
-        after = replace(after, segments=(*after.segments, Segment(name, sum(classes.values()))))
+        if _write_segment(snapshot, _term_rows(placed, snapshot, [key, *groups, "block"]), name):
+            after = replace(after, segments=(*after.segments, Segment(name, sum(classes.values()))))
     return _publish(compacted(replace(after, batch=batch)))
 
 
@@ -275,11 +270,5 @@ def vacuum(snapshot: Snapshot) -> None:
     """Deletes what only versions before this one read."""
     live = {f"segment={s.name}" for s in snapshot.segments}
     for kind in ("blocks", "bounds", "terms", "documents"):
-        files, folder = _folder(snapshot, kind)
-        for f in files.listStatus(folder) if files.exists(folder) else []:
-            if f.getPath().getName() not in live:
-                files.delete(f.getPath(), True)
-    files, folder = _folder(snapshot, "versions")
-    for f in files.listStatus(folder):
-        if f.getPath().getName() < f"{snapshot.version:012d}":
-            files.delete(f.getPath(), True)
+        delete_below(snapshot.spark, f"{snapshot.path}/{kind}", lambda name: name in live)
+    delete_below(snapshot.spark, f"{snapshot.path}/versions", lambda name: name >= f"{snapshot.version:012d}")

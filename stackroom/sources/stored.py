@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -32,3 +33,30 @@ def python_path(spark: SparkSession) -> None:
     known, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if here not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), here]))
+
+
+def folder_of(spark: SparkSession, path: str):
+    """(file system, path) of a folder, for what Spark's readers can't do: list it and delete from it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), folder
+
+
+def publish(spark: SparkSession, path: str, version: int, state: dict) -> None:
+    """Makes a version of a stored table known to readers: the last thing that is written of it."""
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/versions/{version:012d}")
+
+
+def latest_state(spark: SparkSession, path: str) -> dict | None:
+    """The newest version that was written to its end; None before the first."""
+    files, folder = folder_of(spark, f"{path}/versions")
+    listed = files.listStatus(folder) if files.exists(folder) else []
+    done = sorted(f.getPath().getName() for f in listed if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+    return json.loads(spark.read.text(f"{path}/versions/{done[-1]}").first().value) if done else None
+
+
+def delete_below(spark: SparkSession, path: str, keep) -> None:
+    """Deletes the folders in path whose names keep(name) refuses."""
+    files, folder = folder_of(spark, path)
+    for f in files.listStatus(folder) if files.exists(folder) else []:
+        if not keep(f.getPath().getName()):
+            files.delete(f.getPath(), True)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.window import Window
 
 from stackroom.functions import analyze
-from stackroom.operators.chunking import document_type, split_by_type
-from stackroom.sources import segments
+from stackroom.operators.chunking import document_type, embed, embedding_plan, split_by_type
+from stackroom.sources import ledger, segments
+from stackroom.sources.stored import python_path
 
 FILES_PER_BATCH = 100
 
@@ -28,14 +33,28 @@ def per_batch(rows: DataFrame, make: Callable[[DataFrame], DataFrame], out: str,
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest(docs: DataFrame, out: str, checkpoint: str, separator: str = r"\n\s*\n") -> StreamingQuery:
-    """New documents (doc_id, text) -> routed, and cut by the splitter of their type into chunks keyed by (doc_id, ordem)."""
+def embedding_rows(docs: DataFrame, separator: str = r"\n\s*\n", model=None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, tipo, ordem, level, order_chapter, title, text, vector: routed, cut by the splitter of
+    the type, planned by the size of each part, and embedded."""
+    typed = docs.withColumn("tipo", document_type(F.col("text")))
+    parts = split_by_type(typed, ["doc_id"], "text", "tipo", separator).withColumn("titulo", F.concat(F.lit("Parte "), F.col("ordem").cast("string")))
+    planned = embedding_plan(parts, ["doc_id", "tipo", "ordem"], "titulo", "texto", separator)
+    columns = planned.columns
+    return embed(planned.withColumn("_text", F.col("text")), columns, "_text", model)
 
-    def make(batch: DataFrame) -> DataFrame:
-        typed = batch.withColumn("tipo", document_type(F.col("text")))
-        return split_by_type(typed, ["doc_id"], "text", "tipo", separator)
 
-    return per_batch(docs, make, out, checkpoint)
+def ingest(docs: DataFrame, path: str, checkpoint: str, separator: str = r"\n\s*\n", model=None) -> StreamingQuery:
+    """A stored table of embedding rows, kept up with a stream of documents (doc_id, text): a document that comes again
+    replaces its rows, and one with a null text deletes them. Of a document's versions in a batch the greatest text counts.
+    A batch that is run again, or once more after it was stopped, changes nothing more."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("doc_id").agg(F.max("text").alias("text")).persist()
+        rows = embedding_rows(newest.where(F.col("text").isNotNull()), separator, model)
+        ledger.upsert(batch.sparkSession, path, rows, ["doc_id"], newest, number)
+        newest.unpersist()
+
+    return docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def maintain_index(changes: DataFrame, path: str, checkpoint: str, fields: list[tuple[str, str]] = (("text", "C"),), key: str = "doc_id", deleted: str = "deleted", order: str | None = None) -> StreamingQuery:
@@ -73,3 +92,67 @@ def conversation_counters(turns: DataFrame, out: str, checkpoint: str) -> Stream
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return counted.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Ordinals of a conversation whose turns one state holds: a conversation of any length is many states.
+TURNS_A_PIECE = 4096
+_ASKED, _ANSWERED = 1, 2
+_PIECE = (
+    "conv_id {key}, piece long, asked long, answered long, first_role int, last_role int, first_turn long, first_message string, last_turn long, last_message string"
+)
+_STATE = "turns binary, roles binary, first_turn long, first_message string, last_turn long, last_message string"
+
+
+def _merge_turns(key, frames, state):
+    """The state of some turns of a conversation after more of them, and what it says. Turns may come in any order; one that
+    comes again takes the place of the former."""
+    turns, roles, first, first_message, last, last_message = np.zeros(0, np.int64), np.zeros(0, np.uint8), None, None, None, None
+    if state.exists:
+        raw_turns, raw_roles, first, first_message, last, last_message = state.get
+        turns, roles = np.frombuffer(raw_turns, np.int64), np.frombuffer(raw_roles, np.uint8)
+    for frame in frames:
+        role = np.where(frame["role"] == "user", _ASKED, np.where((frame["role"] == "assistant") & frame["text"].notna(), _ANSWERED, 0)).astype(np.uint8)
+        turns, roles = np.concatenate([turns, frame["turn"].to_numpy(np.int64)]), np.concatenate([roles, role])
+        for turn, text in frame.loc[role == _ASKED, ["turn", "text"]].itertuples(index=False):
+            if first is None or turn <= first:
+                first, first_message = int(turn), text
+            if last is None or turn >= last:
+                last, last_message = int(turn), text
+    # The last of equal turns counts.
+    turns, place = np.unique(turns[::-1], return_index=True)
+    roles = roles[::-1][place]
+    state.update((turns.tobytes(), roles.tobytes(), first, first_message, last, last_message))
+    answered = np.count_nonzero((roles[:-1] == _ASKED) & (roles[1:] == _ANSWERED))
+    row = [key[0], key[1], int(np.count_nonzero(roles == _ASKED)), int(answered), int(roles[0]), int(roles[-1]), first, first_message, last, last_message]
+    yield pd.DataFrame([row], columns=[f.split()[0] for f in _PIECE.split(", ")]).astype({"first_turn": "Int64", "last_turn": "Int64"})
+
+
+def conversation_summaries(turns: DataFrame, path: str, checkpoint: str, piece: int = TURNS_A_PIECE) -> StreamingQuery:
+    """A stored table of what pieces of conversations say, kept up with a stream of turns (conv_id, turn, role, text) in any
+    order: ordinals, not times, order them, so that no watermark drops a late one. See summaries_of."""
+    python_path(turns.sparkSession)
+    held = turns.where(F.col("turn").isNotNull()).select("conv_id", F.floor(F.col("turn") / piece).cast("long").alias("piece"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    schema = _PIECE.format(key=turns.schema["conv_id"].dataType.simpleString())
+    said = held.groupBy("conv_id", "piece").applyInPandasWithState(_merge_turns, schema, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        ledger.upsert(batch.sparkSession, path, batch, ["conv_id", "piece"], batch, number)
+        batch.unpersist()
+
+    return said.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def summaries_of(pieces: DataFrame) -> DataFrame:
+    """conv_id, total, with_response, without_response, first, last, rate of the conversations that asked something. An
+    answer at the beginning of a piece is one to the question at the end of the piece before."""
+    following = F.lead("first_role").over(Window.partitionBy("conv_id").orderBy("piece"))
+    across = F.when((F.col("last_role") == _ASKED) & (following == _ANSWERED), 1).otherwise(0)
+    counted = pieces.withColumn("_across", across).groupBy("conv_id").agg(
+        F.sum("asked").alias("total"), F.sum(F.col("answered") + F.col("_across")).alias("with_response"),
+        F.min_by("first_message", "first_turn").alias("first"), F.max_by("last_message", "last_turn").alias("last"),
+    ).where("total > 0")
+    return counted.select(
+        "conv_id", "total", "with_response", (F.col("total") - F.col("with_response")).alias("without_response"), "first", "last",
+        F.round(F.col("with_response") / F.col("total"), 6).alias("rate"),
+    )
