@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # --- counting -------------------------------------------------------------------------------------------------------
 
@@ -35,13 +40,56 @@ def collapse_repeated_words(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)(?<!\S)(\S+)(?:[ \t]+\1)+(?!\S)", "$1")
 
 
-def collapse_repeated_phrases(text: Column, longest: int = 4) -> Column:
-    """Repeats of phrases of up to `longest` words become one, whatever their case; the longest phrases go first. Bounded:
-    one pass for each length, and longer phrases stay."""
-    for n in range(longest, 0, -1):
-        phrase = r"\S+" + rf"(?:\s+\S+){{{n - 1}}}" if n > 1 else r"\S+"
-        text = F.regexp_replace(text, rf"(?i)(?<!\S)({phrase})(?:\s+\1)+(?!\S)", "$1")
-    return text
+#: For sums over words, by which stretches of words are compared.
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+
+
+def without_repeats(text: str) -> str:
+    """A text without any phrase that follows itself, whatever its case and length: of XX the second X goes, with the white
+    space before its words, until nothing changes.
+
+    Words are taken one by one. What is kept has no repeat, so that a new word can only end one; its length is the distance
+    to an earlier place of the same word, and the nearest is tried first. Sums over the words so far tell repeats at once,
+    whatever their length.
+    """
+    pieces = re.split(r"(\s+)", text)
+    kept: list[str] = []
+    folded: list[str] = []
+    sums, powers = [0], [1]
+    places: dict[str, list[int]] = {}
+    for gap, word in zip(["", *pieces[1::2]], pieces[0::2], strict=True):
+        if not word:
+            continue
+        low, at = word.lower(), len(folded)
+        kept.append(gap + word), folded.append(low), sums.append((sums[-1] * _BASE + hash(low)) % _PRIME)
+        if len(powers) < len(sums):
+            powers.append(powers[-1] * _BASE % _PRIME)
+        earlier = places.setdefault(low, [])
+        for place in reversed(earlier):
+            n = at - place
+            if 2 * n > at + 1:
+                break
+            if n > 1 and folded[at - 1] != folded[place - 1]:
+                continue
+            # The last n words, and the n before them.
+            if (sums[at + 1] - sums[place + 1] * powers[n] - sums[place + 1] + sums[place + 1 - n] * powers[n]) % _PRIME == 0 and folded[place + 1 :] == folded[place + 1 - n : place + 1]:
+                for gone in folded[place + 1 : at]:
+                    places[gone].pop()
+                del kept[place + 1 :], folded[place + 1 :], sums[place + 2 :]
+                break
+        if len(folded) == at + 1:
+            earlier.append(at)
+    return "".join(kept) + (pieces[-2] if len(pieces) > 1 and not pieces[-1] else "")
+
+
+def collapse_repeated_phrases(text: Column) -> Column:
+    """without_repeats over a column, by Arrow batches: no regular expression finds repeats of any length in bounded time."""
+
+    @pandas_udf("string")
+    def collapsed(texts: pd.Series) -> pd.Series:
+        return texts.map(without_repeats, na_action="ignore")
+
+    return collapsed(text)
 
 
 # What marks a text as Markdown.
@@ -82,13 +130,21 @@ def trim_junk(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, lead, ""), tail, "")
 
 
-# Latin letters and what they are without accents.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-UNACCENTED = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+def _accents() -> tuple[str, str]:
+    """Latin letters whose decomposition is an ASCII letter and marks, and that letter; then the marks, which have none."""
+    letters = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isascii() and base.isalpha() and all(unicodedata.combining(m) for m in marks):
+            letters[chr(code)] = base
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(letters.values())
+
+
+ACCENTED, UNACCENTED = _accents()
 
 
 def fold(text: Column) -> Column:
-    """Without accents, in lower case."""
+    """Without accents, in lower case; combining marks go, too."""
     return F.lower(F.translate(text, ACCENTED, UNACCENTED))
 
 

@@ -32,6 +32,7 @@ def _(t):
 
 @query("f3_f4_collapse_repeats")
 def _(t):
+    python_path(t.spark)
     once = X.collapse_repeated_words(F.col("text"))
     return t.documents.select("doc_id", X.word_count(once).alias("n"), X.word_count(X.collapse_repeated_phrases(F.col("text"))).alias("n_phrases"))
 
@@ -70,6 +71,13 @@ def _(t):
     return t.documents.select("doc_id", X.fold(c).alias("folded"), X.contains_folded(c, "éau").alias("has_eau"), X.starts_with_folded(c, "É").alias("on_e"))
 
 
+@query("f9b_any_accent", "SELECT doc_id, lower(strip_accents(translate(text, 'aeostnu', 'ǎéőșțńų') || ' I' || chr(769) || 'x')) AS folded FROM documents")
+def _(t):
+    """Letters beyond Latin-1 and combining marks."""
+    marked = F.concat(F.translate("text", "aeostnu", "ǎéőșțńų"), F.lit(" I\u0301x"))
+    return t.documents.select("doc_id", X.fold(marked).alias("folded"))
+
+
 _NORM = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
 
 

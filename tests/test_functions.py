@@ -100,3 +100,40 @@ def test_sql_functions(spark):
         "SELECT cosine_similarity_of(array(3, 4), array(4, 3)) AS c, cosine_similarity_of(array(0), array(1)) AS z, euclidean_distance(array(0, 0), array(3, 4)) AS e, token_estimate('a b  c d') AS t, fold_accents('AÇÃO') AS f"
     ).first()
     assert (round(row.c, 6), row.z, row.e, row.t, row.f) == (0.96, 0, 5, 6, "acao")
+
+
+def collapsed_by_hand(text):
+    """The repeat that ends first, of these the shortest, until there is none."""
+    words = text.split()
+    while True:
+        found = next(((end, n) for end in range(2, len(words) + 1) for n in range(1, end // 2 + 1) if [w.lower() for w in words[end - n : end]] == [w.lower() for w in words[end - 2 * n : end - n]]), None)
+        if found is None:
+            return " ".join(words)
+        del words[found[0] - found[1] : found[0]]
+
+
+def test_repeats_go_to_the_fixpoint(spark):
+    import random
+
+    pick = random.Random(3)
+    texts = [" ".join(pick.choice("abAB"[: pick.randint(1, 4)] + "c") for _ in range(pick.randint(0, 40))) for _ in range(300)]
+    phrase = "one two three four five six seven"
+    texts += ["abelha abelha abelha rainha rainha abelha rainha", f"{phrase} {phrase.upper()} end", f"x {phrase} y x {phrase} y"]
+    assert [X.without_repeats(t) for t in texts] == [collapsed_by_hand(t) for t in texts]
+    assert X.without_repeats("  a\n b  A\tB c \n") == "  a\n b c \n" and X.without_repeats(" \n") == " \n" and X.without_repeats("") == ""
+    rows = spark.createDataFrame([("a a",), (None,), ("",)], "t string").select(X.collapse_repeated_phrases(F.col("t")).alias("t")).collect()
+    assert [r.t for r in rows] == ["a", None, ""]
+
+
+def test_repeats_in_long_texts_take_little_time():
+    import time
+
+    lines = " ".join(f"the same line again number {i} and more of it" for i in range(1000))
+    began = time.time()
+    assert X.without_repeats(lines) == lines and X.without_repeats("a " * 50_000) == "a "
+    assert time.time() - began < 60
+
+
+def test_fold_of_letters_and_marks(spark):
+    row = spark.range(1).select(X.fold(F.lit("ŐŰ șț Ǎ e\u0301 ø ẞ Ñandú İ")).alias("f")).first()
+    assert row.f == "ou st a e ø ß nandu i"
