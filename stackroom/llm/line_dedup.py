@@ -249,8 +249,9 @@ def kept_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     numbered = written(docs.select(F.col(key).alias("doc"), "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
     rows, _ = similar_lines(numbered, "doc", row="row")
     gone = rows.where("removed").groupBy("row").agg(F.collect_list("line_no").alias("gone"))
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
-    return numbered.join(gone, "row", "left").select(F.col("doc").alias(key), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
+    split = numbered.join(gone, "row", "left").select(F.col("doc").alias(key), "text", F.col("gone").cast("array<int>").alias("gone"), F.split("text", "\n").alias("_lines"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone"), lambda i: F.get("_lines", i))
+    return split.select(key, F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

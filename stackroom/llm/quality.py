@@ -5,7 +5,7 @@ documents walks level by level in numpy. Fitting takes a bounded sample of label
 hash of the id); scoring covers every whole text.
 
 Defined cases: null and empty texts score from the statistics of an empty text; labels that are null or of no document
-are left out; with labels of one class or none, the score is that class's rate (0.5 without labels); repeated rows score
+are left out; ids may be of any type; with labels of one class or none, the score is that class's rate (0.5 without labels); repeated rows score
 alike; an empty table gives an empty result; further columns pass through the pipeline stage; labels, lang, source and doc_id are never features.
 """
 
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Forest
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    schema = T.StructType().add("doc_id", "long").add("quality", "integer").add("x", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([picked.schema["doc_id"]]).add("quality", "integer").add("x", T.ArrayType(T.DoubleType()))
     got = picked.mapInArrow(partial(_with_statistics, keep=["doc_id", "quality"]), schema)
     # Documents that repeat an id could exceed the sample: the bound holds for the rows that are collected, too.
     got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(rows).toPandas()

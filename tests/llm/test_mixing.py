@@ -70,3 +70,25 @@ def test_edges(spark, docs_of):
     docs = docs_of([(1, None, None), (2, "", "a"), (2, "", "a"), (None, "x y", "a")])
     assert M.stage(spark, docs, "").count() >= 4
     assert M.stage(spark, docs_of([]), "").isEmpty()
+
+
+def test_plan_equals_a_sequential_one(spark):
+    """Documents taken one after the other along each source's target, pass after pass."""
+    rng = random.Random(6)
+    docs = [(i, rng.choice(["a", "b", "c", None]), rng.choice([0, 1, 7, 40, 900])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, size long")
+    hashes = {r.doc_id: r.h % 2**64 for r in df.select("doc_id", F.xxhash64("doc_id", "size").alias("h")).collect()}
+    sizes = {s: sum(d[2] for d in docs if d[1] == s) for s in "abc"} | {None: sum(d[2] for d in docs if d[1] is None)}
+    targets, copies = targets_by_hand(sizes), {}
+    for source, whole in sizes.items():
+        first = lambda d: int((1 - d[2] / whole) * 2**51) if d[2] * M.LARGEST > whole else hashes[d[0]]  # noqa: B023, E731
+        reached = 0
+        for doc in sorted((d for d in docs if d[1] == source), key=lambda d: (first(d), d[0])):
+            middles = [reached + whole * turn + doc[2] / 2 for turn in range(M.CAP)]
+            copies[doc[0]] = sum(m <= targets[source] or (turn == 0 and doc[2] == 0) for turn, m in enumerate(middles))
+            reached += doc[2]
+    plan = {r.doc_id: r for r in M.plan_mix(df).collect()}
+    assert {i: r.copies for i, r in plan.items()} == copies and len(set(copies.values())) > 1
+    for source in sizes:
+        asked = sorted(((p, r.size) for r in plan.values() if r.source == source for p in r.positions))
+        assert all(0 <= p <= 1 for p, _ in asked) and sum(n for _, n in asked) == pytest.approx(targets[source], abs=900)

@@ -63,3 +63,10 @@ def test_edges(spark, docs_of):
     assert len(out) == 5 and all(0 <= r.made <= 1 and r.score == 7 for r in out)
     assert quality.score_documents(docs.where("false"), forest, ["doc_id"]).isEmpty()
     assert quality.train(docs.where("false"), labels).score(np.zeros((1, len(quality.FEATURES))))[0] == 0.5
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(f"d{i}", "good plain words here " * (5 if i % 2 else 1)) for i in range(80)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(80)], "doc_id string, quality int")
+    scored = quality.score_documents(docs, quality.train(docs, labels), ["doc_id"]).collect()
+    assert {r.doc_id for r in scored} == {f"d{i}" for i in range(80)} and all(0 <= r.score <= 1 for r in scored)
