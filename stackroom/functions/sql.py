@@ -17,7 +17,27 @@ FUNCTIONS = {
     "fold_accents(t STRING) RETURNS STRING": f"lower(translate(t, '{ACCENTED}', '{UNACCENTED}'))",
 }
 
+_WORDS = r"filter(split(lower(translate(t, '{0}', '{1}')), '[^\\p{{L}}\\p{{N}}_]+'), w -> w <> '')".format(ACCENTED, UNACCENTED)
+_PARTS = r"""transform(filter(transform(split(t, separator), p -> trim(p)), p -> p <> ''),
+  p -> named_struct('text', p, 'tokens', CAST(floor(regexp_count(p, '\\S+') / 0.75D) AS BIGINT)))"""
+#: The fold over paragraphs keeps where chunks start. `of` and `starts` are bound by a lambda over an array of one.
+_STARTS = """aggregate(transform(of, p -> p.tokens), named_struct('starts', CAST(array() AS ARRAY<INT>), 'cur', 0L, 'i', 0),
+  (a, n) -> CASE WHEN a.i = 0 OR (a.cur + n > ideal AND a.cur >= least) THEN named_struct('starts', concat(a.starts, array(a.i)), 'cur', n, 'i', a.i + 1)
+                 ELSE named_struct('starts', a.starts, 'cur', a.cur + n, 'i', a.i + 1) END, a -> a.starts)"""
+_CHUNKS = f"""get(transform(array({_PARTS}), of -> get(transform(array({_STARTS}), starts -> transform(starts,
+  (s, i) -> slice(of, s + 1, coalesce(get(starts, i + 1), size(of)) - s))), 0)), 0)"""
+
+#: Functions that give tables: SELECT doc_id, n, sentence FROM documents, LATERAL sentences_of(text). They become part of the
+#: query's plan, as a generator over an expression.
+TABLE_FUNCTIONS = {
+    "sentences_of(t STRING) RETURNS TABLE (n BIGINT, sentence STRING)": r"""
+      SELECT CAST(pos AS BIGINT), col FROM posexplode_outer(filter(transform(split(t, '(?<=[.!?])\\s+|\n+'), s -> trim(s)), s -> s <> '')) WHERE pos IS NOT NULL""",
+    "words_of(t STRING) RETURNS TABLE (pos BIGINT, word STRING)": f"SELECT CAST(pos AS BIGINT), col FROM posexplode_outer({_WORDS}) WHERE pos IS NOT NULL",
+    r"chunks_of(t STRING, separator STRING DEFAULT '\n\\s*\n', ideal BIGINT DEFAULT 2000, least BIGINT DEFAULT 512) RETURNS TABLE (ordem BIGINT, texto STRING, tokens BIGINT)": f"""
+      SELECT CAST(pos + 1 AS BIGINT), array_join(transform(col, p -> p.text), '\n'), aggregate(col, 0L, (a, p) -> a + p.tokens) FROM posexplode_outer({_CHUNKS}) WHERE pos IS NOT NULL""",
+}
+
 
 def register(spark: SparkSession) -> None:
-    for signature, body in FUNCTIONS.items():
+    for signature, body in (FUNCTIONS | TABLE_FUNCTIONS).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

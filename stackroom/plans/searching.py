@@ -399,6 +399,10 @@ def vector_index(t):
     return prepared(t, "vector-index", make)
 
 
+#: What several queries share, by name.
+PREPARED = {"prepare_document_index": document_index, "prepare_row_index": row_index, "prepare_vector_index": vector_index}
+
+
 @query("x12_approximate_nearest")
 def x12(t):
     return S.ann_search(t.spark, vector_index(t), query_vectors(t), K).select("query_id", "id", "distance", "rank")

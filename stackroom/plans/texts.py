@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stackroom.functions import sql
 from stackroom.functions import text as X
 from stackroom.operators import chunking as C
 from stackroom.operators import pages as P
@@ -207,15 +208,21 @@ def _(t):
     return C.explode_pieces(t.documents, ["doc_id"], C.paragraphs(F.col("text"), r"\n"), "paragraph")
 
 
-@query(
-    "t1b_sentences",
-    """SELECT doc_id, pos - 1 AS pos, p[pos] AS sentence FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS pos FROM
-       (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))""",
-)
+SENTENCES = """SELECT doc_id, pos - 1 AS pos, p[pos] AS sentence FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS pos FROM
+       (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))"""
+
+
+@query("t1b_sentences", SENTENCES)
 def _(t):
     return C.explode_pieces(t.documents, ["doc_id"], C.sentences(F.col("text")), "sentence")
 
 
+@query("t1d_sql_sentences", SENTENCES)
+def _(t):
+    sql.register(t.spark)
+    return t.spark.sql("SELECT doc_id, s.n AS pos, s.sentence FROM {docs}, LATERAL sentences_of(text) s", docs=t.documents)
+
+
 @query("t1c_packed_sentences")
 def _(t):
     return C.explode_pieces(t.documents, ["doc_id"], C.packed(C.sentences(F.col("text")), 400), "part")
@@ -292,11 +299,36 @@ def _(t):
     return C.chunk_rows(t.documents, ["doc_id"], "text", r"\n", **C.LARGE).groupBy("doc_id").agg(F.sum(X.word_count(F.col("texto"))).alias("words"))
 
 
-@query("t4_token_budget_chunks")
+def chunks_sql(ideal: int = C.IDEAL, least: int = C.LEAST, most: int = C.MOST) -> str:
+    """The chunks of each document, as a recursion over its paragraphs."""
+    run, tokens = int(most * 0.75), f"CAST(floor({WC('p')} / 0.75) AS BIGINT)"
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: p <> '') AS ps FROM documents),
+      c AS (SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN {tokens} > {most} THEN list_transform(range(0, CAST(ceil(len(string_split_regex(p, '\\s+')) / {run}) AS BIGINT)),
+              lambda k: array_to_string(string_split_regex(p, '\\s+')[k * {run} + 1:(k + 1) * {run}], ' ')) ELSE [p] END)) AS ps FROM l),
+      x AS (SELECT doc_id, i, p, {tokens} AS n FROM (SELECT doc_id, ps[i] AS p, i FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM c))),
+      f AS (SELECT doc_id, i, CAST(1 AS BIGINT) AS ordem, n AS cur FROM x WHERE i = 1 UNION ALL
+            SELECT x.doc_id, x.i, CASE WHEN cur + n > {ideal} AND cur >= {least} THEN ordem + 1 ELSE ordem END, CASE WHEN cur + n > {ideal} AND cur >= {least} THEN n ELSE cur + n END
+            FROM f JOIN x ON x.doc_id = f.doc_id AND x.i = f.i + 1)
+      SELECT doc_id, ordem, string_agg(p, chr(10) ORDER BY i) AS texto, CAST(sum(n) AS BIGINT) AS tokens FROM f JOIN x USING (doc_id, i) GROUP BY 1, 2"""
+
+
+@query("t4_token_budget_chunks", chunks_sql())
 def t4(t):
     return C.chunk_rows(t.documents, ["doc_id"], "text", r"\n")
 
 
+@query("t4e_small_chunks", chunks_sql(200, 60, 400))
+def _(t):
+    return C.chunk_rows(t.documents, ["doc_id"], "text", r"\n", ideal=200, least=60, most=400)
+
+
+@query("t4f_sql_chunks", chunks_sql(300, 100, 1 << 30))
+def _(t):
+    """The same as a table function for SQL users."""
+    sql.register(t.spark)
+    return t.spark.sql("SELECT doc_id, c.* FROM {docs}, LATERAL chunks_of(text, '\n', 300, 100) c", docs=t.documents)
+
+
 @query("t4b_chunks_keep_words", f"SELECT doc_id, {WC('text')} AS words FROM documents")
 def _(t):
     rows = C.chunk_rows(t.documents, ["doc_id"], "text", r"\n", ideal=200, least=60, most=400)
