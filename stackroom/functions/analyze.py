@@ -69,15 +69,16 @@ def postings(docs: DataFrame, fields: list[tuple[str, str]], keys: list[str], st
     return rows.where(F.col("p.term").isNotNull()).select(*keys, F.col("p.term").alias("term"), F.col("pos").cast("long").alias("pos"), F.col("p.label").alias("label"))
 
 
-def placed_words(fields: list[tuple[str, str]], stop_words: tuple[str, ...] = (), stemmed: bool = False) -> Column:
-    """The words of a row's fields (column, label) in order: array of (term, pos, label), pos from 0 over all fields."""
+def placed_words(fields: list[tuple[str, str]], stop_words: tuple[str, ...] = (), stemmed: bool = False, positions: bool = True) -> Column:
+    """The words of a row's fields (column, label) in order: array of (term, pos, label), pos from 0 over all fields; or of
+    (term, label) for what needs no positions."""
 
     def labelled(column: str, label: str) -> Column:
         words = tokens(F.coalesce(F.col(column), F.lit("")), stop_words)
         return F.transform(words, lambda w: F.struct((stem(w) if stemmed else w).alias("term"), F.lit(label).alias("label")))
 
     both = F.concat(*[labelled(*field) for field in fields])
-    placed = F.transform(both, lambda p, i: F.struct(p["term"].alias("term"), i.cast("long").alias("pos"), p["label"].alias("label")))
+    placed = F.transform(both, lambda p, i: F.struct(p["term"].alias("term"), i.cast("long").alias("pos"), p["label"].alias("label"))) if positions else both
     return F.filter(placed, lambda x: x["term"].isNotNull()) if stop_words else placed
 
 

@@ -18,6 +18,8 @@ from stackroom.sources.stored import python_path, written
 DIGITS = 6
 #: Vectors of queries that one pass over the rows holds; a larger set is searched in blocks. Queries of one product.
 BLOCK_BYTES, QUERY_STEP = 32 << 20, 256
+#: Candidates that a task holds before it cuts them.
+HELD_ROWS = 4_000_000
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:
@@ -225,14 +227,21 @@ def batch_semantic(rows: DataFrame, vector: str, queries: DataFrame, k: int, key
 
 
 def _nearest_by_codes(block, model, key: str, probed: np.ndarray, keep: int):
-    """A function of Arrow batches of codes (key, home, list, code): each query's `keep` best rows among its lists."""
-    query_step, row_step = lists.QUERY_STEP, lists.ROW_STEP
+    """A function of Arrow batches of codes (key, home, list, code): of all rows of a task, each query's `keep` best among its
+    lists."""
+    query_step, row_step, most = lists.QUERY_STEP, lists.ROW_STEP, HELD_ROWS
+
+    def best(parts: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(parts).combine_chunks()
+        query, score = rows["query"].to_numpy(), rows["score"].to_numpy()
+        order = np.lexsort((-score, query))
+        return rows.take(pa.array(order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < keep]))
 
     def run(batches):
         (ids, queries), m = block.value, model.value
+        held: list[pa.Table] = []
         for batch in batches:
             homes, of_list = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "list"))
-            keys = batch.column(key)
             codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             for start in range(0, len(queries), query_step):
                 # A cosine is about the sum, over the slices, of the query's products with the code's centres.
@@ -250,9 +259,15 @@ def _nearest_by_codes(block, model, key: str, probed: np.ndarray, keep: int):
                     n = min(keep, len(row))
                     edge = np.partition(score, len(row) - n, axis=1)[:, len(row) - n]
                     query, at = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
-                    order, (query, at) = _cut(query, at, np.arange(len(row)), -score[query, at], keep)
                     place = begin + row[at]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + query)), keys.take(pa.array(place)), pa.array(homes[place], pa.int32()), pa.array(score[query, at])], ["query_id", key, "home", "score"])
+                    found = {"query": pa.array(start + query), key: batch.column(key).take(pa.array(place)), "home": pa.array(homes[place], pa.int32()), "score": pa.array(score[query, at])}
+                    held.append(pa.table(found))
+            if sum(t.num_rows for t in held) > most:
+                held = [best(held)]
+        if held:
+            rows = best(held)
+            made = pa.table({"query_id": ids.take(rows["query"].combine_chunks()), key: rows[key], "home": rows["home"], "score": rows["score"]})
+            yield from made.to_batches()
 
     return run
 

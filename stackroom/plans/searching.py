@@ -55,7 +55,7 @@ def document_index(t):
 
     def make():
         docs = t.documento.select("id", "biblioteca_id", F.length("conteudo").alias("size"), *_words("conteudo"))
-        return _index(t, "document-index", docs.select("id", "biblioteca_id", "size", analyze.placed_words(FIELDS).alias("words")), "biblioteca_id")
+        return _index(t, "document-index", docs.select("id", "biblioteca_id", "size", analyze.placed_words(FIELDS, positions=False).alias("words")), "biblioteca_id")
 
     return prepared(t, "document-index", make)
 
@@ -65,7 +65,7 @@ def row_index(t):
 
     def make():
         docs = t.documents.select(F.col("doc_id").alias("documento_id"), F.length("text").alias("size"), *_words("text"))
-        docs = docs.select("documento_id", "size", analyze.placed_words(FIELDS).alias("words"))
+        docs = docs.select("documento_id", "size", analyze.placed_words(FIELDS, positions=False).alias("words"))
         return _index(t, "row-index", t.doc_embedding.select("id", "library_id", "documento_id").join(docs, "documento_id").drop("documento_id"), "library_id")
 
     return prepared(t, "row-index", make)

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from stackroom.functions.analyze import label_weight
 from stackroom.operators.relational import if_small
-from stackroom.sources.stored import delete_below, folder_of, latest_state, publish
+from stackroom.sources.stored import delete_below, folder_of, latest_state, publish, settings
 
 BUCKETS, SLICES = 16, 16
 #: Documents of a block; tasks among which the blocks of one bucket are dealt; size classes in a power of two.
@@ -177,12 +177,14 @@ def _write_segment(snapshot: Snapshot, terms: DataFrame, name: str) -> bool:
     bucket = F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(snapshot.buckets)).cast("int")
     dealt = terms.withColumn("bucket", bucket).withColumn("_deal", F.pmod(F.xxhash64("block"), F.lit(DEALT))).repartition("bucket", "_deal")
     posting = F.struct(F.col(snapshot.key).alias("id"), "weight", "n", *(["spots"] if snapshot.positions else []))
-    grouped = dealt.groupBy("bucket", "_deal", "term", *groups, "block").agg(F.sort_array(F.collect_list(posting)).alias("p"))
+    grouped = dealt.groupBy("bucket", "_deal", "term", "block", *groups).agg(F.sort_array(F.collect_list(posting)).alias("p"))
     row = grouped.select(
-        "bucket", "term", *groups, "block", F.size("p").alias("n"), F.array_max("p.weight").alias("best"), F.array_max("p.n").alias("most"),
+        "bucket", "_deal", "term", *groups, "block", F.size("p").alias("n"), F.array_max("p.weight").alias("best"), F.array_max("p.n").alias("most"),
         F.col("p.id").alias("ids"), F.col("p.weight").alias("weights"), *([F.col("p.spots").alias("spots")] if snapshot.positions else []),
     )
-    row.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks/segment={name}")
+    # Grouped by sorting, the rows are in the order of the files already.
+    with settings(snapshot.spark, {"spark.sql.execution.useObjectHashAggregateExec": "false"}):
+        row.sortWithinPartitions("bucket", "_deal", "term", "block").drop("_deal").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks/segment={name}")
     files, folder = folder_of(snapshot.spark, f"{path}/blocks/segment={name}")
     if not any(f.isDirectory() for f in files.listStatus(folder)):
         return False

@@ -6,6 +6,7 @@ import json
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +61,16 @@ def delete_below(spark: SparkSession, path: str, keep) -> None:
     for f in files.listStatus(folder) if files.exists(folder) else []:
         if not keep(f.getPath().getName()):
             files.delete(f.getPath(), True)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings for what is run inside; afterwards those from before hold again."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
