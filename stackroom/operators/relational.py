@@ -78,10 +78,8 @@ def reject_reason(text: Column, least: int = 2, most: int = 500) -> Column:
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-def range_join(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, on: str) -> DataFrame:
-    """Points within [start, end) of the same key: equal keys, then the range as the join's condition."""
-    inside = (points[on] == intervals[on]) & (points[at] >= intervals[start]) & (points[at] < intervals[end])
-    return points.join(intervals, inside).drop(intervals[on])
+#: Dyadic levels of positions: up to 2**61 cells.
+LEVELS = 62
 
 
 def dyadic_nodes(start: Column, end: Column, levels: int) -> Column:
@@ -106,12 +104,12 @@ def range_join_dyadic(points: DataFrame, at: str, intervals: DataFrame, start: s
     stretches that its cell is in, one of each level that occurs. So both sides have a bounded number of rows, the join has
     equal keys, and no pair comes twice.
     """
-    cell = lambda c: F.floor(c / F.lit(width)).cast("long") if width != 1 else F.floor(c).cast("long")
-    last = F.when(F.ceil(F.col(end) / F.lit(width)).cast("long") > cell(F.col(start)), F.ceil(F.col(end) / F.lit(width)).cast("long"))
-    cut = intervals.where(F.col(start) < F.col(end)).withColumn("_x", F.explode(dyadic_nodes(cell(F.col(start)), last, 62)))
+    scaled = lambda c: F.col(c) / F.lit(width) if width != 1 else F.col(c)
+    cell, past = lambda c: F.floor(scaled(c)).cast("long"), F.ceil(scaled(end)).cast("long")
+    cut = intervals.where(F.col(start) < F.col(end)).withColumn("_x", F.explode(dyadic_nodes(cell(start), past, LEVELS)))
     cut = cut.withColumns({"_level": F.col("_x.level"), "_node": F.col("_x.node")}).drop("_x")
-    levels = sorted(r[0] for r in cut.select("_level").distinct().collect())  # 62 at most
-    asks = F.transform(F.array(*[F.lit(k) for k in levels]), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", cell(F.col(at)), k).alias("node"))) if levels else F.array().cast("array<struct<level:int,node:bigint>>")
+    levels = sorted(r[0] for r in cut.select("_level").distinct().collect())  # LEVELS at most
+    asks = F.transform(F.array(*[F.lit(k) for k in levels]), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", cell(at), k).alias("node"))) if levels else F.array().cast("array<struct<level:int,node:bigint>>")
     asked = points.withColumn("_x", F.explode(asks)).withColumns({"_level": F.col("_x.level"), "_node": F.col("_x.node")}).drop("_x")
     joined = asked.join(cut, [*([on] if on else []), "_level", "_node"])
     return joined.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_node")
