@@ -27,17 +27,18 @@ _STARTS = """aggregate(transform(of, p -> p.tokens), named_struct('starts', CAST
 _CHUNKS = f"""get(transform(array({_PARTS}), of -> get(transform(array({_STARTS}), starts -> transform(starts,
   (s, i) -> slice(of, s + 1, coalesce(get(starts, i + 1), size(of)) - s))), 0)), 0)"""
 
-#: Functions that give tables: SELECT doc_id, n, sentence FROM documents, LATERAL sentences_of(text). They become part of the
-#: query's plan, as a generator over an expression.
-TABLE_FUNCTIONS = {
-    "sentences_of(t STRING) RETURNS TABLE (n BIGINT, sentence STRING)": r"""
-      SELECT CAST(pos AS BIGINT), col FROM posexplode_outer(filter(transform(split(t, '(?<=[.!?])\\s+|\n+'), s -> trim(s)), s -> s <> '')) WHERE pos IS NOT NULL""",
-    "words_of(t STRING) RETURNS TABLE (pos BIGINT, word STRING)": f"SELECT CAST(pos AS BIGINT), col FROM posexplode_outer({_WORDS}) WHERE pos IS NOT NULL",
-    r"chunks_of(t STRING, separator STRING DEFAULT '\n\\s*\n', ideal BIGINT DEFAULT 2000, least BIGINT DEFAULT 512) RETURNS TABLE (ordem BIGINT, texto STRING, tokens BIGINT)": f"""
-      SELECT CAST(pos + 1 AS BIGINT), array_join(transform(col, p -> p.text), '\n'), aggregate(col, 0L, (a, p) -> a + p.tokens) FROM posexplode_outer({_CHUNKS}) WHERE pos IS NOT NULL""",
+#: Functions that give rows as arrays, for SELECT doc_id, n, sentence FROM (SELECT doc_id, sentences_in(text) AS found FROM
+#: documents) LATERAL VIEW inline(found). They become part of the query's plan, as a generator over an expression; functions
+#: that return a TABLE would be joined back to the documents by the whole text.
+ROW_FUNCTIONS = {
+    "sentences_in(t STRING) RETURNS ARRAY<STRUCT<n BIGINT, sentence STRING>>": r"""
+      transform(filter(transform(split(t, '(?<=[.!?])\\s+|\n+'), s -> trim(s)), s -> s <> ''), (s, i) -> named_struct('n', CAST(i AS BIGINT), 'sentence', s))""",
+    "words_in(t STRING) RETURNS ARRAY<STRUCT<pos BIGINT, word STRING>>": f"transform({_WORDS}, (w, i) -> named_struct('pos', CAST(i AS BIGINT), 'word', w))",
+    r"chunks_in(t STRING, separator STRING DEFAULT '\n\\s*\n', ideal BIGINT DEFAULT 2000, least BIGINT DEFAULT 512) RETURNS ARRAY<STRUCT<ordem BIGINT, texto STRING, tokens BIGINT>>": f"""
+      transform({_CHUNKS}, (c, i) -> named_struct('ordem', CAST(i + 1 AS BIGINT), 'texto', array_join(transform(c, p -> p.text), '\n'), 'tokens', aggregate(c, 0L, (a, p) -> a + p.tokens)))""",
 }
 
 
 def register(spark: SparkSession) -> None:
-    for signature, body in (FUNCTIONS | TABLE_FUNCTIONS).items():
+    for signature, body in (FUNCTIONS | ROW_FUNCTIONS).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

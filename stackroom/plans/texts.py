@@ -219,8 +219,9 @@ def _(t):
 
 @query("t1d_sql_sentences", SENTENCES)
 def _(t):
+    """OUTER, as the optimizer would make all sentences once more in a filter for rows without any."""
     sql.register(t.spark)
-    return t.spark.sql("SELECT doc_id, s.n AS pos, s.sentence FROM {docs}, LATERAL sentences_of(text) s", docs=t.documents)
+    return t.spark.sql("SELECT doc_id, s.n AS pos, s.sentence FROM (SELECT doc_id, sentences_in(text) AS found FROM {docs}) LATERAL VIEW OUTER inline(found) s AS n, sentence WHERE n IS NOT NULL", docs=t.documents)
 
 
 @query("t1c_packed_sentences")
@@ -324,9 +325,9 @@ def _(t):
 
 @query("t4f_sql_chunks", chunks_sql(300, 100, 1 << 30))
 def _(t):
-    """The same as a table function for SQL users."""
+    """The same as a function for SQL users."""
     sql.register(t.spark)
-    return t.spark.sql("SELECT doc_id, c.* FROM {docs}, LATERAL chunks_of(text, '\n', 300, 100) c", docs=t.documents)
+    return t.spark.sql("SELECT doc_id, c.* FROM (SELECT doc_id, chunks_in(text, '\n', 300, 100) AS found FROM {docs}) LATERAL VIEW OUTER inline(found) c AS ordem, texto, tokens WHERE ordem IS NOT NULL", docs=t.documents)
 
 
 @query("t4b_chunks_keep_words", f"SELECT doc_id, {WC('text')} AS words FROM documents")

@@ -102,6 +102,19 @@ def test_sql_functions(spark):
     assert (round(row.c, 6), row.z, row.e, row.t, row.f) == (0.96, 0, 5, 6, "acao")
 
 
+def test_sql_rows_need_no_join(spark, small):
+    """A text's sentences, words and chunks are made where it is read: no join back by the text, no shuffle."""
+    from stackroom.plans.registry import QUERIES
+
+    import __spark_entry__  # noqa: F401  registers the queries
+
+    for name in ("t1d_sql_sentences", "t4f_sql_chunks"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    rows = spark.sql("SELECT w.* FROM (SELECT words_in('Água e  Pão') AS found) LATERAL VIEW inline(found) w AS pos, word").collect()
+    assert [tuple(r) for r in rows] == [(0, "agua"), (1, "e"), (2, "pao")]
+
+
 def collapsed_by_hand(text):
     """The repeat that ends first, of these the shortest, until there is none."""
     words = text.split()
