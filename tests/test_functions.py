@@ -150,3 +150,13 @@ def test_repeats_in_long_texts_take_little_time():
 def test_fold_of_letters_and_marks(spark):
     row = spark.range(1).select(X.fold(F.lit("ŐŰ șț Ǎ e\u0301 ø ẞ Ñandú İ")).alias("f")).first()
     assert row.f == "ou st a e ø ß nandu i"
+
+
+def test_last_delimiter_of_long_texts_takes_little_time(spark):
+    import time
+
+    texts = ["x" * 400_000, "." + "y" * 400_000, "a\n\n\n\n" + "z" * 400_000, "a\n\n\nb", ""]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(X.last_delimiter(F.col("t")).alias("at"))
+    began = time.time()
+    assert [r["at"] for r in rows.collect()] == [-1, 0, 3, 3, -1, None]
+    assert time.time() - began < 30
