@@ -82,3 +82,15 @@ def test_side_of_counted_size(spark, monkeypatch):
     monkeypatch.setattr(R, "BROADCAST_ROWS", 5)
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
     assert hinted(R.if_small(spark.range(5))) and not hinted(R.if_small(spark.range(6))) and not hinted(R.if_small(spark.range(1), 6))
+
+
+def test_long_stretches_are_broadcast_and_short_ones_shuffled(spark, monkeypatch):
+    """Both sides of the bound give the same pairs, and the points of a long stretch are in many tasks."""
+    points = spark.range(600).select("id", (F.col("id") * 37 % 1000).alias("at"))
+    intervals = spark.range(60).select(F.col("id").alias("i"), (F.col("id") * 13 % 500).alias("lo")).withColumn("hi", F.col("lo") + F.when(F.col("i") % 10 == 0, 400).otherwise(3))
+    want = {(p, i) for p in range(600) for i in range(60) if i * 13 % 500 <= p * 37 % 1000 < i * 13 % 500 + (400 if i % 10 == 0 else 3)}
+    for bound in (0, 25, 1000):
+        monkeypatch.setattr(R, "BROADCAST_ROWS", bound)
+        made = R.range_join_dyadic(points, "at", intervals, "lo", "hi").select("id", "i")
+        assert {tuple(r) for r in made.collect()} == want and made.count() == len(want)
+    assert made.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
