@@ -182,6 +182,23 @@ def test_closure_shuffles_links_only(spark, monkeypatch, broadcast):
         assert "hashpartitioning(root" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_of_postings_are_made_once(spark, small):
+    """No filter makes all words before the rows of words are made."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    for only in (None, ["the"]):
+        plan = analyze.postings(docs, [("text", "C")], ["doc_id"], only=only)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[^\\p{L}\\p{N}_]+") == 1
+
+
+def test_every_stem_rule_has_its_ending():
+    """The endings that let a word meet a stage's patterns let every word through that one of them fits."""
+    for rules, ends in zip(analyze.STEM_STAGES, analyze.STEM_ENDS, strict=True):
+        for pattern, _ in rules:
+            tail = pattern.rsplit("})", 1)[1].rstrip("$").removeprefix("(?:").rstrip(")")
+            found = list(tail.strip("[]")) if tail.startswith("[") else tail.split("|")
+            assert found and all(tail.endswith(ends) for tail in found)
+
+
 def test_postings_stream_equals_rebuild(spark, small):
     from stackroom.plans.registry import QUERIES
 
