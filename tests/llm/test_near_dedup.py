@@ -96,6 +96,22 @@ def test_document_frequencies(spark, docs_of, words, monkeypatch):
     assert known[int(first)] == pytest.approx(np.log1p(50 / 50)) and known[int(later)] == pytest.approx(np.log1p(50 / 40)) and other == pytest.approx(np.log1p(50 / 5))
 
 
+def test_rare_shingles_have_weights_of_their_own(spark, docs_of, words, monkeypatch):
+    """Shingles of one, of two and of forty of four hundred documents differ, whatever the chunks and ranges; the operator's
+    weights are those that brute force gives."""
+    monkeypatch.setattr(N, "CHUNK", 1000)
+    monkeypatch.setattr(N, "RANGE", 1000)
+    texts = [f"{words(9 * (i % 10), 9 * (i % 10) + 9)} {words(1000 + 9 * (i // 2), 1009 + 9 * (i // 2))} {words(9000 + 9 * i, 9009 + 9 * i)}" for i in range(400)]
+    docs = docs_of(list(enumerate(texts)))
+    shingles, idf, _ = N.idf_table(docs)
+    known = dict(zip(shingles.tolist(), idf.tolist(), strict=True))
+    for start, df in ((0, 40), (1000, 2), (9000, 1)):
+        assert known[int(N.shingle_hashes(words(start, start + 5))[0])] == pytest.approx(np.log1p(400 / df))
+    held = N.in_chunks(docs.selectExpr("unhex(md5(text)) AS node", "doc_id AS did", "doc_id AS row", "text"))
+    for r in N._sketches(held, 400).collect():
+        assert np.array_equal(np.frombuffer(r["weights"], np.float32), N.weighted_shingles(texts[r.did], (shingles, idf, 0.0))[1])
+
+
 def test_ids_of_another_type(spark, words):
     docs = spark.createDataFrame([("b", words(0, 50)), ("a", words(0, 50)), (None, words(0, 50)), (None, "own")], "doc_id string, text string")
     got = sorted(((r.did or "", r.class_id or "", r.class_size, r.kept) for r in N.near_duplicates(docs)[0].collect()))
