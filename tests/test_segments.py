@@ -183,3 +183,15 @@ def test_stream_of_changes(spark, tmp_path):
     assert run([(1, "rei", False, 1), (2, "lei", False, 1), (1, "casa", False, 2), (3, "", False, 1)]) == {(1, "casa"), (2, "lei")}
     assert run([(2, None, True, 1), (4, "mar sol", False, 1), (1, "rio", False, 1), (9, None, True, 1)]) == {(1, "rio"), (4, "mar"), (4, "sol")}
     assert {(r.term, r.df) for r in segments.latest(spark, path).document_frequencies().collect()} == {("rio", 1), ("mar", 1), ("sol", 1)}
+
+
+def test_a_block_leaves_its_task_as_a_row_for_each_term(spark, tmp_path, monkeypatch):
+    """Also where documents are so long that fewer make a block."""
+    monkeypatch.setattr(segments, "BLOCK_SIZE", 64)
+    docs = [(i, i % 2, "rei lua rei", "lua") for i in range(40)]
+    index = segments.create(spark, str(tmp_path / "i"), "id", ("lib",), buckets=2, positions=True)
+    placed = rows_of(spark, docs).withColumn("block", segments._block(segments._size_class(F.col("size")), "id", {0: 40}, 1024))
+    assert segments._block_rows(placed, index).count() == 2 * placed.select("lib", "block").distinct().count()
+    made = segments.update(index, rows_of(spark, docs), 0)
+    assert as_set(made.postings(), "id", "term", "pos", "label") == as_set(postings_of(spark, docs), "id", "term", "pos", "label")
+    assert made._read("blocks").select("block").distinct().count() > 1
