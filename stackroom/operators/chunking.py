@@ -277,13 +277,17 @@ def _any(text: Column, parts: list[str]) -> Column:
 
 
 def document_type(text: Column, hint: Column | None = None) -> Column:
-    """A hint (url or file name) decides first, then words of the text."""
-    low = F.lower(text)
-    by_text = (
-        F.when((low.contains("art.") & low.contains("lei")) | _any(low, NORM_WORDS), "normativo")
-        .when(_any(low, WIKI_MARKS) | (low.contains("==") & low.contains("===")), "wikipedia")
-        .when(_any(low, MANUAL_WORDS), "manual").when(_any(low, CONTRACT_WORDS), "contrato").otherwise("generico")
-    )
+    """A hint (url or file name) decides first, then words of the text. The lower-cased text is bound by a lambda over an
+    array of one, so that it is made once, not for every word."""
+
+    def told(low: Column) -> Column:
+        return (
+            F.when((low.contains("art.") & low.contains("lei")) | _any(low, NORM_WORDS), "normativo")
+            .when(_any(low, WIKI_MARKS) | (low.contains("==") & low.contains("===")), "wikipedia")
+            .when(_any(low, MANUAL_WORDS), "manual").when(_any(low, CONTRACT_WORDS), "contrato").otherwise("generico")
+        )
+
+    by_text = F.get(F.transform(F.array(F.lower(text)), told), F.lit(0))
     if hint is None:
         return by_text
     h, out = F.lower(hint), F.lit(None).cast("string")
@@ -316,10 +320,12 @@ SPLITTERS: dict[str, Callable[[DataFrame, list[str], str, str], DataFrame]] = {
 def split_by_type(docs: DataFrame, keys: list[str], text: str, kind: str, separator: str = r"\n\s*\n", splitters: dict | None = None) -> DataFrame:
     """keys, kind, ordem, texto, tokens: each row of docs by the splitter of its type, column `kind`."""
     known = SPLITTERS if splitters is None else splitters
-    own = F.coalesce(F.when(F.col(kind).isin(*known), F.col(kind)), F.lit("generico"))
+    others = [name for name in known if name != "generico"]
     out = None
     for name, split in known.items():
-        part = split(docs.where(own == name), [*keys, kind], text, separator)
+        # A filter names the type once, for what makes it may be put in its place.
+        own = F.col(kind) == name if name != "generico" else ~F.coalesce(F.col(kind).isin(*others), F.lit(False))
+        part = split(docs.where(own), [*keys, kind], text, separator)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -382,9 +388,11 @@ def embed(docs: DataFrame, keys: list[str], text: str, model=None, dimension: in
     if model is not None:
         return docs.select(*keys, model(F.col(text)).alias("vector"))
     counted = _with_cells(docs, keys, text, dimension).withColumn("_length", _LENGTH())
-    held = counted.withColumn("_held", F.map_from_entries("_cells"))
-    value = lambda i: F.coalesce(F.try_element_at("_held", i) / F.col("_length"), F.lit(0.0)).cast("float")
-    return held.select(*keys, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long")), value).alias("vector"))
+    # Bound by a lambda over an array of one: within the lambda of the dimensions the map and the length would be made for each.
+    bound = F.array(F.struct(F.map_from_entries("_cells").alias("held"), F.col("_length").alias("length")))
+    value = lambda b, i: F.coalesce(F.try_element_at(b["held"], i) / b["length"], F.lit(0.0)).cast("float")
+    dims = F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long"))
+    return counted.select(*keys, F.get(F.transform(bound, lambda b: F.transform(dims, lambda i: value(b, i))), F.lit(0)).alias("vector"))
 
 
 #: Texts that a model is given at once.

@@ -90,6 +90,8 @@ def article_parts(arts: DataFrame, keys: list[str]) -> DataFrame:
     context = F.trim(F.concat_ws(" ", *OUTER))
     lines = F.transform(F.split("conteudo", "\n"), without_comment)
     rows = arts.select(*keys, "conteudo", context.alias("context"), F.posexplode(lines).alias("i", "line"))
+    # Only the first line needs the whole article, which would be sorted as often as the article has lines.
+    rows = rows.withColumn("conteudo", F.when(F.col("i") == 0, F.col("conteudo")))
     rows = rows.where((F.col("i") == 0) | ~F.col("line").rlike(VOID))
     opens = F.col("line").endswith(":")
     is_par, is_inc = F.col("line").rlike(PARAGRAPH), F.col("line").rlike(INCISO)

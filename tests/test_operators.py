@@ -320,3 +320,25 @@ def test_article_parts_of_derived_statutes(spark, small):
             elif x.endswith(":") and is_inc:
                 inc = x
         assert got[a.doc_id, a.article_seq] == out
+
+
+def test_a_line_of_an_article_does_not_carry_the_whole_article(spark):
+    """Lines are sorted within their article: only its first one has its text."""
+    import re
+
+    arts = spark.createDataFrame([(1, 1, "Art. 1 Um:\nI - dois;\nIII - tres.")], "id long, article_seq long, conteudo string").withColumns({x: F.lit("") for x in L.OUTER})
+    made = L.article_parts(arts, ["id", "article_seq"])
+    below = made._jdf.queryExecution().optimizedPlan().toString().split("Window ")[-1]
+    assert re.search(r"CASE WHEN \(i#\d+ = 0\) THEN conteudo#\d+ END", below)
+    assert [r.part for r in made.orderBy("part_no").collect()][3:] == ["Art. 1 Um: I - dois;", "Art. 1 Um: III - tres."]
+
+
+def test_hash_vectors_make_a_text_s_counts_once(spark):
+    """Neither the map of counts nor their length is made for each dimension, nor a lower-cased text for each word."""
+    docs = spark.createDataFrame([(1, "Uma casa, a Casa")], "id long, text string")
+    plan = C.embed(docs, ["id"], "text", dimension=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" in plan and "element_at(map_from_entries" not in plan
+    vector = C.embed(docs, ["id"], "text", dimension=8).first().vector
+    assert len(vector) == 8 and abs(sum(x * x for x in vector) - 1) < 1e-6
+    routed = docs.select(C.document_type(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert routed.count("lower(") == 1
