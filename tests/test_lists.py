@@ -85,3 +85,31 @@ def test_queries_in_several_blocks(spark, rows, path, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_BYTES", 64 * 8 * 9)
     monkeypatch.setattr(S, "QUERY_STEP", 4)
     assert pairs(S.batch_semantic(rows, "v", queries, 5)) == whole and pairs(S.ann_search(spark, path, queries, 5)) == approximate
+
+
+def test_a_task_holds_the_candidates_of_one_step_of_queries(spark, rows, path, monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    model, keep = lists.load_model(spark, path), 20
+    codes = spark.read.parquet(f"{path}/codes").select("id", "home", "list", "code").toArrow().to_batches(max_chunksize=100)
+    x = np.array([r.v for r in rows.orderBy("id").limit(500).collect()])
+    block = SimpleNamespace(value=(pa.array(range(len(x))), x))
+    probed = model.nearest_lists(lists.unit(x), lists.PROBES)
+    find = lambda: list(S._nearest_by_codes(block, SimpleNamespace(value=model), "id", probed, keep)(iter(codes)))
+    best = lambda found: {q: sorted(s for _, s in sorted(g))[-5:] for q, g in _by_query(found).items()}
+    whole = find()
+    assert max(b.num_rows for b in whole) <= lists.QUERY_STEP * keep
+    monkeypatch.setattr(S, "HELD_CODES", 300)
+    monkeypatch.setattr(S, "HELD_ROWS", 50)
+    assert best(find()) == best(whole)
+
+
+def _by_query(batches):
+    out = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            out.setdefault(r["query_id"], {})[r["id"]] = r["score"]
+    return {q: [(i, s) for i, s in found.items()] for q, found in out.items()}
