@@ -342,3 +342,33 @@ def test_hash_vectors_make_a_text_s_counts_once(spark):
     assert len(vector) == 8 and abs(sum(x * x for x in vector) - 1) < 1e-6
     routed = docs.select(C.document_type(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert routed.count("lower(") == 1
+
+
+def shuffled_rows(spark) -> int:
+    """Rows that all stages of the session have shuffled so far."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    none = spark._jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_stored_index_shuffles_no_postings(spark, tmp_path):
+    from stackroom.sources import index
+
+    texts = [(i % 40, f"w{i} the the of\nw{i} the rest é{i}" if i % 9 else None) for i in range(400)]
+    docs = spark.createDataFrame(texts, "id long, text string").select("id", F.substring_index("text", "\n", 1).alias("first"), F.substring_index("text", "\n", -1).alias("rest"))
+    fields, path, other = [("first", "A"), ("rest", "C")], str(tmp_path / "texts"), str(tmp_path / "postings")
+    before = shuffled_rows(spark)
+    index.write_texts(docs, path, "id", fields, buckets=4)
+    # A row for each document, and the counts of each task's terms, for df and for their buckets.
+    held = analyze.postings(docs, fields, ["id"])
+    assert shuffled_rows(spark) - before < 400 + 3 * held.select("term").distinct().count() + 40 < held.count()
+    index.write_index(held, other, "id", buckets=4)
+    columns = ["id", "term", "pos", "label"]
+    for made in (path, other):
+        saved = spark.read.parquet(f"{made}/postings").select(*columns)
+        assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, held.select(*columns).collect()))
+        # Several rows of one id are one document.
+        df = {r.term: r.df for r in index.term_statistics(spark, made, 40, buckets=4).collect()}
+        assert df == {r.term: r.df for r in held.groupBy("term").agg(F.countDistinct("id").alias("df")).collect()}
