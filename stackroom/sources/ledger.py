@@ -42,14 +42,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return _rows(spark, path, state).drop("version", "slice")
 
 
+def _slices(changed: DataFrame, keys: list[str]) -> DataFrame:
+    return changed.select(*keys).distinct().withColumn("slice", F.pmod(F.xxhash64(*keys), F.lit(SLICES)).cast("int"))
+
+
+def _touched(changed: DataFrame) -> list[int]:
+    return sorted(r[0] for r in changed.select("slice").distinct().collect())  # SLICES at most
+
+
+def read_slices(spark: SparkSession, path: str, changed: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The rows of the newest version in the slices of the keys in `changed`; None before the first version."""
+    state = latest_state(spark, path)
+    return None if state is None else _rows(spark, path, state, _touched(_slices(changed, keys))).drop("version", "slice")
+
+
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], changed: DataFrame, batch: int) -> None:
     """Puts rows in place of all rows whose keys are in `changed` (keys; those of rows and of what is deleted)."""
     state = latest_state(spark, path) or {"batch": -1, "version": 0, "slices": {}, "schema": rows.schema.jsonValue()}
     if batch <= state["batch"]:
         return
     version, piece = state["version"] + 1, F.pmod(F.xxhash64(*keys), F.lit(SLICES)).cast("int")
-    changed = changed.select(*keys).distinct().withColumn("slice", piece)
-    touched = sorted(r[0] for r in changed.select("slice").distinct().collect())  # SLICES at most
+    changed = _slices(changed, keys)
+    touched = _touched(changed)
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     kept = _rows(spark, path, state, touched).drop("version").alias("o").join(changed.alias("c"), [F.col("o.slice") == F.col("c.slice"), *same], "left_anti")
     both = rows.withColumn("slice", piece).unionByName(kept)

@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window
 
 from stackroom.functions import analyze
 from stackroom.operators.chunking import document_type, embed, embedding_plan, split_by_type
 from stackroom.sources import ledger, segments
-from stackroom.sources.stored import python_path
 
 FILES_PER_BATCH = 100
 
@@ -94,53 +90,60 @@ def conversation_counters(turns: DataFrame, out: str, checkpoint: str) -> Stream
     return counted.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Ordinals of a conversation whose turns one state holds: a conversation of any length is many states.
+#: Ordinals of a conversation whose turns one row holds: a conversation of any length is many rows.
 TURNS_A_PIECE = 4096
 _ASKED, _ANSWERED = 1, 2
-_PIECE = (
-    "conv_id {key}, piece long, asked long, answered long, first_role int, last_role int, first_turn long, first_message string, last_turn long, last_message string"
-)
-_STATE = "turns binary, roles binary, first_turn long, first_message string, last_turn long, last_message string"
-
-
-def _merge_turns(key, frames, state):
-    """The state of some turns of a conversation after more of them, and what it says. Turns may come in any order; one that
-    comes again takes the place of the former."""
-    turns, roles, first, first_message, last, last_message = np.zeros(0, np.int64), np.zeros(0, np.uint8), None, None, None, None
-    if state.exists:
-        raw_turns, raw_roles, first, first_message, last, last_message = state.get
-        turns, roles = np.frombuffer(raw_turns, np.int64), np.frombuffer(raw_roles, np.uint8)
-    for frame in frames:
-        role = np.where(frame["role"] == "user", _ASKED, np.where((frame["role"] == "assistant") & frame["text"].notna(), _ANSWERED, 0)).astype(np.uint8)
-        turns, roles = np.concatenate([turns, frame["turn"].to_numpy(np.int64)]), np.concatenate([roles, role])
-        for turn, text in frame.loc[role == _ASKED, ["turn", "text"]].itertuples(index=False):
-            if first is None or turn <= first:
-                first, first_message = int(turn), text
-            if last is None or turn >= last:
-                last, last_message = int(turn), text
-    # The last of equal turns counts.
-    turns, place = np.unique(turns[::-1], return_index=True)
-    roles = roles[::-1][place]
-    state.update((turns.tobytes(), roles.tobytes(), first, first_message, last, last_message))
-    answered = np.count_nonzero((roles[:-1] == _ASKED) & (roles[1:] == _ANSWERED))
-    row = [key[0], key[1], int(np.count_nonzero(roles == _ASKED)), int(answered), int(roles[0]), int(roles[-1]), first, first_message, last, last_message]
-    yield pd.DataFrame([row], columns=[f.split()[0] for f in _PIECE.split(", ")]).astype({"first_turn": "Int64", "last_turn": "Int64"})
+
+
+def _latest_turns(turns: Column) -> Column:
+    """turns (turn, age, role) by ordinal, of equal ones only the last by age and role. The array of one binds the sorted
+    turns, so that they are made once."""
+    last = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["turn"] != x["turn"], F.lit(True)))
+    return F.get(F.transform(F.array(F.sort_array(turns)), last), F.lit(0))
+
+
+def _merged_pieces(said: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Pieces with more turns, from what a batch said of them and what was held: a turn that comes again takes the place of
+    the former."""
+    aged = lambda turns, age: F.transform(turns, lambda x: F.struct(x["turn"].alias("turn"), F.lit(age).alias("age"), x["role"].alias("role")))
+    turns, first, last = aged(F.col("n.turns"), 1), F.col("n.first"), F.col("n.last")
+    rows = said.alias("n")
+    if held is not None:
+        rows = rows.join(held.alias("h"), F.col("n.conv_id").eqNullSafe(F.col("h.conv_id")) & (F.col("n.piece") == F.col("h.piece")), "left")
+        turns = F.concat(turns, F.coalesce(aged(F.col("h.turns"), 0), F.array()))
+        former = lambda end: F.when(F.col(f"h.{end}_turn").isNotNull(), F.struct(F.col(f"h.{end}_turn").alias("turn"), F.col(f"h.{end}_message").alias("text")))
+        first = F.when(former("first")["turn"] < F.coalesce(first["turn"], F.lit((1 << 63) - 1)), former("first")).otherwise(first)
+        last = F.when(former("last")["turn"] > F.coalesce(last["turn"], F.lit(-(1 << 63))), former("last")).otherwise(last)
+    rows = rows.select(F.col("n.conv_id").alias("conv_id"), F.col("n.piece").alias("piece"), _latest_turns(turns).alias("_turns"), first.alias("_first"), last.alias("_last"))
+    roles = F.col("_turns.role")
+    answered = F.zip_with(roles, F.slice(roles, 2, F.size(roles)), lambda a, b: F.coalesce((a == _ASKED) & (b == _ANSWERED), F.lit(False)))
+    return rows.select(
+        "conv_id", "piece", F.size(F.filter(roles, lambda r: r == _ASKED)).cast("long").alias("asked"), F.size(F.filter(answered, lambda x: x)).cast("long").alias("answered"),
+        F.element_at(roles, 1).alias("first_role"), F.element_at(roles, -1).alias("last_role"),
+        F.col("_first.turn").alias("first_turn"), F.col("_first.text").alias("first_message"), F.col("_last.turn").alias("last_turn"), F.col("_last.text").alias("last_message"),
+        F.transform("_turns", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"))).alias("turns"),
+    )
 
 
 def conversation_summaries(turns: DataFrame, path: str, checkpoint: str, piece: int = TURNS_A_PIECE) -> StreamingQuery:
     """A stored table of what pieces of conversations say, kept up with a stream of turns (conv_id, turn, role, text) in any
-    order: ordinals, not times, order them, so that no watermark drops a late one. See summaries_of."""
-    python_path(turns.sparkSession)
-    held = turns.where(F.col("turn").isNotNull()).select("conv_id", F.floor(F.col("turn") / piece).cast("long").alias("piece"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    schema = _PIECE.format(key=turns.schema["conv_id"].dataType.simpleString())
-    said = held.groupBy("conv_id", "piece").applyInPandasWithState(_merge_turns, schema, _STATE, "update", GroupStateTimeout.NoTimeout)
+    order: ordinals, not times, order them, so that no watermark drops a late one. The table is the state: a batch's turns
+    are put together for each piece and merged with its row. See summaries_of."""
+    role = F.when(F.col("role") == "user", _ASKED).when((F.col("role") == "assistant") & F.col("text").isNotNull(), _ANSWERED).otherwise(0)
+    held = turns.where(F.col("turn").isNotNull()).select("conv_id", F.floor(F.col("turn") / piece).cast("long").alias("piece"), F.col("turn").cast("long").alias("turn"), role.alias("role"), "text")
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        ledger.upsert(batch.sparkSession, path, batch, ["conv_id", "piece"], batch, number)
-        batch.unpersist()
-
-    return said.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def apply(batch: DataFrame, number: int) -> None:
+        spark, keys = batch.sparkSession, ["conv_id", "piece"]
+        ask = F.when(F.col("role") == _ASKED, F.struct("turn", "text"))
+        # Of a turn that comes twice in a batch the greatest text counts.
+        said = batch.groupBy(*keys).agg(
+            F.collect_list(F.struct("turn", "role")).alias("turns"),
+            F.max_by(ask, F.when(F.col("role") == _ASKED, F.struct(-F.col("turn"), "text"))).alias("first"), F.max(ask).alias("last"),
+        ).persist()
+        ledger.upsert(spark, path, _merged_pieces(said, ledger.read_slices(spark, path, said, keys)), keys, said, number)
+        said.unpersist()
+
+    return held.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def summaries_of(pieces: DataFrame) -> DataFrame:

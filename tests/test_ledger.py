@@ -100,3 +100,21 @@ def test_model_is_given_batches(spark):
     docs = spark.createDataFrame([(i, "x" * i if i else None) for i in range(25)], "id long, text string").coalesce(1)
     got = {r.id: r.vector for r in C.embed(docs, ["id"], "text", C.model_function(load, 10)).collect()}
     assert {i: v[0] for i, v in got.items()} == {i: float(i) for i in range(25)} and max(v[1] for v in got.values()) <= 10
+
+
+def test_summaries_without_python_tasks_and_turns_that_come_again(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("source", "out", "checkpoint"))
+    schema = "conv_id long, turn long, role string, text string"
+    batches = [
+        [(1, 2, "user", "c"), (1, 9, "assistant", "j"), (None, 0, "user", None), (2, 1, "system", "s"), (3, None, "user", "x")],
+        [(1, 8, "user", "i"), (1, 0, "user", "a"), (1, 2, "user", "C"), (None, 1, "assistant", "b")],
+        [(1, 0, "user", "A"), (1, 9, "assistant", None), (1, 3, "assistant", "d"), (2, 2, "user", "q"), (2, 2, "user", "p")],
+    ]
+    wanted = [{1: (1, 1, "c", "c"), None: (1, 0, None, None)}, {1: (3, 1, "a", "i"), None: (1, 1, None, None)}, {1: (3, 1, "A", "i"), None: (1, 1, None, None), 2: (1, 0, "q", "q")}]
+    for rows, want in zip(batches, wanted, strict=True):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        query = jobs.conversation_summaries(jobs.arriving(spark, source, spark.createDataFrame([], schema).schema), out, checkpoint, piece=4)
+        query.awaitTermination()
+        assert not query.lastProgress["stateOperators"]  # keys are no calls of Python
+        got = {r.conv_id: (r.total, r.with_response, r.first, r.last) for r in jobs.summaries_of(ledger.read(spark, out)).collect()}
+        assert got == want
