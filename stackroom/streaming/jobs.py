@@ -29,24 +29,24 @@ def per_batch(rows: DataFrame, make: Callable[[DataFrame], DataFrame], out: str,
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def embedding_rows(docs: DataFrame, separator: str = r"\n\s*\n", model=None) -> DataFrame:
+def embedding_rows(docs: DataFrame, separator: str = r"\n\s*\n", model=None, splitters: dict | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, tipo, ordem, level, order_chapter, title, text, vector: routed, cut by the splitter of
     the type, planned by the size of each part, and embedded."""
     typed = docs.withColumn("tipo", document_type(F.col("text")))
-    parts = split_by_type(typed, ["doc_id"], "text", "tipo", separator).withColumn("titulo", F.concat(F.lit("Parte "), F.col("ordem").cast("string")))
+    parts = split_by_type(typed, ["doc_id"], "text", "tipo", separator, splitters).withColumn("titulo", F.concat(F.lit("Parte "), F.col("ordem").cast("string")))
     planned = embedding_plan(parts, ["doc_id", "tipo", "ordem"], "titulo", "texto", separator)
     columns = planned.columns
     return embed(planned.withColumn("_text", F.col("text")), columns, "_text", model)
 
 
-def ingest(docs: DataFrame, path: str, checkpoint: str, separator: str = r"\n\s*\n", model=None) -> StreamingQuery:
+def ingest(docs: DataFrame, path: str, checkpoint: str, separator: str = r"\n\s*\n", model=None, splitters: dict | None = None) -> StreamingQuery:
     """A stored table of embedding rows, kept up with a stream of documents (doc_id, text): a document that comes again
     replaces its rows, and one with a null text deletes them. Of a document's versions in a batch the greatest text counts.
     A batch that is run again, or once more after it was stopped, changes nothing more."""
 
     def apply(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("doc_id").agg(F.max("text").alias("text")).persist()
-        rows = embedding_rows(newest.where(F.col("text").isNotNull()), separator, model)
+        rows = embedding_rows(newest.where(F.col("text").isNotNull()), separator, model, splitters)
         ledger.upsert(batch.sparkSession, path, rows, ["doc_id"], newest, number)
         newest.unpersist()
 

@@ -3,10 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import same_rows
 from stackroom.operators import chunking as C
+from stackroom.plans.registry import ORACLES, QUERIES
 from stackroom.sources import ledger
 from stackroom.streaming import jobs
 
+import __spark_entry__  # noqa: F401  registers the queries
+
 
 def test_upsert_delete_and_repeated_batches(spark, tmp_path):
     path = str(tmp_path / "t")
@@ -55,6 +59,17 @@ def test_ingest_equals_the_batch_and_repeats_change_nothing(spark, small, tmp_pa
     assert run(None, str(tmp_path / "again")) == after
 
 
+def test_words_of_odd_texts_equal_sql(spark, tmp_path):
+    """Marks that cleaning drops, texts without words, none at all, and texts that begin as titles of parts do."""
+    import duckdb
+
+    texts = ["{{box|a b c}} some [[Category:X y]] text <!-- not seen --> end", "", " \n ", None, "Parte 1\nfew words", "Parte 1\n" + "word " * 500, "one\x0btwo three", "== == ===\n[[a b|c]]"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(duck, QUERIES["st1_stream_ingest"](spark, str(tmp_path)), ORACLES["st1_stream_ingest"])
+
+
 def summary_by_hand(turns):
     out = {}
     for conv in {t[0] for t in turns}:
