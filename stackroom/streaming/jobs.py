@@ -62,8 +62,8 @@ def maintain_index(changes: DataFrame, path: str, checkpoint: str, fields: list[
         row = F.struct(*([order] if order else []), deleted, *names)
         newest = batch.groupBy(key).agg(F.max(row).alias("_row")).select(key, "_row.*").persist()
         size = sum((F.coalesce(F.length(name), F.lit(0)) for name in names), F.lit(0))
-        rows = newest.where(~F.col(deleted)).select(key, size.alias("size"), analyze.placed_words(list(fields)).alias("words"))
-        segments.update(segments.latest(spark, path), rows, number, newest.where(deleted).select(key))
+        rows = newest.where(~F.col(deleted)).select(key, size.alias("size"), *names)
+        segments.update(segments.latest(spark, path), rows, number, newest.where(deleted).select(key), analyze.placed_words(list(fields)))
         newest.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

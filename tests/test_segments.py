@@ -185,6 +185,24 @@ def test_stream_of_changes(spark, tmp_path):
     assert {(r.term, r.df) for r in segments.latest(spark, path).document_frequencies().collect()} == {("rio", 1), ("mar", 1), ("sol", 1)}
 
 
+def test_texts_are_shuffled_and_postings_are_not(spark, tmp_path, monkeypatch):
+    """Between a batch's documents and the written postings there is one exchange, below which no word is made."""
+    plans, write = [], segments._write_segment
+
+    def seen(snapshot, row, name):
+        plans.append(row._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0])
+        return write(snapshot, row, name)
+
+    monkeypatch.setattr(segments, "_write_segment", seen)
+    path, source = str(tmp_path / "index"), str(tmp_path / "source")
+    segments.create(spark, path, "doc_id", positions=True, updates=True)
+    spark.createDataFrame([(1, "rei casa", False), (2, "lei rei", False)], "doc_id long, text string, deleted boolean").coalesce(1).write.parquet(source)
+    jobs.maintain_index(jobs.arriving(spark, source, spark.read.parquet(source).schema), path, str(tmp_path / "checkpoint")).awaitTermination()
+    (plan,) = plans
+    above, below = plan.split("Exchange ")
+    assert "FlatMapGroupsInArrow" in above and "[^\\p{L}\\p{N}_]+" in above and "[^\\p{L}\\p{N}_]+" not in below
+
+
 def test_a_block_leaves_its_task_as_a_row_for_each_term(spark, tmp_path, monkeypatch):
     """Also where documents are so long that fewer make a block."""
     monkeypatch.setattr(segments, "BLOCK_SIZE", 64)
